@@ -55,13 +55,17 @@ def discard(spark: SparkSession, staged: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, total: int, weight: str) -> DataFrame:
-    """Left join of ``rows`` to ``table`` (one row a key) that no hot key slows.
-
-    ``weight`` is how many of ``total`` rows have the key. Keys with at least
-    ``total / HOT_KEYS`` of them are at most ``HOT_KEYS`` and are broadcast;
-    the rest are joined by shuffle. ``weight`` is null where no key matches.
+def lookup(rows: DataFrame, table: DataFrame, key: str, total: int, weight: str, most: int = 100_000) -> DataFrame:
+    """Left join of ``rows`` to the staged ``table`` (one narrow row a key) that
+    no hot key slows. ``weight`` is null where no key matches.
+
+    Up to ``most`` keys (counted first) are broadcast. Beyond that: ``weight``
+    is how many of ``total`` rows have the key; keys with at least
+    ``total / HOT_KEYS`` of them are at most ``HOT_KEYS`` and are broadcast,
+    the rest are joined by shuffle.
     """
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), key, "left")
     bar = max(2, total // HOT_KEYS)
     hot = rows.join(F.broadcast(table.where(F.col(weight) >= bar)), key, "left")
     cold = hot.where(F.col(weight).isNull()).select(rows.columns)
