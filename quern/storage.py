@@ -8,6 +8,7 @@ temporary folder of its own.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,8 +26,10 @@ HOT_KEYS = 2000
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one in local tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    if named:  # qualified, so that other readers than Spark's find the same place
+        path = spark._jvm.org.apache.hadoop.fs.Path(named)
+        path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return re.sub(r"^file:/(?!/)", "file:///", path)
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
