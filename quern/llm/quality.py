@@ -149,7 +149,7 @@ WITH d AS (
          CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words,
          len(list_filter(ws, x -> list_contains(['"""
     + "', '".join(STOP_WORDS)
-    + r"""'], lower(trim(x, '.,;:!?()"''')))) AS n_stop,
+    + r"""'], lower(trim(x, '.,;:!?()"'''))))) AS n_stop,
          len(list_filter(range(2, len(ws) + 1), i -> ws[i] = ws[i - 1])) AS n_echo,
          len(regexp_extract_all(text, '[!?]')) AS n_emphasis
   FROM d LEFT JOIN cover USING (doc_id)
