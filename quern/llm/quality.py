@@ -130,8 +130,8 @@ OP10_SQL = (
     r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
-         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents
 ), win AS (
   SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS w
@@ -147,10 +147,10 @@ WITH d AS (
          CAST(len(ls) AS BIGINT) AS n_lines,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words,
-         len(list_filter(ws, x -> list_contains(['"""
+         len(list_filter(ws, lambda x: list_contains(['"""
     + "', '".join(STOP_WORDS)
     + r"""'], lower(trim(x, '.,;:!?()"'''))))) AS n_stop,
-         len(list_filter(range(2, len(ws) + 1), i -> ws[i] = ws[i - 1])) AS n_echo,
+         len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_echo,
          len(regexp_extract_all(text, '[!?]')) AS n_emphasis
   FROM d LEFT JOIN cover USING (doc_id)
 ), f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, greatest(n_words, 1) AS n FROM c)
