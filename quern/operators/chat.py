@@ -1,0 +1,116 @@
+"""Conversations: filters, rendering, turn pairs and supervision masks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quern.functions import text as t
+
+ROLES = ("system", "user", "assistant")
+
+
+def conversations(turns: DataFrame) -> DataFrame:
+    """One row a conversation: ``turns`` in order, as an array of role and text."""
+    got = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return got.withColumn("turns", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))))
+
+
+def known_roles(turns: Column) -> Column:
+    """Turns with a known role and some text."""
+    return F.filter(turns, lambda x: x["role"].isin(*ROLES) & (F.coalesce(x["text"], F.lit("")) != ""))
+
+
+def remapped(role: Column, names: dict[str, str]) -> Column:
+    """Role names of other formats; unknown ones stay."""
+    out = role
+    for old, new in names.items():
+        out = F.when(role == old, new).otherwise(out)
+    return out
+
+
+def rendered(turns: Column, labels: dict[str, str] | None = None) -> Column:
+    """``label:text`` of every turn, a blank line between; null if there is none."""
+    labels = labels or {"user": "User", "assistant": "Assistant", "system": "System"}
+    lines = F.transform(turns, lambda x: F.concat(remapped(x["role"], labels), F.lit(":"), x["text"]))
+    return F.nullif(F.array_join(lines, "\n\n"), F.lit(""))
+
+
+def pairs(turns: DataFrame) -> DataFrame:
+    """Each user turn with the assistant turn that follows at once, or null."""
+    by = "over (partition by conv_id order by turn)"
+    out = turns.select("*", F.expr(f"lead(role) {by}").alias("next_role"), F.expr(f"lead(text) {by}").alias("next_text"), F.expr(f"lag(role) {by}").alias("last_role"))
+    return out.where("role = 'user'").select("conv_id", "turn", "text", F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("answer"))
+
+
+def pair_lengths(turns: DataFrame, seq_len: int, double_user: bool = False) -> DataFrame:
+    """A row a conversation: ``total`` tokens, ``supervised`` tokens (answers and their end)
+    and ``overflow`` (it wouldn't fit ``seq_len`` and is dropped). A pair is user mark, text,
+    assistant mark, answer, end mark; a segment starts with a BOS."""
+    answer = t.n_tokens(F.col("answer"))
+    has = F.col("answer").isNotNull()
+    mark = 2 if double_user else 1
+    one = F.lit(mark) + t.n_tokens(F.col("text")) + F.when(has, 2 + answer).otherwise(0)
+    got = pairs(turns).groupBy("conv_id").agg((1 + F.sum(one)).cast("long").alias("total"), F.sum(F.when(has, answer + 1).otherwise(0)).cast("long").alias("supervised"))
+    return got.withColumn("overflow", F.col("total") > seq_len)
+
+
+SEGMENT = T.ArrayType(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.ByteType()))]))
+
+
+def encode_turns(turns: list[tuple[str, str]], encode, marks: dict[str, int], seq_len: int, split: bool = False, double_user: bool = False) -> list[tuple[list[int], list[int]]]:
+    """Segments (ids, mask) of one conversation. The mask is 1 on answers and their end mark.
+
+    Without ``split`` a conversation that overflows ``seq_len`` gives nothing; with it,
+    pairs go to as many segments as needed and a pair too long by itself is left out.
+    An assistant turn without a user turn before it is left out; a segment without
+    supervision is not returned. ``double_user`` repeats the first user mark.
+    """
+    system = next((x for r, x in turns if r == "system" and turns[0][0] == "system"), None)
+    head = [marks["bos"]] + (encode(system) + [marks["system"]] if system else []) + ([marks["user"]] if double_user else [])
+    out, ids, mask = [], list(head), [0] * len(head)
+
+    def close() -> None:
+        nonlocal ids, mask
+        if any(mask):
+            out.append((ids, mask))
+        ids, mask = list(head), [0] * len(head)
+
+    i = 0
+    while i < len(turns):
+        role, text = turns[i]
+        i += 1
+        if role != "user":
+            continue
+        part = [marks["user"]] + encode(text)
+        sup = [0] * len(part)
+        if i < len(turns) and turns[i][0] == "assistant":
+            answer = encode(turns[i][1]) + [marks["end"]]
+            part, sup = part + [marks["assistant"]] + answer, sup + [0] + [1] * len(answer)
+            i += 1
+        if len(ids) + len(part) > seq_len:
+            if not split:
+                return []
+            close()
+            if len(ids) + len(part) > seq_len:
+                continue
+        ids, mask = ids + part, mask + sup
+    close()
+    return out
+
+
+def segments(convs: DataFrame, encode, marks: dict[str, int], seq_len: int, split: bool = False) -> DataFrame:
+    """``conv_id``, ``segment``, ``ids`` and ``mask`` of all conversations (Arrow batches to one Python function)."""
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            rows = []
+            for conv, turns in zip(f["conv_id"].tolist(), f["turns"], strict=True):
+                made = encode_turns([(x["role"], x["text"]) for x in turns], encode, marks, seq_len, split)
+                rows += [(conv, k, ids, mask) for k, (ids, mask) in enumerate(made)]
+            yield pd.DataFrame(rows, columns=["conv_id", "segment", "ids", "mask"])
+
+    return convs.select("conv_id", "turns").mapInPandas(run, "conv_id long, segment int, ids array<int>, mask array<tinyint>")
