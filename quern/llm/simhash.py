@@ -81,7 +81,8 @@ def links(distinct: DataFrame) -> DataFrame:
     near = F.bit_count(differ) <= RADIUS
     once = ~F.col("same") | (F.col("fp") < F.col("other"))  # within one bucket each pair is met from both sides
     first = (F.col("in_seg") == 0) | (F.bit_count(F.shiftrightunsigned(differ, 32)) > 1)  # else segment 0 has found it
-    joined = probes.join(tables, (F.col("seg") == F.col("in_seg")) & (F.col("key") == F.col("in_key")) & near & once & first)
+    # the estimate of an exploded side is far too small, so no side may be broadcast on it
+    joined = probes.hint("merge").join(tables, (F.col("seg") == F.col("in_seg")) & (F.col("key") == F.col("in_key")) & near & once & first)
     return joined.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v"))
 
 
