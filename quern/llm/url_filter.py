@@ -64,8 +64,9 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     hosts = pages.select(host).unionByName(links.select(F.col("dst").alias("src"))).distinct()
     labels = F.split("src", "\\.")
     # a host and all its parent domains of two labels or more, each beside the next
-    chain = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    steps = hosts.where(F.size(labels) >= 3).select(F.arrays_zip(F.slice(chain, 1, F.size(labels) - 2).alias("a"), F.slice(chain, 2, F.size(labels) - 2).alias("b")).alias("z"))
+    chain = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    many = F.greatest(F.size(labels) - 2, F.lit(0))  # valid for short hosts too: Spark may evaluate it before the filter
+    steps = hosts.where(F.size(labels) >= 3).select(F.arrays_zip(F.slice(chain, 1, many).alias("a"), F.slice(chain, 2, many).alias("b")).alias("z"))
     steps = steps.select(F.explode("z").alias("z")).select(F.col("z.a").alias("src"), F.col("z.b").alias("dst")).distinct()
     both = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1.0))
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
