@@ -193,7 +193,9 @@ def read(spark: SparkSession, folder: str, index: DataFrame, payloads: bool = Tr
     if index.limit(1).count() == 0:
         return spark.createDataFrame([], RECORDS)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
-    listed = files.join(index.select("bundle").distinct(), "bundle", "left_semi").select("content")
+    names = storage.stage(spark, index.select("bundle").distinct(), "bundles")
+    few = names.count() <= 100_000  # some MB of names; bundles' contents needn't be shuffled to meet them
+    listed = files.join(F.broadcast(names) if few else names, "bundle", "left_semi").select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
