@@ -41,7 +41,7 @@ from quern import storage
 
 WEIGHTS = (5, 2, 1)
 BLOCK_ROWS = 512
-BLOCKS_A_SHARD = 64
+BLOCKS_A_SHARD = 4
 MAX_SOURCES = 100_000
 MAX_QUOTAS = 5_000_000
 
