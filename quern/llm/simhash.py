@@ -28,43 +28,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern import storage
+from quern.llm import shingle_links
 
 SEED = 42
 RADIUS = 3
 #: Hashes whose bits are counted at a time: a bound on memory for any text.
 BLOCK = 1 << 16
+#: Characters between words.
+BLANKS = " \t\n\x0b\x0c\r"
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The signed 64-bit fingerprint of a text."""
+def shingles(text: str | None, width: int) -> list[bytes]:
+    """The word shingles of a text, repeats included; all its words if they are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII only, as the contract has it
     if not words:
-        return 0
+        return []
     line = b" ".join(words)
     if len(words) <= width:
-        shingles = [line]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *(ends[:-width]).tolist()]
-        shingles = [line[a:b] for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+        return [line]
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *(ends[:-width]).tolist()]
+    return [line[a:b] for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+
+
+def sketch(text: str | None, width: int = 3, least: np.ndarray | None = None) -> int:
+    """The signed 64-bit fingerprint of a text; min-hashes ``least`` take in its shingles."""
+    found = shingles(text, width)
     digest, ones = xxhash.xxh64_digest, np.zeros(64, np.int64)
-    for i in range(0, len(shingles), BLOCK):
-        raw = np.frombuffer(b"".join([digest(s, SEED) for s in shingles[i : i + BLOCK]]), np.uint8)
+    for i in range(0, len(found), BLOCK):
+        raw = np.frombuffer(b"".join([digest(s, SEED) for s in found[i : i + BLOCK]]), np.uint8)
         ones += np.unpackbits(raw.reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big", signed=True)
+        if least is not None:
+            shingle_links.absorb(least, raw.view(np.uint64))
+    return int.from_bytes(np.packbits(2 * ones > len(found)).tobytes(), "big", signed=True)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The signed 64-bit fingerprint of a text."""
+    return sketch(text, width)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``row`` (number in the scan), ``doc_id`` and ``fp`` of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, signed: bool = False) -> DataFrame:
+    """``row`` (number in the scan), ``doc_id`` and ``fp`` of every row; if
+    ``signed``, its ``signature`` of min-hashes and their ``bands`` too."""
+
+    def one(text: str | None) -> tuple[int, bytes | None, list[int]]:
+        least = shingle_links.no_hashes()
+        fp = sketch(text, width, least)
+        signature = least.tobytes() if (text or "").strip(BLANKS) else None
+        return fp, signature, shingle_links.band_keys(signature) if signature else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([fingerprint(t.as_py(), width) for t in b.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], ["row", "doc_id", "fp"])
+            texts = [t.as_py() for t in b.column(2)]
+            if not signed:
+                fp = pa.array([fingerprint(t, width) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], ["row", "doc_id", "fp"])
+                continue
+            fp, signature, bands = zip(*map(one, texts), strict=True) if texts else ((), (), ())
+            out = [pa.array(fp, pa.int64()), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out], ["row", "doc_id", "fp", "signature", "bands"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, fp long")
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, fp long" + (", signature binary, bands array<long>" if signed else ""))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -107,26 +134,33 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
     """``row``, ``doc_id``, ``fp``, ``component_id`` (least id of the component)
-    and ``kept`` (one row of each component: of that id, the one read first)."""
+    and ``kept`` (one row of each component: of that id, the one read first).
+
+    With a ``similarity``, texts whose shingles are that similar are linked too.
+    """
     spark = docs.sparkSession
-    prints = storage.stage(spark, fingerprints(docs, id_col, text_col, width), "fingerprints")
+    prints = storage.stage(spark, fingerprints(docs, id_col, text_col, width, similarity is not None), "fingerprints")
+    total = prints.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     distinct = storage.stage(spark, prints.groupBy("fp").agg(F.count("*").alias("n"), first), "distinct")
-    linked = components(links(distinct.select("fp")))
+    near = links(distinct.select("fp"))
+    if similarity is not None:
+        near = near.unionByName(shingle_links.links(prints, total, similarity)).distinct()
+    linked = components(near)
     rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("head"))
     table = rooted.join(named, "root").select("fp", "n", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("head_row"))
     table = storage.stage(spark, table, "components")
-    found = storage.lookup(prints, table, "fp", prints.count(), "n")
+    found = storage.lookup(prints, table, "fp", total, "n")
     return found.select("row", "doc_id", "fp", "component_id", (F.col("row") == F.col("head_row")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of each component, with all its columns."""
     spark = docs.sparkSession
-    losers = storage.stage(spark, near_classes(docs, id_col, text_col, width).where(~F.col("kept")).select(F.col("row").alias("_quern_row")), "near")
+    losers = storage.stage(spark, near_classes(docs, id_col, text_col, width, similarity).where(~F.col("kept")).select(F.col("row").alias("_quern_row")), "near")
     return storage.without(docs.withColumn("_quern_row", F.monotonically_increasing_id()), "_quern_row", losers).drop("_quern_row")
 
 
