@@ -10,7 +10,8 @@ No bucket lists its pairs: each member is paired with the bucket's leader, the
 member of least priority (a hash of its fingerprint, the same in all buckets, so
 a group mostly has one leader). Pairs are verified by the whole signature: the
 share of equal min-hashes estimates the similarity with a deviation of 0.025 at
-0.8. Members of a bucket that its leader is unlike may still meet in another of
+0.8, and pairs link from one deviation (``MARGIN``) below the similarity asked
+for, so that few at it are lost. Members of a bucket that its leader is unlike may still meet in another of
 their common buckets; a pair is missed only where a third text, unlike one of
 them, leads all of these. Leaders of many members are broadcast (their number is
 bounded, see `storage.lookup`), so no group fills a task.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from quern import storage
 
 SIMILARITY = 0.8
+MARGIN = 0.025
 BANDS, ROWS = 32, 8
 #: Shingles hashed at a time: a bound on memory for any text.
 SLICE = 2048
@@ -80,7 +82,7 @@ def links(sketches: DataFrame, total: int, similarity: float = SIMILARITY) -> Da
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [agreement(x.as_py(), y.as_py()) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
+            near = [agreement(x.as_py(), y.as_py()) >= similarity - MARGIN for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     kept = both.select("fp", "lead_fp", "signature", "lead_signature").mapInArrow(verify, "fp long, lead_fp long")

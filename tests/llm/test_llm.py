@@ -259,6 +259,38 @@ def test_simhash(spark, docs, odd, empty):
     assert simhash.near_classes(empty).count() == 0
 
 
+def test_similar_shingles_link(spark, docs, odd, empty):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(60, 900))]
+        texts.append(base)
+        for _ in range(3):
+            new = list(base)
+            for _ in range(rng.randint(1, len(base) // 30)):
+                new[rng.randrange(len(new))] = word()
+            texts.append(new)
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(frame, width=5, similarity=0.8).collect()}
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = far = found = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if alike >= 0.8:
+                near, found = near + 1, found + (got[i] == got[j])
+            if alike < 0.3:
+                far += got[i] == got[j]
+    assert near > 50 and found >= 0.98 * near and far == 0
+    for f in (docs, odd):  # links are only added, and null, blank and odd rows pass
+        plain = {r.row: r.component_id for r in simhash.near_classes(f, width=5).collect()}
+        more = {r.row: r.component_id for r in simhash.near_classes(f, width=5, similarity=0.8).collect()}
+        assert plain.keys() == more.keys() and len(set(more.values())) <= len(set(plain.values()))
+        assert simhash.keep_one(f, width=5, similarity=0.8).columns == f.columns
+    assert simhash.near_classes(empty, width=5, similarity=0.8).count() == 0
+
+
 def test_links_equal_brute_force(spark):
     rng = random.Random(2)
     prints = [rng.getrandbits(64) for _ in range(40)]
