@@ -38,6 +38,8 @@ BANDS, ROWS = 32, 8
 SLICE = 2048
 #: Signatures (1 KB each) broadcast at most where the leaders are few.
 FEW = 10_000
+#: Pairs compared at a time.
+FEW_ROWS = 512
 
 _SALT = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint64).astype(np.uint32)
 _FLIP, _TIMES = _SALT[0], _SALT[1] | np.uint32(1)
@@ -81,7 +83,7 @@ def links(sketches: DataFrame, total: int, similarity: float = SIMILARITY) -> Da
     both = storage.lookup(pairs.hint("merge").join(signatures, "row"), leads, "lead", pairs.count(), "n", most=FEW)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, FEW_ROWS) for whole in batches for i in range(0, whole.num_rows, FEW_ROWS)):
             near = [agreement(x.as_py(), y.as_py()) >= similarity - MARGIN for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select([0, 1]).filter(pa.array(near, pa.bool_()))
 

@@ -33,34 +33,40 @@ from quern.llm import shingle_links
 SEED = 42
 RADIUS = 3
 #: Hashes whose bits are counted at a time: a bound on memory for any text.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
+#: Rows answered at a time.
+SOME = 256
 #: Characters between words.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def shingles(text: str | None, width: int) -> list[bytes]:
-    """The word shingles of a text, repeats included; all its words if they are fewer."""
+def shingle_blocks(text: str | None, width: int) -> Iterator[list[bytes]]:
+    """The word shingles of a text, repeats included, up to ``BLOCK`` at a time; all its words if they are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII only, as the contract has it
     if not words:
-        return []
+        return
     line = b" ".join(words)
     if len(words) <= width:
-        return [line]
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *(ends[:-width]).tolist()]
-    return [line[a:b] for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+        yield [line]
+        return
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-width]))
+    stops = ends[width - 1 :] - 1
+    del words
+    for i in range(0, len(starts), BLOCK):
+        yield [line[a:b] for a, b in zip(starts[i : i + BLOCK].tolist(), stops[i : i + BLOCK].tolist(), strict=True)]
 
 
 def sketch(text: str | None, width: int = 3, least: np.ndarray | None = None) -> int:
     """The signed 64-bit fingerprint of a text; min-hashes ``least`` take in its shingles."""
-    found = shingles(text, width)
-    digest, ones = xxhash.xxh64_digest, np.zeros(64, np.int64)
-    for i in range(0, len(found), BLOCK):
-        raw = np.frombuffer(b"".join([digest(s, SEED) for s in found[i : i + BLOCK]]), np.uint8)
+    digest, ones, n = xxhash.xxh64_digest, np.zeros(64, np.int64), 0
+    for found in shingle_blocks(text, width):
+        n += len(found)
+        raw = np.frombuffer(b"".join([digest(s, SEED) for s in found]), np.uint8)
         ones += np.unpackbits(raw.reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
         if least is not None:
             shingle_links.absorb(least, raw.view(np.uint64))
-    return int.from_bytes(np.packbits(2 * ones > len(found)).tobytes(), "big", signed=True)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -79,15 +85,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return fp, signature, shingle_links.band_keys(signature) if signature else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t.as_py() for t in b.column(2)]
-            if not signed:
-                fp = pa.array([fingerprint(t, width) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], ["row", "doc_id", "fp"])
-                continue
-            fp, signature, bands = zip(*map(one, texts), strict=True) if texts else ((), (), ())
-            out = [pa.array(fp, pa.int64()), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out], ["row", "doc_id", "fp", "signature", "bands"])
+        for whole in batches:
+            for b in (whole.slice(i, SOME) for i in range(0, whole.num_rows, SOME)):
+                if not signed:
+                    fp = pa.array([fingerprint(t.as_py(), width) for t in b.column(2)], pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], ["row", "doc_id", "fp"])
+                    continue
+                fp, signature, bands = zip(*(one(t.as_py()) for t in b.column(2)), strict=True)
+                out = [pa.array(fp, pa.int64()), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out], ["row", "doc_id", "fp", "signature", "bands"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
