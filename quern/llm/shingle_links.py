@@ -21,7 +21,7 @@ Texts without words have no signature and get no link here.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quern import storage
 
 SIMILARITY = 0.8
-MARGIN = 0.025
+MARGIN = 0.15
 BANDS, ROWS = 32, 8
 #: Shingles hashed at a time: a bound on memory for any text.
 SLICE = 2048
@@ -40,6 +40,11 @@ SLICE = 2048
 FEW = 10_000
 #: Pairs compared at a time.
 FEW_ROWS = 512
+PAIRS = "row long, lead long, fp long, lead_fp long"
+#: Texts compared with one copy of their leader's.
+EACH = 64
+#: Pairs broadcast at most, so that texts in no pair stay where they are.
+FEW_PAIRS = 150_000
 
 _SALT = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint64).astype(np.uint32)
 _FLIP, _TIMES = _SALT[0], _SALT[1] | np.uint32(1)
@@ -67,9 +72,9 @@ def agreement(a: bytes, b: bytes) -> float:
     return float((np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).mean())
 
 
-def links(sketches: DataFrame, total: int, similarity: float = SIMILARITY) -> DataFrame:
+def links(sketches: DataFrame, texts: DataFrame, total: int, shingles: Callable[[str], set[bytes]], similarity: float = SIMILARITY) -> DataFrame:
     """Pairs ``u < v`` of fingerprints whose texts are similar, from the staged
-    ``sketches`` (row, fp, signature, bands) of ``total`` rows."""
+    ``sketches`` (row, fp, signature, bands) of ``total`` rows and their ``texts`` (row, text)."""
     spark = sketches.sparkSession
     members = sketches.select("row", "fp", F.explode("bands").alias("key"))
     priority = F.struct(F.xxhash64("fp").alias("rank"), "row", "fp")
@@ -82,10 +87,37 @@ def links(sketches: DataFrame, total: int, similarity: float = SIMILARITY) -> Da
     leads = storage.stage(spark, leads.select("lead", "n", F.col("signature").alias("lead_signature")), "leads")
     both = storage.lookup(pairs.hint("merge").join(signatures, "row"), leads, "lead", pairs.count(), "n", most=FEW)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, FEW_ROWS) for whole in batches for i in range(0, whole.num_rows, FEW_ROWS)):
-            near = [agreement(x.as_py(), y.as_py()) >= similarity - MARGIN for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield b.select([0, 1]).filter(pa.array(near, pa.bool_()))
-
-    kept = both.select("fp", "lead_fp", "signature", "lead_signature").mapInArrow(verify, "fp long, lead_fp long")
+            near = [agreement(x.as_py(), y.as_py()) >= similarity - MARGIN for x, y in zip(b.column(4), b.column(5), strict=True)]
+            yield b.select([0, 1, 2, 3]).filter(pa.array(near, pa.bool_()))
+
+    found = both.select("row", "lead", "fp", "lead_fp", "signature", "lead_signature").mapInArrow(likely, PAIRS)
+    return alike(storage.stage(spark, found, "likely"), texts, shingles, similarity)
+
+
+def alike(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], set[bytes]], similarity: float) -> DataFrame:
+    """Of the staged ``pairs`` (row, lead, fp, lead_fp) of unlike rows those whose sets of shingles are similar, as fingerprints ``u < v``."""
+    spark, total = pairs.sparkSession, pairs.count()
+    counts = storage.stage(spark, pairs.groupBy("lead").agg(F.count("*").alias("n")), "counts")
+    slot = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / EACH)).alias("slot")
+    members = storage.lookup(pairs, counts, "lead", total, "n").select("lead", slot, F.lit(1).alias("side"), "row", "fp", "lead_fp")
+    leads = members.select("lead", "slot", F.lit(0).alias("side"), F.col("lead").alias("row"), F.col("lead_fp").alias("fp"), "lead_fp").distinct()
+    sides = storage.stage(spark, members.unionByName(leads), "sides")
+    met = texts.join(F.broadcast(sides) if total <= FEW_PAIRS else sides.hint("merge"), "row")
+    met = met.select("lead", "slot", "side", "fp", "lead_fp", "text").repartition("lead", "slot").sortWithinPartitions("lead", "slot", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ours: set[bytes] = set()
+        for b in (whole.slice(i, FEW_ROWS) for whole in batches for i in range(0, whole.num_rows, FEW_ROWS)):
+            near = []
+            for side, text in zip(b.column(2).to_pylist(), b.column(5), strict=True):
+                found = shingles(text.as_py())
+                if side == 0:  # the leader comes before its members
+                    ours = found
+                shared = len(ours & found)
+                near.append(side == 1 and shared / (len(ours) + len(found) - shared) >= similarity)
+            yield b.select([3, 4]).filter(pa.array(near, pa.bool_()))
+
+    kept = met.mapInArrow(compare, "fp long, lead_fp long").where("fp <> lead_fp")
     return kept.select(F.least("fp", "lead_fp").alias("u"), F.greatest("fp", "lead_fp").alias("v")).distinct()

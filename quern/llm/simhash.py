@@ -57,6 +57,11 @@ def shingle_blocks(text: str | None, width: int) -> Iterator[list[bytes]]:
         yield [line[a:b] for a, b in zip(starts[i : i + BLOCK].tolist(), stops[i : i + BLOCK].tolist(), strict=True)]
 
 
+def shingle_set(text: str | None, width: int) -> set[bytes]:
+    """The different word shingles of a text."""
+    return {s for found in shingle_blocks(text, width) for s in found}
+
+
 def sketch(text: str | None, width: int = 3, least: np.ndarray | None = None) -> int:
     """The signed 64-bit fingerprint of a text; min-hashes ``least`` take in its shingles."""
     digest, ones, n = xxhash.xxh64_digest, np.zeros(64, np.int64), 0
@@ -153,7 +158,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     distinct = storage.stage(spark, prints.groupBy("fp").agg(F.count("*").alias("n"), first), "distinct")
     near = links(distinct.select("fp"))
     if similarity is not None:
-        near = near.unionByName(shingle_links.links(prints, total, similarity)).distinct()
+        texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+        near = near.unionByName(shingle_links.links(prints, texts, total, lambda t: shingle_set(t, width), similarity)).distinct()
     linked = components(near)
     rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("head"))

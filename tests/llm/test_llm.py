@@ -291,6 +291,25 @@ def test_similar_shingles_link(spark, docs, odd, empty):
     assert simhash.near_classes(empty, width=5, similarity=0.8).count() == 0
 
 
+def test_similar_shingles_link_exactly(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for same in [*range(172, 192)] * 8:  # of 200 words, so similarities of 0.75 to 0.92
+        base = [word() for _ in range(200)]
+        texts += [base, base[:same] + [word() for _ in range(200 - same)]]
+    texts = [" ".join(t) for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(frame, width=5, similarity=0.8).collect()}
+    want = {}
+    for i in range(0, len(texts), 2):
+        a, b = ({tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts[i : i + 2])
+        differ = simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[i + 1], 5)
+        near = len(a & b) / len(a | b) >= 0.8 or (differ % (1 << 64)).bit_count() <= 3
+        want |= {i: i, i + 1: i if near else i + 1}
+    assert got == want
+
+
 def test_links_equal_brute_force(spark):
     rng = random.Random(2)
     prints = [rng.getrandbits(64) for _ in range(40)]
