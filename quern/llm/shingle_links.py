@@ -6,15 +6,18 @@ these links to those of `simhash`. ``BANDS`` x ``ROWS`` min-hashes of the set of
 shingles make a signature; texts that agree on a whole band meet in a bucket (at
 0.8 a pair shares one of 32 bands of 8 with probability 0.997).
 
-No bucket lists its pairs: each member is paired with the bucket's leader, the
-member of least priority (a hash of its fingerprint, the same in all buckets, so
-a group mostly has one leader). Pairs are verified by the whole signature: the
-share of equal min-hashes estimates the similarity with a deviation of 0.025 at
-0.8, and pairs link from one deviation (``MARGIN``) below the similarity asked
-for, so that few at it are lost. Members of a bucket that its leader is unlike may still meet in another of
-their common buckets; a pair is missed only where a third text, unlike one of
-them, leads all of these. Leaders of many members are broadcast (their number is
-bounded, see `storage.lookup`), so no group fills a task.
+Each bucket is met twice. First each member is paired with the bucket's leader,
+the member of least priority (a hash of its fingerprint, the same in all
+buckets, so a group mostly has one leader). Then, in buckets whose other members
+these links leave in several components, all pairs of different components are
+met, so that no pair of a bucket is missed whatever text leads it; pairs within
+a component could change nothing. The share of equal min-hashes estimates a
+pair's similarity with a deviation of 0.025 at 0.8 and only refuses pairs that
+are six deviations (``MARGIN``) below the similarity asked for; of all others
+the complete sets of shingles are compared. Leaders of many members are
+broadcast (their number is bounded, see `storage.lookup`) or get their text in
+several places, and large buckets are met in blocks, so no group fills a task.
+The second meeting takes time with the square of the unlike texts in a bucket.
 
 Texts without words have no signature and get no link here.
 """
@@ -43,6 +46,8 @@ FEW_ROWS = 512
 PAIRS = "row long, lead long, fp long, lead_fp long"
 #: Texts compared with one copy of their leader's.
 EACH = 64
+#: Members of a bucket in a block; blocks are met two by two.
+BLOCK = 256
 #: Pairs broadcast at most, so that texts in no pair stay where they are.
 FEW_PAIRS = 150_000
 
@@ -72,15 +77,21 @@ def agreement(a: bytes, b: bytes) -> float:
     return float((np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).mean())
 
 
-def links(sketches: DataFrame, texts: DataFrame, total: int, shingles: Callable[[str], set[bytes]], similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs ``u < v`` of fingerprints whose texts are similar, from the staged
-    ``sketches`` (row, fp, signature, bands) of ``total`` rows and their ``texts`` (row, text)."""
-    spark = sketches.sparkSession
+def buckets(sketches: DataFrame) -> DataFrame:
+    """The staged buckets of the staged ``sketches`` (row, fp, signature, bands)
+    that have two rows or more: key, n, lead, lead_fp."""
     members = sketches.select("row", "fp", F.explode("bands").alias("key"))
     priority = F.struct(F.xxhash64("fp").alias("rank"), "row", "fp")
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min(priority).alias("lead")).where("n > 1")
-    buckets = storage.stage(spark, buckets.select("key", "n", F.col("lead.row").alias("lead"), F.col("lead.fp").alias("lead_fp")), "buckets")
-    met = storage.lookup(members, buckets, "key", total, "n").where("lead <> row and lead_fp <> fp")
+    found = members.groupBy("key").agg(F.count("*").alias("n"), F.min(priority).alias("lead")).where("n > 1")
+    return storage.stage(sketches.sparkSession, found.select("key", "n", F.col("lead.row").alias("lead"), F.col("lead.fp").alias("lead_fp")), "buckets")
+
+
+def led(sketches: DataFrame, met: DataFrame, total: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Staged likely pairs (row, lead, fp, lead_fp) of the members of the buckets
+    ``met`` with their leaders; ``total`` sketches."""
+    spark = sketches.sparkSession
+    members = sketches.select("row", "fp", F.explode("bands").alias("key"))
+    met = storage.lookup(members, met, "key", total, "n").where("lead <> row and lead_fp <> fp")
     pairs = storage.stage(spark, met.groupBy("row", "lead").agg(F.first("fp").alias("fp"), F.first("lead_fp").alias("lead_fp")), "pairs")
     signatures = sketches.select("row", "signature")
     leads = pairs.groupBy("lead").agg(F.count("*").alias("n")).hint("merge").join(signatures, F.col("lead") == F.col("row"))
@@ -93,7 +104,63 @@ def links(sketches: DataFrame, texts: DataFrame, total: int, shingles: Callable[
             yield b.select([0, 1, 2, 3]).filter(pa.array(near, pa.bool_()))
 
     found = both.select("row", "lead", "fp", "lead_fp", "signature", "lead_signature").mapInArrow(likely, PAIRS)
-    return alike(storage.stage(spark, found, "likely"), texts, shingles, similarity)
+    return storage.stage(spark, found, "likely")
+
+
+def unled(sketches: DataFrame, met: DataFrame, total: int, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Staged likely pairs (row, lead, fp, lead_fp) of members other than the
+    leader in the buckets ``met`` that have different ``roots`` (staged: fp, n, root)."""
+    spark = sketches.sparkSession
+    rooted = storage.lookup(sketches.select("row", "fp", "bands"), roots, "fp", total, "n").select("row", "fp", "root", F.explode("bands").alias("key"))
+    members = storage.lookup(rooted, met.where("n > 2"), "key", total, "n").where("lead <> row").select("key", "row", "fp", "root")
+    members = storage.stage(spark, members, "members")
+    # a component with many members of a bucket has blocks of its own, which needn't meet each other
+    size, many = f"bigint((n - 1) div {BLOCK})", F.col("n") >= BLOCK
+    mixed = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.count("*").alias("roots"), F.sum("n").alias("n"), F.coalesce(F.sum(F.when(~many, F.col("n"))), F.lit(0)).alias("few"), F.collect_list(F.when(many, F.struct("root", "n"))).alias("own")
+    )
+    owned = f"flatten(transform(own, x -> transform(sequence(0L, bigint((x.n - 1) div {BLOCK})), i -> concat(x.root, '/', i))))"
+    pooled = f"if(few > 0, transform(sequence(0L, bigint((few - 1) div {BLOCK})), i -> concat('-/', i)), array())"
+    mixed = storage.stage(spark, mixed.where("roots > 1").select("key", "n", "few", "own", F.expr(f"concat({owned}, {pooled})").alias("blocks")), "mixed")
+    rows = storage.lookup(members, mixed, "key", members.count(), "n").where("n is not null").withColumn("mine", F.expr("get(filter(own, x -> x.root = root), 0).n"))
+    rows = rows.withColumn("name", F.expr("if(mine is null, '-', string(root))")).withColumn("n", F.expr("coalesce(mine, few)"))
+    rows = rows.withColumn("own", F.expr(f"concat(name, '/', pmod(xxhash64(row), {size} + 1))"))
+    rows = rows.withColumn("other", F.explode(F.expr("filter(blocks, x -> mine is null or not startswith(x, concat(name, '/')))")))
+    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "row", "fp", "root")
+    rows = storage.stage(spark, rows, "blocks")
+    signed = sketches.select("row", "signature").join(F.broadcast(rows) if rows.count() <= FEW_PAIRS else rows.hint("merge"), "row")
+    signed = signed.select("key", "low", "high", "own", "row", "fp", "root", "signature").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def block(cells: list[tuple]) -> pa.RecordBatch:
+        own = np.array([c[3] for c in cells])
+        row, fp, root = (np.array([c[i] for c in cells], np.int64) for i in (4, 5, 6))
+        signs = np.frombuffer(b"".join(c[7] for c in cells), np.uint32).reshape(len(cells), -1)
+        firsts, seconds = [], []
+        low, high = cells[0][1], cells[0][2]
+        for i in np.flatnonzero(own == low):
+            others = (root != root[i]) & (own == high) & (fp != fp[i])
+            if low == high:
+                others[: i + 1] = False
+            at = np.flatnonzero(others)
+            at = at[(signs[at] == signs[i]).mean(axis=1) >= similarity - MARGIN]
+            firsts.append(np.where(row[at] < row[i], i, at))  # the lesser row leads, in all buckets
+            seconds.append(np.where(row[at] < row[i], at, i))
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (firsts, seconds))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (row[a], row[b], fp[a], fp[b])], ["row", "lead", "fp", "lead_fp"])
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: list[tuple] = []
+        for b in (whole.slice(i, FEW_ROWS) for whole in batches for i in range(0, whole.num_rows, FEW_ROWS)):
+            for cell in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if cells and cells[0][:3] != cell[:3]:
+                    if len(cells) > 1:
+                        yield block(cells)
+                    cells = []
+                cells.append(cell)
+        if len(cells) > 1:
+            yield block(cells)
+
+    return storage.stage(spark, signed.mapInArrow(likely, PAIRS).distinct(), "likely")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], set[bytes]], similarity: float) -> DataFrame:

@@ -145,6 +145,21 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def similar(prints: DataFrame, distinct: DataFrame, texts: DataFrame, total: int, width: int, similarity: float) -> DataFrame:
+    """Components (node, root) of linked fingerprints (staged: ``distinct``) and of
+    similar ``texts`` (row, text), from the ``total`` staged signed ``prints``."""
+    spark, shingles = prints.sparkSession, lambda t: shingle_set(t, width)
+    met = shingle_links.buckets(prints)
+    near = shingle_links.alike(shingle_links.led(prints, met, total, similarity), texts, shingles, similarity)
+    linked = components(links(distinct.select("fp")).unionByName(near).distinct())
+    roots = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+    rest = shingle_links.unled(prints, met, total, storage.stage(spark, roots, "roots"), similarity)
+    if rest.isEmpty():
+        return linked
+    more = shingle_links.alike(rest, texts, shingles, similarity)
+    return components(linked.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(more).distinct())
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
     """``row``, ``doc_id``, ``fp``, ``component_id`` (least id of the component)
     and ``kept`` (one row of each component: of that id, the one read first).
@@ -156,11 +171,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = prints.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     distinct = storage.stage(spark, prints.groupBy("fp").agg(F.count("*").alias("n"), first), "distinct")
-    near = links(distinct.select("fp"))
-    if similarity is not None:
+    if similarity is None:
+        linked = components(links(distinct.select("fp")))
+    else:
         texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-        near = near.unionByName(shingle_links.links(prints, texts, total, lambda t: shingle_set(t, width), similarity)).distinct()
-    linked = components(near)
+        linked = similar(prints, distinct, texts, total, width, similarity)
     rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("head"))
     table = rooted.join(named, "root").select("fp", "n", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("head_row"))

@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, kd_shards, mixing, packing, pii, quality, simhash, toxicity, url_filter, warc
+from quern import storage
+from quern.llm import exact_dedup, kd_shards, mixing, packing, pii, quality, shingle_links, simhash, toxicity, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -310,6 +311,33 @@ def test_similar_shingles_link_exactly(spark):
     assert got == want
 
 
+def test_members_that_their_leader_refuses_meet(spark, monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base, texts = [word() for _ in range(200)], []
+    for i in range(30):  # all are similar by 0.59, of each two neighbours some by 0.8 or more
+        one = base[:150] + [word() for _ in range(50)]
+        texts += [one, one[: 172 + i % 20] + [word() for _ in range(28 - i % 20)]]
+    texts = [" ".join(t) for t in texts]
+    rows = []
+    for i, t in enumerate(texts):
+        least = shingle_links.no_hashes()
+        rows.append((i, i, simhash.sketch(t, 5, least), least.tobytes(), [1]))  # all in one bucket
+    prints = storage.stage(spark, spark.createDataFrame(rows, "row long, doc_id long, fp long, signature binary, bands array<long>"), "prints")
+    distinct = storage.stage(spark, prints.groupBy("fp").agg(F.count("*").alias("n")), "distinct")
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts]
+    near = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 or ((rows[i][2] ^ rows[j][2]) % (1 << 64)).bit_count() <= 3
+    want = {frozenset({i, i + 1}) for i in range(0, 60, 2) if near(i, i + 1)}
+    assert len(want) > 15 and not any(near(i, j) for i in range(60) for j in range(i) if i // 2 != j // 2)
+    frame = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    for block in (256, 7):  # one block, and many
+        monkeypatch.setattr(shingle_links, "BLOCK", block)
+        got = {}
+        for r in simhash.similar(prints, distinct, frame, 60, 5, 0.8).collect():
+            got.setdefault(r.root, set()).update(x[0] for x in rows if x[2] == r.node)
+        assert {frozenset(g) for g in got.values()} == want
+
+
 def test_links_equal_brute_force(spark):
     rng = random.Random(2)
     prints = [rng.getrandbits(64) for _ in range(40)]
