@@ -46,7 +46,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL can express neither the classifier nor the fingerprints; tests compare with a brute-force version.
+#: SQL can express neither the classifier nor the fingerprints; tests compare both dedup stages with brute force, and the
+#: packing with its invariants. What toxicity drops and mixing repeats is not recomputed for the pipeline.
 ORACLE_SQL = None
 
 

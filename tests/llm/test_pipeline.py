@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 from quern import storage
+from quern.llm import simhash
 
 
 
@@ -23,6 +24,23 @@ def test_stages(spark, sf):
     check_rows(kept["packing"], len(kept["mixing"]))
 
 
+def test_near_dedup_equals_brute_force(spark, sf):
+    docs = storage.stage(spark, corpus_pipeline.drop_copies(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf), "docs")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert len({i for i, _ in rows}) == len(rows)
+    sets = [simhash.shingle_set(t, 5) for _, t in rows]
+    prints = [simhash.fingerprint(t, 5) % (1 << 64) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3 or sets[i] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    want = {rows[i][0] for i in set(root)}  # the least id of each component
+    assert len(want) < len(rows)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()} == want
+
+
 def check_rows(rows, documents):
     """Gapless sequences of at most 1024 tokens that hold every document."""
     bins = {}
