@@ -13,9 +13,10 @@ is then looked up by digest and text.
 
 Defined cases: a null text counts as empty, so null, empty and blank texts are
 one group; a null id comes after every other id; of rows alike in length and id
-the one read first stays; an empty table gives an empty result; other columns,
-whatever their names, are ignored by ``classes`` and kept by ``drop_copies``.
-The input should be a table or another deterministic scan, for it is read twice.
+the first by file and place stays; texts of any length are compared whole; an
+empty table gives an empty result; other columns, whatever their names, are
+ignored by ``classes`` and kept by ``drop_copies``. The input is read twice; its
+rows are told apart by their place in their file (`storage.numbered`).
 """
 
 from __future__ import annotations
@@ -44,12 +45,14 @@ def sha256(norm: Column) -> Column:
 
 
 def classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest: Callable[[Column], Column] = sha256
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest: Callable[[Column], Column] = sha256, row_col: str | None = None
 ) -> DataFrame:
-    """A row per input row: ``row`` (its number in the scan), ``doc_id``,
-    ``keep_id``, ``group_size``, ``kept`` and ``digest``."""
+    """A row per input row: ``row`` (its number, or the numbers in ``row_col``),
+    ``doc_id``, ``keep_id``, ``group_size``, ``kept`` and ``digest``."""
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if row_col is None:
+        docs, row_col = storage.numbered(docs)
+    rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("row", "doc_id", F.char_length("text").cast("long").alias("chars"), normalised(F.col("text")).alias("norm"))
     rows = rows.withColumn("digest", digest(F.col("norm")))
     narrow = storage.stage(spark, rows.select("row", "doc_id", "digest"), "digests")
@@ -95,9 +98,9 @@ def _by_content(rows: DataFrame, salted: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    spark = docs.sparkSession
-    losers = storage.stage(spark, classes(docs, id_col, text_col).where(~F.col("kept")).select(F.col("row").alias("_quern_row")), "copies")
-    return storage.without(docs.withColumn("_quern_row", F.monotonically_increasing_id()), "_quern_row", losers).drop("_quern_row")
+    docs, row = storage.numbered(docs)
+    losers = classes(docs, id_col, text_col, row_col=row).where(~F.col("kept")).select(F.col("row").alias(row))
+    return storage.without(docs, row, storage.stage(docs.sparkSession, losers, "copies")).drop(row)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
@@ -113,9 +116,10 @@ WITH d AS (
   FROM documents
 ), w AS (
   SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST) AS keep_id,
+         row_number() OVER (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST) AS place,
          count(*) OVER (PARTITION BY norm) AS group_size
   FROM d
 )
-SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, sha256(norm) AS text_sha256
 FROM w
 """

@@ -16,19 +16,24 @@ is below one in a thousand and doesn't grow. No step holds more than a block.
 
 Tokens: the ids are those of the tokenizer file. The `tokenizers` library encodes
 0.9 MB a second and core here, so the vocabulary of a plain byte-level BPE file is
-run by `tiktoken` (4.3 MB); files of another kind, and texts with a special token's
-string in them, go through `tokenizers` itself. A test compares both.
+run by `tiktoken` (4.3 MB); files of another kind, texts with a special token's
+string in them, and texts with more blanks in a row than `tiktoken` can take, go
+through `tokenizers` itself. A test compares both. A worker process builds an
+encoder once, and the library's only when a text needs it.
 
 Defined cases: null and empty texts are the end token alone; a null id is carried;
-repeated rows are documents of their own; an empty table gives an empty result;
-other columns are ignored. Seeds come from block, island and epoch.
+repeated rows are documents of their own; a text of any length is encoded whole (a
+task holds its text and ids); an empty table gives an empty result; other columns
+are ignored. Seeds come from block, island and epoch.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +55,12 @@ POOR = 0.97  # bins filled less are pooled and packed once more
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: More blanks in a row than the fast way takes well: its pattern's stack ends, and long tokens are merged slowly.
+BLANK_RUN = re.compile(r"\s{5000}")
+#: Texts answered at a time.
+SOME = 64
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -61,19 +72,27 @@ class Encoder:
 
     def __init__(self, spec: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_str(spec)
         parsed = json.loads(spec)
+        self.spec = spec
         self.special = [t["content"] for t in parsed.get("added_tokens", [])]
         ranks = self._ranks(parsed)
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
+    @cached_property
+    def whole(self):
+        """The library's tokenizer."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.spec)
+
     @staticmethod
     def _ranks(spec: dict) -> dict[bytes, int] | None:
         """Byte strings to ids, if the file is a plain byte-level BPE whose ids follow its merges."""
         model, pre = spec.get("model", {}), spec.get("pre_tokenizer") or {}
-        if model.get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
+        plain_pre = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        unlike = [model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")]
+        if model.get("type", "BPE") != "BPE" or not plain_pre or spec.get("normalizer") or spec.get("truncation") or any(unlike):
             return None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain}
@@ -87,23 +106,30 @@ class Encoder:
         return {bytes(byte_of[c] for c in k): v for k, v in vocab.items()}
 
     def __call__(self, text: str) -> bytes:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or BLANK_RUN.search(text):
             ids = np.array(self.whole.encode(text, add_special_tokens=False).ids)
         else:
             ids = self.fast.encode_to_numpy(text, disallowed_special=())
         return ids.astype("<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def encoder(spec: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(spec)
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, id_col="doc_id", text_col="text", with_ids: bool = False) -> DataFrame:
     """``row``, ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked for, ``ids`` (little-endian bytes)."""
     spark = docs.sparkSession
+    storage.small_batches(spark)
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(spec.value), np.array([EOS], "<u4").tobytes()
-        for b in batches:
+        encode, end = encoder(spec.value), np.array([EOS], "<u4").tobytes()
+        for b in (whole.slice(i, SOME) for whole in batches for i in range(0, whole.num_rows, SOME)):
             source, out = [], []
             for i, cell in enumerate(b.column(2)):
                 ids = encode(cell.as_py() or "") + end
@@ -112,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, id_col="doc_id", text_
                 for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     part = ids[4 * s : 4 * e]
                     source.append(i)
-                    out.append((k, s, e - s, zlib.crc32(part), part))
+                    out.append((k, s, e - s, zlib.crc32(part), part if with_ids else b""))
             at = pa.array(source, pa.int64())
             cols = list(zip(*out, strict=True)) or [[]] * 5
             made = [b.column(0).take(at), b.column(1).take(at), pa.array(cols[0], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[1:4]]]

@@ -3,21 +3,23 @@
 A 64-bit SimHash differs in about ten bits at that similarity, far beyond the
 balls that multi-index hashing can enumerate, so a near-duplicate stage adds
 these links to those of `simhash`. ``BANDS`` x ``ROWS`` min-hashes of the set of
-shingles make a signature; texts that agree on a whole band meet in a bucket (at
-0.8 a pair shares one of 32 bands of 8 with probability 0.997).
-
-Each bucket is met twice. First each member is paired with the bucket's leader,
-the member of least priority (a hash of its fingerprint, the same in all
-buckets, so a group mostly has one leader). Then, in buckets whose other members
-these links leave in several components, all pairs of different components are
-met, so that no pair of a bucket is missed whatever text leads it; pairs within
-a component could change nothing. The share of equal min-hashes estimates a
-pair's similarity with a deviation of 0.025 at 0.8 and only refuses pairs that
-are six deviations (``MARGIN``) below the similarity asked for; of all others
-the complete sets of shingles are compared. Leaders of many members are
+shingles are taken; texts that agree on a whole band meet in a bucket (at 0.8 a
+pair shares one of 32 bands of 8 with probability 0.997). A signature is the low
+byte of each min-hash.
+
+Each bucket is met with its leader, the member of least priority (a hash of its
+fingerprint, the same in all buckets, so a group mostly has one leader). In
+buckets whose other members these links leave in several components, pairs of
+different components are met then: first each member's likeliest partner in each
+other component, and once those links are taken, all pairs that are still apart.
+So no pair of a bucket is missed whatever text leads it; pairs within a
+component could change nothing. The share of equal bytes estimates a pair's
+similarity with a deviation of 0.025 at 0.8 and only refuses pairs that are over
+three and a half deviations (``MARGIN``) below the similarity asked for; of all
+others the complete sets of shingles are compared. Leaders of many members are
 broadcast (their number is bounded, see `storage.lookup`) or get their text in
 several places, and large buckets are met in blocks, so no group fills a task.
-The second meeting takes time with the square of the unlike texts in a bucket.
+The last meeting takes time with the square of the unlike texts in a bucket.
 
 Texts without words have no signature and get no link here.
 """
@@ -35,11 +37,11 @@ from pyspark.sql import functions as F
 from quern import storage
 
 SIMILARITY = 0.8
-MARGIN = 0.15
+MARGIN = 0.09
 BANDS, ROWS = 32, 8
 #: Shingles hashed at a time: a bound on memory for any text.
 SLICE = 2048
-#: Signatures (1 KB each) broadcast at most where the leaders are few.
+#: Signatures (256 bytes each) broadcast at most where the leaders are few.
 FEW = 10_000
 #: Pairs compared at a time.
 FEW_ROWS = 512
@@ -47,7 +49,7 @@ PAIRS = "row long, lead long, fp long, lead_fp long"
 #: Texts compared with one copy of their leader's.
 EACH = 64
 #: Members of a bucket in a block; blocks are met two by two.
-BLOCK = 256
+BLOCK = 1024
 #: Pairs broadcast at most, so that texts in no pair stay where they are.
 FEW_PAIRS = 150_000
 
@@ -66,15 +68,20 @@ def no_hashes() -> np.ndarray:
     return np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
 
 
-def band_keys(signature: bytes) -> list[int]:
+def band_keys(hashes: bytes) -> list[int]:
     """A signed 64-bit key for each band, unlike those of other bands."""
     step = 4 * ROWS
-    return [xxhash.xxh64_intdigest(signature[i * step : (i + 1) * step], i) - (1 << 63) for i in range(BANDS)]
+    return [xxhash.xxh64_intdigest(hashes[i * step : (i + 1) * step], i) - (1 << 63) for i in range(BANDS)]
+
+
+def signature(least: np.ndarray) -> bytes:
+    """The low byte of each min-hash."""
+    return least.astype(np.uint8).tobytes()
 
 
 def agreement(a: bytes, b: bytes) -> float:
-    """Estimated Jaccard similarity: the share of equal min-hashes."""
-    return float((np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).mean())
+    """Estimated Jaccard similarity: the share of equal min-hashes (of 256 unlike ones about one has the same byte)."""
+    return float((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean())
 
 
 def buckets(sketches: DataFrame) -> DataFrame:
@@ -107,9 +114,10 @@ def led(sketches: DataFrame, met: DataFrame, total: int, similarity: float = SIM
     return storage.stage(spark, found, "likely")
 
 
-def unled(sketches: DataFrame, met: DataFrame, total: int, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def unled(sketches: DataFrame, met: DataFrame, total: int, roots: DataFrame, similarity: float = SIMILARITY, best: bool = False) -> DataFrame:
     """Staged likely pairs (row, lead, fp, lead_fp) of members other than the
-    leader in the buckets ``met`` that have different ``roots`` (staged: fp, n, root)."""
+    leader in the buckets ``met`` that have different ``roots`` (staged: fp, n, root);
+    if ``best``, of each member and other root in a block only the likeliest."""
     spark = sketches.sparkSession
     rooted = storage.lookup(sketches.select("row", "fp", "bands"), roots, "fp", total, "n").select("row", "fp", "root", F.explode("bands").alias("key"))
     members = storage.lookup(rooted, met.where("n > 2"), "key", total, "n").where("lead <> row").select("key", "row", "fp", "root")
@@ -134,7 +142,7 @@ def unled(sketches: DataFrame, met: DataFrame, total: int, roots: DataFrame, sim
     def block(cells: list[tuple]) -> pa.RecordBatch:
         own = np.array([c[3] for c in cells])
         row, fp, root = (np.array([c[i] for c in cells], np.int64) for i in (4, 5, 6))
-        signs = np.frombuffer(b"".join(c[7] for c in cells), np.uint32).reshape(len(cells), -1)
+        signs = np.frombuffer(b"".join(c[7] for c in cells), np.uint8).reshape(len(cells), -1)
         firsts, seconds = [], []
         low, high = cells[0][1], cells[0][2]
         for i in np.flatnonzero(own == low):
@@ -142,7 +150,11 @@ def unled(sketches: DataFrame, met: DataFrame, total: int, roots: DataFrame, sim
             if low == high:
                 others[: i + 1] = False
             at = np.flatnonzero(others)
-            at = at[(signs[at] == signs[i]).mean(axis=1) >= similarity - MARGIN]
+            near = (signs[at] == signs[i]).mean(axis=1)
+            at, near = at[near >= similarity - MARGIN], near[near >= similarity - MARGIN]
+            if best:
+                at = at[np.argsort(-near, kind="stable")]
+                at = at[np.unique(root[at], return_index=True)[1]]
             firsts.append(np.where(row[at] < row[i], i, at))  # the lesser row leads, in all buckets
             seconds.append(np.where(row[at] < row[i], at, i))
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (firsts, seconds))

@@ -11,10 +11,11 @@ part, so exact copies cost nothing, and links are contracted to components by
 alternating large and small stars, each round written to shared storage.
 
 Defined cases: null, empty and blank texts have fingerprint zero, linked like
-any other; fewer words than a shingle make one shingle; a null id never names a
-component unless all its ids are null; repeated rows share a component; an
-empty table gives an empty result; other columns are ignored or, by
-``keep_one``, kept.
+any other; fewer words than a shingle make one shingle; a text of any length is
+taken whole; a null id never names a component unless all its ids are null;
+repeated rows share a component; an empty table gives an empty result; other
+columns, whatever their names, are ignored or, by ``keep_one``, kept. Rows are
+told apart by their place in their file (`storage.numbered`).
 """
 
 from __future__ import annotations
@@ -79,15 +80,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return sketch(text, width)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, signed: bool = False) -> DataFrame:
-    """``row`` (number in the scan), ``doc_id`` and ``fp`` of every row; if
-    ``signed``, its ``signature`` of min-hashes and their ``bands`` too."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, signed: bool = False, row_col: str | None = None) -> DataFrame:
+    """``row`` (its number, or that in ``row_col``), ``doc_id`` and ``fp`` of every row;
+    if ``signed``, its ``signature`` of min-hashes and their ``bands`` too."""
+    storage.small_batches(docs.sparkSession)
+    if row_col is None:
+        docs, row_col = storage.numbered(docs)
 
     def one(text: str | None) -> tuple[int, bytes | None, list[int]]:
         least = shingle_links.no_hashes()
         fp = sketch(text, width, least)
-        signature = least.tobytes() if (text or "").strip(BLANKS) else None
-        return fp, signature, shingle_links.band_keys(signature) if signature else []
+        if not (text or "").strip(BLANKS):
+            return fp, None, []
+        return fp, shingle_links.signature(least), shingle_links.band_keys(least.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -100,7 +105,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out = [pa.array(fp, pa.int64()), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out], ["row", "doc_id", "fp", "signature", "bands"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, f"row long, doc_id {kind}, fp long" + (", signature binary, bands array<long>" if signed else ""))
 
@@ -131,14 +136,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges, mark = storage.stage(spark, edges, "links"), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select("v", "m").distinct()  # each neighbour above goes to the least one
+        least = storage.stage(spark, both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "least")
+        above = storage.lookup(both.where("v > u"), least, "u", 2 * edges.count(), "n")  # a star's centre is no one's work alone
+        large = above.select("v", "m").distinct()  # each neighbour above goes to the least one
         up = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
         base = up.groupBy("u").agg(F.min("v").alias("m"))
         small = up.join(base, "u").select(F.col("v").alias("u"), "m").where("u > m").unionByName(base).distinct()
         done = storage.stage(spark, small.select(F.col("m").alias("u"), F.col("u").alias("v")), "stars")
         now = done.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         storage.discard(spark, edges)
+        storage.discard(spark, least)
         edges = done
         if now == mark:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
@@ -152,29 +159,34 @@ def similar(prints: DataFrame, distinct: DataFrame, texts: DataFrame, total: int
     met = shingle_links.buckets(prints)
     near = shingle_links.alike(shingle_links.led(prints, met, total, similarity), texts, shingles, similarity)
     linked = components(links(distinct.select("fp")).unionByName(near).distinct())
-    roots = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
-    rest = shingle_links.unled(prints, met, total, storage.stage(spark, roots, "roots"), similarity)
-    if rest.isEmpty():
-        return linked
-    more = shingle_links.alike(rest, texts, shingles, similarity)
-    return components(linked.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(more).distinct())
-
-
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
+    # then whom the leaders left apart: the likeliest pairs first, as most of the rest is then within a component
+    for best in (True, False):
+        roots = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+        rest = shingle_links.unled(prints, met, total, storage.stage(spark, roots, "roots"), similarity, best)
+        if rest.isEmpty():
+            break
+        more = shingle_links.alike(rest, texts, shingles, similarity)
+        linked = components(linked.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(more).distinct())
+    return linked
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None, row_col: str | None = None) -> DataFrame:
     """``row``, ``doc_id``, ``fp``, ``component_id`` (least id of the component)
-    and ``kept`` (one row of each component: of that id, the one read first).
+    and ``kept`` (one row of each component: of that id, the first by file and place).
 
     With a ``similarity``, texts whose shingles are that similar are linked too.
     """
     spark = docs.sparkSession
-    prints = storage.stage(spark, fingerprints(docs, id_col, text_col, width, similarity is not None), "fingerprints")
+    if row_col is None:
+        docs, row_col = storage.numbered(docs)
+    prints = storage.stage(spark, fingerprints(docs, id_col, text_col, width, similarity is not None, row_col), "fingerprints")
     total = prints.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     distinct = storage.stage(spark, prints.groupBy("fp").agg(F.count("*").alias("n"), first), "distinct")
     if similarity is None:
         linked = components(links(distinct.select("fp")))
     else:
-        texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+        texts = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
         linked = similar(prints, distinct, texts, total, width, similarity)
     rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("head"))
@@ -186,9 +198,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of each component, with all its columns."""
-    spark = docs.sparkSession
-    losers = storage.stage(spark, near_classes(docs, id_col, text_col, width, similarity).where(~F.col("kept")).select(F.col("row").alias("_quern_row")), "near")
-    return storage.without(docs.withColumn("_quern_row", F.monotonically_increasing_id()), "_quern_row", losers).drop("_quern_row")
+    docs, row = storage.numbered(docs)
+    losers = near_classes(docs, id_col, text_col, width, similarity, row).where(~F.col("kept")).select(F.col("row").alias(row))
+    return storage.without(docs, row, storage.stage(docs.sparkSession, losers, "near")).drop(row)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

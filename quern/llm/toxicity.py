@@ -20,13 +20,15 @@ the summed excess of all significant ones, fitted on texts that had no part in
 the word table applied to them (two folds).
 
 Bounds: at most ``MAX_FIT`` labelled rows, the first by hash of id, are used to
-fit (broadcast; a documented sample); everything else covers every text.
+fit (broadcast; a documented sample); everything else covers every text, and
+fitting sees all segments of a text as scoring does.
 
 Defined cases: null and empty texts have no segment and get the score of a text
 without any; of several labels of one id the largest counts; null labels and
 null ids are no labels; without labels of both classes every score is 0; repeated
-rows are scored alike; an empty table gives an empty result; other columns are
-ignored, or kept by ``drop_toxic``.
+rows are scored alike; a text of any length is scanned whole, in time and memory
+linear in its length; an empty table gives an empty result; other columns, whatever
+their names, are ignored, or kept by ``score`` and ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -42,15 +44,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from quern import storage
+
 BUCKETS = 1 << 20
 STEM = 4
 PRIOR = 20.0
 DRIFT = 0.5
 E_VALUE = 0.05
+LEAST = -20.0  # excess of a text without segments
 MAX_FIT = 60_000
 FOLDS = 2
 #: Words whose buckets a task remembers at most.
-CACHE = 500_000
+CACHE = 200_000
+#: Texts answered at a time.
+SOME = 128
 
 _WORD = re.compile(r"\w+")
 
@@ -120,7 +127,7 @@ class Model:
         base = np.log(self.k * max(n, 1))
         excess = [self.lam * s - base for _, _, s in segments]
         floor = -np.log(E_VALUE)
-        return max([-20.0, *excess]), float(np.log1p(sum(x for x in excess if x >= floor)))
+        return max([LEAST, *excess]), float(np.log1p(sum(x for x in excess if x >= floor)))
 
     def score(self, n: int, segments) -> float:
         if self.weights is None:
@@ -140,7 +147,7 @@ def held_out(id_col: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``toxic``, ``fold`` and ``text`` of the labelled rows that may be learned from."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(MAX_FIT)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(known), "_id")
@@ -181,8 +188,10 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     spark = docs.sparkSession
+    storage.small_batches(spark)
     train = training_rows(docs, labels, id_col, text_col)
     once = train.groupBy("copy").agg(F.max("toxic").alias("toxic"), F.first("fold").alias("fold"), F.first("text").alias("text"))
+    once = storage.stage(spark, once, "training")
     got = word_counts(once).toPandas()
     n = np.zeros((FOLDS, 2, BUCKETS), np.int64)
     size = np.zeros((FOLDS, 2), np.int64)
@@ -196,30 +205,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model(tables)
     if not size.sum(0).all():
         return model
-    seen = segment_rows(once.select("fold", "toxic", "text"), model, spark)
-    toxic = seen.toxic.to_numpy() > 0
-    clean = seen[~toxic]
+    seen = segment_rows(once, model)
+    best = seen.select("toxic", "n", "best").orderBy("n", "best", "toxic").toPandas()  # at most MAX_FIT rows
+    clean = best[best.toxic <= 0]
     model.lam, model.k = fit_extremes(clean.best.to_numpy(), np.maximum(clean.n.to_numpy(), 1))
-    x = np.array([model.features(m, [(0, 0, s) for s in parts]) for m, parts in zip(seen.n, seen.parts, strict=True)])
-    model.weights = fit_logistic(x, toxic)
+    base = F.log(F.lit(model.k) * F.greatest("n", F.lit(1)))
+    excess = F.transform("parts", lambda s: s * model.lam - base)
+    sure = F.aggregate(F.filter(excess, lambda x: x >= -float(np.log(E_VALUE))), F.lit(0.0), lambda a, x: a + x)
+    x = seen.select("toxic", F.greatest(F.lit(LEAST), F.array_max(excess)).alias("best"), F.log1p(sure).alias("sum")).toPandas()
+    x = x.sort_values(["toxic", "best", "sum"])  # one order of summation, whatever the partitions
+    model.weights = fit_logistic(x[["best", "sum"]].to_numpy(), x.toxic.to_numpy() > 0)
+    storage.discard(spark, once)
+    storage.discard(spark, seen)
     return model
 
 
-def segment_rows(train: DataFrame, model: Model, spark):
-    """Words and segment scores (best 64) of each training text under the table of its fold, on the driver: at most MAX_FIT rows."""
+def segment_rows(train: DataFrame, model: Model) -> DataFrame:
+    """Staged: words, best score and all segment scores of each training text under the table of its fold."""
+    spark = train.sparkSession
     shared = spark.sparkContext.broadcast(model.tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = [Scores(t) for t in shared.value]
         for b in batches:
             out = []
-            for fold, cell in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+            for fold, cell in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 words = _WORD.findall(cell.as_py().lower())
                 s = np.array([scores[fold][w] for w in words])
-                out.append((len(words), sorted((x for _, _, x in maximal_segments(s)), reverse=True)))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in out], pa.int64()), pa.array([p[0] if p else 0.0 for _, p in out], pa.float64()), pa.array([p[:64] for _, p in out], pa.list_(pa.float64()))], ["toxic", "n", "best", "parts"])
+                out.append((len(words), [x for _, _, x in maximal_segments(s)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in out], pa.int64()), pa.array([max(p, default=0.0) for _, p in out], pa.float64()), pa.array([p for _, p in out], pa.list_(pa.float64()))], ["toxic", "n", "best", "parts"])
 
-    return train.mapInArrow(run, "toxic int, n long, best double, parts array<double>").orderBy("n", "best", "toxic").toPandas()
+    return storage.stage(spark, train.select("toxic", "fold", "text").mapInArrow(run, "toxic int, n long, best double, parts array<double>"), "segments")
 
 
 def fit_extremes(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -246,39 +262,54 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[flo
     return tuple(float(v) for v in w)
 
 
+def original_places(text: str, lowered: str) -> list[int] | None:
+    """For each place in ``lowered`` that in ``text``; None if they are the same."""
+    if len(text) == len(lowered):
+        return None
+    out = [i for i, c in enumerate(text) for _ in c.lower()]
+    return [*out, len(text)]
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", output: str = "toxicity") -> DataFrame:
     """``docs`` with ``output`` (a column of that name is replaced): score, predicted, and the significant passages
-    (start, stop in code points, score, expected number by chance)."""
+    (start, stop in code points of the text, score, expected number by chance)."""
     spark = docs.sparkSession
+    storage.small_batches(spark)
     shared = spark.sparkContext.broadcast((model.tables[-1], model.lam, model.k, model.weights))
     kind = "struct<score:double,predicted:int,passages:array<struct<start:bigint,stop:bigint,score:double,expected:double>>>"
     shape = pa.struct([("score", pa.float64()), ("predicted", pa.int32()), ("passages", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())])))])
+    if text_col == output:
+        raise ValueError("the output would replace the text")
+    rows = docs.drop(output)
+    at = rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, lam, k, weights = shared.value
         m, words_to = Model(table[None], lam, k, weights), Scores(table)
-        for b in batches:
+        for b in (whole.slice(i, SOME) for whole in batches for i in range(0, whole.num_rows, SOME)):
             out = []
-            for cell in b.column(b.num_columns - 1):
-                text = (cell.as_py() or "").lower()
-                words = _WORD.findall(text)
+            for cell in b.column(at):
+                text = cell.as_py() or ""
+                lowered = text.lower()
+                words = _WORD.findall(lowered)
                 found = maximal_segments(np.array([words_to[w] for w in words]))
                 value = m.score(len(words), found)
                 marked = [(s, e, x) for s, e, x in found if m.expected(len(words), x) <= E_VALUE] if weights else []
                 if marked:
-                    places = [w.span() for w in _WORD.finditer(text)]
-                    marked = [{"start": places[s][0], "stop": places[e - 1][1], "score": x, "expected": m.expected(len(words), x)} for s, e, x in marked]
+                    spans, back = [w.span() for w in _WORD.finditer(lowered)], original_places(text, lowered)
+                    first = lambda i: back[i] if back else i  # noqa: B023, E731
+                    marked = [{"start": first(spans[s][0]), "stop": first(spans[e - 1][1] - 1) + 1, "score": x, "expected": m.expected(len(words), x)} for s, e, x in marked]
                 out.append({"score": value, "predicted": int(value >= 0.5), "passages": marked})
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, shape)], names=[*b.schema.names[:-1], output])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, shape)], names=[*b.schema.names, output])
 
-    rows = docs.withColumn("_quern_text", F.col(text_col)).drop(output)
-    schema = StructType([*rows.schema.fields[:-1], StructField(output, DataType.fromDDL(kind))])
+    schema = StructType([*rows.schema.fields, StructField(output, DataType.fromDDL(kind))])
     return rows.mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that aren't predicted toxic, with all their columns."""
-    return score(docs, fit(docs, labels, id_col, text_col), text_col, "_quern_toxicity").where("_quern_toxicity.predicted = 0").drop("_quern_toxicity")
+    name = storage.free_name(docs.columns, "_quern_toxicity")
+    return score(docs, fit(docs, labels, id_col, text_col), text_col, name).where(f"{name}.predicted = 0").drop(name)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -322,7 +322,7 @@ def test_members_that_their_leader_refuses_meet(spark, monkeypatch):
     rows = []
     for i, t in enumerate(texts):
         least = shingle_links.no_hashes()
-        rows.append((i, i, simhash.sketch(t, 5, least), least.tobytes(), [1]))  # all in one bucket
+        rows.append((i, i, simhash.sketch(t, 5, least), shingle_links.signature(least), [1]))  # all in one bucket
     prints = storage.stage(spark, spark.createDataFrame(rows, "row long, doc_id long, fp long, signature binary, bands array<long>"), "prints")
     distinct = storage.stage(spark, prints.groupBy("fp").agg(F.count("*").alias("n")), "distinct")
     sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts]
