@@ -9,18 +9,25 @@ a third of all rows with one value is cut like any other.
 
 The cut of all nodes of a level is found at once by refining histograms: each
 pass sums bytes by node and bin (native partial aggregation; at most 2^BITS bins
-a node and a few dozen nodes reach the driver), and the bin that holds the
+a node and 2^MOST_BITS bins in all reach the driver), and the bin that holds the
 target is refined until it is light. Rows get their node by a lookup in the
 level's cuts and are written narrow once a level; no pass shuffles a row. Slots are numbered by (shard, bucket) in parallel.
 
-Law ``bytes``: sizes are near equal; a cut misses its target by less than half a
-document, and each level divides what it got.
+Leaves are given by number, or by the bytes they may hold (``target_bytes``): the
+tree then splits until its leaves' mean is at most that.
+
+Law ``bytes``: sizes are near equal. Tolerance: a cut misses its target by less
+than half a document, or half of a last bin, which weighs at most ``NEAR`` of a
+shard; each level divides what it got. Equal texts are points like any others
+and may be parted, as one group may be larger than a shard.
 
 Defined cases: a null text counts 16 bytes and has the checksum of the empty
-text; null ids, languages and sources have a place of their own; repeated rows
-are told apart by scan order; an empty table gives an empty result; fewer rows
-than shards leave shards empty; other columns are ignored. The points are
-written once to shared storage, and the input is read only for that.
+text; ids that aren't numbers are placed by their hash; null ids, languages and
+sources have a place of their own; repeated rows are told apart by scan order,
+which is written once; a text of any length is one point; an empty table gives an
+empty result; fewer rows than shards leave shards empty; other columns are
+ignored. The points are written to shared storage, and the input is read only for
+that.
 """
 
 from __future__ import annotations
@@ -30,12 +37,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from quern import storage
 
 GRID = 16  # bits of a dimension's grid
 TIE = 46  # bits of the hash that breaks ties
-BITS = 12  # bits refined in a pass
+BITS = 12  # bits refined in a pass, at most
+MOST_BITS = 18  # bits of bins that a pass brings to the driver, over all nodes
 NEAR = 1e-3  # a bin that weighs at most this part of a shard needn't be refined
 SLOT_ROWS = 20_000
 
@@ -62,9 +71,11 @@ def points(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, so
         F.shiftrightunsigned(F.xxhash64(named(source_col)), 64 - GRID).alias("source"),
     )
     raw = storage.stage(spark, raw.withColumn("tie", F.shiftrightunsigned(F.xxhash64("doc_id", "row"), 64 - TIE)), "points")
-    lo, hi, big = raw.agg(F.min(F.col("doc_id").cast("double")), F.max(F.col("doc_id").cast("double")), F.max("size")).first()
     top = (1 << GRID) - 1
-    place = F.when(F.lit((hi or 0) > (lo or 0)), (F.col("doc_id").cast("double") - F.lit(lo)) / F.lit(max((hi or 0) - (lo or 0), 1)) * top).otherwise(F.lit(0))
+    numeric = isinstance(raw.schema["doc_id"].dataType, NumericType)
+    along = F.col("doc_id").cast("double") if numeric else F.when(F.col("doc_id").isNotNull(), F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - GRID).cast("double"))
+    lo, hi, big = raw.agg(F.min(along), F.max(along), F.max("size")).first()
+    place = F.when(F.lit((hi or 0) > (lo or 0)), (along - F.lit(lo)) / F.lit(max((hi or 0) - (lo or 0), 1)) * top).otherwise(F.lit(0))
     size = F.log2(F.col("size").cast("double")) / F.log2(F.lit(float(max(big or 2, 2)))) * top
     return raw.select(
         "row", "doc_id", "size", "crc", "tie", "lang", "source",
@@ -99,7 +110,7 @@ def median(tagged: DataFrame, level: list[Node], each: float) -> None:
             n.dim = max(range(len(DIMS)), key=lambda d: r[f"hi_{DIMS[d]}"] - r[f"lo_{DIMS[d]}"])
             goal[r.node] = r.w * ((n.hi - n.lo) // 2) / (n.hi - n.lo)
     while goal:
-        shift = max(0, span - BITS)
+        shift = max(0, span - max(1, min(BITS, MOST_BITS - len(goal).bit_length())))
         p = place([n.dim for n in level], F.col("node")) - F.get(F.array(*[F.lit(b).cast("long") for b in base]), F.col("node"))
         seen = tagged.where(F.col("node").isin(*goal)).withColumn("p", p).where((F.col("p") >= 0) & (F.col("p") < (1 << span)))
         sums = defaultdict(list)
@@ -132,10 +143,13 @@ def build(rows: DataFrame, shards: int) -> tuple[DataFrame, list[Node]]:
     return tagged, level
 
 
-def shard(docs: DataFrame, shards: int = 40, id_col="doc_id", text_col="text", lang_col="lang", source_col="source") -> DataFrame:
-    """``row``, ``doc_id``, ``size``, ``crc``, ``shard`` and ``slot`` (gapless in its shard) of every row."""
+def shard(docs: DataFrame, shards: int = 40, id_col="doc_id", text_col="text", lang_col="lang", source_col="source", target_bytes: int | None = None) -> DataFrame:
+    """``row``, ``doc_id``, ``size``, ``crc``, ``shard`` and ``slot`` (gapless in its shard) of every row,
+    in ``shards`` shards, or in as many as leaves of ``target_bytes`` take."""
     rows = points(docs, id_col, text_col, lang_col, source_col)
-    total = rows.count()
+    total, size = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if target_bytes is not None:
+        shards = max(1, -(-size // target_bytes))
     placed, leaves = build(rows, shards)
     placed = placed.select("row", "doc_id", "size", "crc", "tie", F.get(F.array(*[F.lit(n.lo) for n in leaves]), F.col("node")).alias("shard"))
     buckets = max(16, total // (shards * SLOT_ROWS))

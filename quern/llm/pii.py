@@ -17,8 +17,8 @@ The first four are the base; added spans never remove or change one. Spans are
 in code points, end exclusive.
 
 Defined cases: a null or empty text has no span; overlapping spans of different
-kinds are all kept; repeated rows are judged alike; other columns are ignored.
-A text is scanned once, and each parser only moves on from the last span's end,
+kinds are all kept; repeated rows are judged alike; an empty table gives an empty
+result; other columns are ignored. A text is scanned once, and each parser only moves on from the last span's end,
 so work and memory are linear in the text, however long.
 """
 
@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern import storage
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "account", "url", "secret")
 
@@ -165,20 +167,27 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 out.append([{"kind": k, "start": s, "stop": e, "value": text[s:e]} for k, v in find(text, anchors).items() for s, e in v])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, shape)], ["doc_id", "found"])
 
+    storage.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, found array<struct<kind:string,start:bigint,stop:bigint,value:string>>")
 
 
 def redact(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
-    """``text`` with each span replaced by its kind; the earliest of overlapping spans wins."""
+    """``text`` without any character of a span: overlapping spans are replaced
+    together, by the kind of the one that begins first (the longest of those)."""
     if not found:
         return text
-    out, at = [], 0
+    out, past = [], 0
+    joined_spans: list[list] = []
     for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2])):
-        if s >= at:
-            out += [text[at:s], f"<{kind}>"]
-            at = e
-    return "".join([*out, text[at:]])
+        if joined_spans and s < joined_spans[-1][2]:
+            joined_spans[-1][2] = max(joined_spans[-1][2], e)
+        else:
+            joined_spans.append([kind, s, e])
+    for kind, s, e in joined_spans:
+        out += [text[past:s], f"<{kind}>"]
+        past = e
+    return "".join([*out, text[past:]])
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:

@@ -5,14 +5,14 @@ compiles the table to column expressions over the words and lines of a text:
 one narrow pass without shuffle and without user functions. Words, windows and
 sorted windows are materialised once each, in projections that follow another.
 
-Repeated passages: the 64-bit hash of every window of 8 words is taken; equal
-hashes within one text count as equal windows (for a text of a million words a
-false match has a chance below 1e-7). Only texts that have such windows sort them.
+Repeated passages: the 64-bit hash of every window of 8 words is taken, and texts
+that have equal hashes sort them. Windows of one hash are then compared by their
+words; should two differ, the text's windows are sorted by their words instead.
 
 Defined cases: a null or empty text has no words, zero ratios and fails the base
 rule; a text of any length is judged whole; repeated rows are judged alike; an
-empty table gives an empty result; other columns are carried along, and must
-only not begin with ``_quern_``.
+empty table gives an empty result; other columns, whatever their names, are
+carried along (a column ``quality`` is replaced).
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern import storage
+
 WINDOW = 8
 
 # The most frequent function words of English, French, German and Spanish.
@@ -56,55 +58,61 @@ RULES = (
 )
 
 
-def compile_rules(rules=RULES) -> Column:
-    """True where every rule holds."""
+def compile_rules(rules=RULES, measures: str = "m") -> Column:
+    """True where every rule holds for the struct ``measures``."""
     out = F.lit(True)
+    value = lambda x: F.col(f"{measures}.{x}")
     for r in rules:
         holds = F.lit(True)
         if r.low is not None:
-            holds = holds & (F.col(f"_quern_m.{r.measure}") >= r.low)
+            holds = holds & (value(r.measure) >= r.low)
         if r.high is not None:
-            holds = holds & (F.col(f"_quern_m.{r.measure}") <= r.high)
-        out = out & ((F.col("_quern_m.n_words") < r.from_words) | holds if r.from_words else holds)
+            holds = holds & (value(r.measure) <= r.high)
+        out = out & ((value("n_words") < r.from_words) | holds if r.from_words else holds)
     return out
 
 
 def judge(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with ``quality``: a struct of all measures, ``base_failed`` and ``kept``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words, n = F.col("_quern_words"), F.size("_quern_words")
-    out = docs.withColumn("_quern_words", F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != ""))
+    a_words, a_win, a_tied, a_lines, a_c, a_m, a_f = (storage.free_name(docs.columns, f"_quern_{x}") for x in ("words", "win", "tied", "lines", "c", "m", "f"))
+    words, n = F.col(a_words), F.size(a_words)
+    out = docs.withColumn(a_words, F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != ""))
     starts = F.when(n >= WINDOW, F.sequence(F.lit(1), n - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
-    out = out.withColumn("_quern_win", F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
-    win = F.col("_quern_win")
+    out = out.withColumn(a_win, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+    win = F.col(a_win)
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     tied = F.when(F.size(F.array_distinct(win)) == F.size(win), none).otherwise(F.sort_array(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    out = out.withColumn("_quern_tied", tied)
-    s = F.col("_quern_tied")
+    out = out.withColumn(a_tied, tied)
+    s = F.col(a_tied)
     again = F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]))
-    again = F.sort_array(F.transform(again, lambda x: x["i"]))
+    again = F.transform(again, lambda x: x["i"])
+    window = lambda i: F.slice(words, i + 1, WINDOW)
+    unlike = F.exists(F.transform(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) & (window(F.get(s, i - 1)["i"]) != window(x["i"]))), lambda x: F.coalesce(x, F.lit(False)))
+    exact = F.sort_array(F.transform(starts, lambda i: F.struct(F.slice(words, i, WINDOW).alias("w"), (i - 1).alias("i"))))
+    exactly = F.transform(F.filter(exact, lambda x, i: (F.get(exact, i - 1)["w"] == x["w"]) | (F.get(exact, i + 1)["w"] == x["w"])), lambda x: x["i"])
     covered = F.aggregate(
-        again,
+        F.sort_array(F.when(unlike, exactly).otherwise(again)),
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("sum")),
         lambda a, x: F.struct(x.alias("last"), (a["sum"] + F.least(F.lit(WINDOW), x - a["last"])).alias("sum")),
         lambda a: a["sum"],
     )
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
-    out = out.withColumn("_quern_lines", lines)
+    out = out.withColumn(a_lines, lines)
     per = lambda x: x / F.greatest(n, F.lit(1))
     measures = {
         "n_words": n.cast("long"),
         "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
-        "n_lines": F.size("_quern_lines").cast("long"),
-        "n_dup_lines": (F.size("_quern_lines") - F.size(F.array_distinct("_quern_lines"))).cast("long"),
+        "n_lines": F.size(a_lines).cast("long"),
+        "n_dup_lines": (F.size(a_lines) - F.size(F.array_distinct(a_lines))).cast("long"),
         "n_repeat_words": covered.cast("long"),
         "n_stop": F.size(F.filter(words, lambda w: F.lower(F.btrim(w, F.lit(TRIM))).isin(*STOP_WORDS))),
         "n_echo": F.size(F.filter(words, lambda w, i: (i > 0) & (F.get(words, i - 1) == w))),
         "n_emphasis": F.regexp_count(text, F.lit("[!?]")),
     }
-    out = out.withColumn("_quern_c", F.struct(*[v.alias(k) for k, v in measures.items()])).drop("_quern_words", "_quern_win", "_quern_tied", "_quern_lines")
-    c, n = F.col("_quern_c"), F.col("_quern_c.n_words")
+    out = out.withColumn(a_c, F.struct(*[v.alias(k) for k, v in measures.items()])).drop(a_words, a_win, a_tied, a_lines)
+    c, n = F.col(a_c), F.col(f"{a_c}.n_words")
     ratios = {
         "mean_word": per(c["word_chars"]),
         "symbol_ratio": per(c["n_symbols"]),
@@ -113,10 +121,10 @@ def judge(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
         "echo_ratio": per(c["n_echo"]),
         "dup_line_ratio": c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1)),
     }
-    out = out.withColumn("_quern_m", F.struct("_quern_c.*", *[v.alias(k) for k, v in ratios.items()])).drop("_quern_c")
-    failed = (F.col("_quern_m.n_words") < 20) | (100 * F.col("_quern_m.n_repeat_words") > 30 * F.col("_quern_m.n_words"))
-    out = out.withColumn("_quern_f", failed)
-    return out.withColumn("quality", F.struct("_quern_m.*", F.col("_quern_f").alias("base_failed"), (~F.col("_quern_f") & compile_rules(rules)).alias("kept"))).drop("_quern_m", "_quern_f")
+    out = out.withColumn(a_m, F.struct(f"{a_c}.*", *[v.alias(k) for k, v in ratios.items()])).drop(a_c)
+    failed = (F.col(f"{a_m}.n_words") < 20) | (100 * F.col(f"{a_m}.n_repeat_words") > 30 * F.col(f"{a_m}.n_words"))
+    out = out.withColumn(a_f, failed)
+    return out.withColumn("quality", F.struct(f"{a_m}.*", F.col(a_f).alias("base_failed"), (~F.col(a_f) & compile_rules(rules, a_m)).alias("kept"))).drop(a_m, a_f)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

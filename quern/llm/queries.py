@@ -11,11 +11,11 @@ from quern.llm.quality import OP10_SQL, op10_quality
 from quern.llm.simhash import op6_simhash
 from quern.llm.toxicity import op2_toxicity
 from quern.llm.url_filter import OP5_SQL, op5_url_filter
-from quern.llm.warc import op1_warc
+from quern.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
     f.__name__: f
     for f in (op1_warc, op2_toxicity, op3_packing, op4_kd_shards, op5_url_filter, op6_simhash, op7_pii, op8_mixing, op9_exact_dedup, op10_quality)
 }
 
-ORACLE_SQL = {"op5_url_filter": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op10_quality": OP10_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_url_filter": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op10_quality": OP10_SQL}

@@ -3,18 +3,23 @@
 Hosts whose pages a rule allows are trusted seeds, hosts whose pages a rule
 blocks are distrusted ones, each weighted by its share of all pages. Trust runs
 along host edges by personalised PageRank, distrust against them (who links to
-a blocked host is suspect). Edges are the absolute links of the pages, and the
+a blocked host is suspect). Edges are the links of the pages that name a host, and the
 steps between a host and its parent domain, both ways. A host whose distrust is
 at least ``RATIO`` times its trust, and not 0, is blocked where no rule decides.
 
+Rounds go on until the masses change by at most ``TOLERANCE`` of the seeds' mass
+in ``EVERY`` rounds. As a round shrinks any difference by ``DAMPING``, what is
+then unsettled is below 0.61 ``TOLERANCE`` of the seeds' mass.
+
 All steps are DataFrame operations: links are counted per pair of hosts before
-anything iterates, every ``EVERY`` rounds are written to shared storage, and the
-verdicts of hosts meet the pages by a lookup that no hot host slows.
+anything iterates, masses are written to shared storage on the way, hosts with a
+large share of all edges get their mass by broadcast (`storage.HOT_KEYS` at
+most), and the verdicts of hosts meet the pages by a lookup that no hot host slows.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and,
 if no rule fits, is allowed; null html has no links; repeated rows count as
-pages of their own; an empty table gives an empty result; other columns are
-ignored.
+pages of their own; a page of any length is searched whole; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +39,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DAMPING, ROUNDS, EVERY, RATIO = 0.85, 9, 3, 2.0
-LINK = r"""(?i:href|src)\s*=\s*["']?[A-Za-z][A-Za-z0-9+.-]*://([^/?#"'\s<>]+)"""
+DAMPING, EVERY, TOLERANCE, RATIO = 0.85, 6, 1e-4, 2.0
+#: Edges up to which rounds are worked in groups of EVERY; beyond, each is written.
+FEW_EDGES = 100_000
+LINK = r"""(?i:href|src)\s*=\s*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -61,6 +68,7 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     links = pages.select(host, F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(LINK), 1)).alias("to"))
     links = links.where("size(to) > 0").select("src", F.explode("to").alias("dst")).select("src", F.translate("dst", UPPER, LOWER).alias("dst"))
     links = links.where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    links = storage.stage(pages.sparkSession, links, "host_links")  # the pages are searched once
     hosts = pages.select(host).unionByName(links.select(F.col("dst").alias("src"))).distinct()
     labels = F.split("src", "\\.")
     # a host and all its parent domains of two labels or more, each beside the next
@@ -80,15 +88,33 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     total = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     both = storage.stage(spark, both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "host_edges")
     seeds = storage.stage(spark, seeds, "seeds")
-    mass = seeds
-    for i in range(1, ROUNDS + 1):
-        flow = both.join(mass.withColumnRenamed("host", "src"), ["kind", "src"])
+    edges_n, whole = both.count(), seeds.agg(F.sum("mass")).first()[0] or 0.0
+    start = seeds.select("kind", "host", (F.lit(1 - DAMPING) * F.col("mass")).alias("mass"))
+    hubs = None
+    if edges_n > FEW_EDGES:
+        degree = both.groupBy("kind", "src").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, edges_n // storage.HOT_KEYS))
+        hubs = F.broadcast(storage.stage(spark, degree.select("kind", "src"), "hubs"))  # HOT_KEYS at most
+        far, near = both.join(hubs, ["kind", "src"], "left_anti"), both.join(hubs, ["kind", "src"], "left_semi")
+
+    def spread(mass: DataFrame) -> DataFrame:
+        mass = mass.withColumnRenamed("host", "src")
+        flow = both.join(mass, ["kind", "src"])
+        if hubs is not None:
+            flow = far.join(mass, ["kind", "src"]).unionByName(near.join(F.broadcast(mass.join(hubs, ["kind", "src"], "left_semi")), ["kind", "src"]))
         flow = flow.select("kind", F.col("dst").alias("host"), (F.lit(DAMPING) * F.col("share") * F.col("mass")).alias("mass"))
-        start = seeds.select("kind", "host", (F.lit(1 - DAMPING) * F.col("mass")).alias("mass"))
-        mass = flow.unionByName(start).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if i % EVERY == 0:
-            mass = storage.stage(spark, mass, "mass")
-    return mass
+        return flow.unionByName(start).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+
+    mass = seeds
+    while True:
+        now = mass
+        for _ in range(EVERY):
+            now = spread(now)
+            now = now if hubs is None else storage.stage(spark, now, "mass")
+        now = storage.stage(spark, now, "mass") if hubs is None else now
+        apart = now.unionByName(mass.withColumn("mass", -F.col("mass"))).groupBy("kind", "host").agg(F.abs(F.sum("mass")).alias("x"))
+        if (apart.agg(F.sum("x")).first()[0] or 0.0) <= TOLERANCE * whole:
+            return now
+        mass = now
 
 
 def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -115,26 +141,23 @@ def op5_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
+SQL_ROUNDS = 60  # 0.85^60 is 6e-5
+
+
 def _sql() -> str:
     ranked = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, a) for a, h, p in ranked]
     rule = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in fits) + " END"
     action = "CASE " + " ".join(f"WHEN {c} THEN '{a}'" for c, _, a in fits) + " END"
-    rounds = "".join(
-        f""", m{i} AS (SELECT kind, host, sum(mass) AS mass FROM (
-  SELECT e.kind, e.dst AS host, {DAMPING} * e.share * m.mass AS mass FROM e JOIN m{i - 1} m ON m.kind = e.kind AND m.host = e.src
-  UNION ALL SELECT kind, host, {1 - DAMPING} * mass FROM m0) GROUP BY kind, host)"""
-        for i in range(1, ROUNDS + 1)
-    )
     return rf"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, html, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages
 ), r AS (SELECT *, {rule} AS rule, {action} AS act FROM u),
 link AS (
   SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (
-    SELECT host AS src, translate(unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '(?i:href|src)\s*=\s*["'']?[A-Za-z][A-Za-z0-9+.-]*://([^/?#"''\s<>]+)', 1))), '{UPPER}', '{LOWER}') AS dst FROM u
+    SELECT host AS src, translate(unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '(?i:href|src)\s*=\s*["'']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"''\s<>]+)', 1))), '{UPPER}', '{LOWER}') AS dst FROM u
   ) WHERE src <> '' AND src <> dst GROUP BY src, dst
 ), hosts AS (SELECT DISTINCT string_split(h, '.') AS p FROM (SELECT host AS h FROM u UNION ALL SELECT dst FROM link)),
 step AS (
@@ -148,8 +171,15 @@ e AS (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src)
 m0 AS (
   SELECT CASE act WHEN 'allow' THEN 't' ELSE 'd' END AS kind, host, count(*) / (SELECT count(*) FROM pages) AS mass
   FROM r WHERE act IS NOT NULL AND host <> '' GROUP BY 1, 2
-){rounds},
-s AS (SELECT host, sum(mass) FILTER (kind = 't') AS t, sum(mass) FILTER (kind = 'd') AS d FROM m{ROUNDS} GROUP BY host)
+), m AS (
+  SELECT 0 AS i, kind, host, mass FROM m0
+  UNION ALL
+  SELECT i + 1, kind, host, sum(mass) FROM (
+    SELECT m.i, e.kind, e.dst AS host, {DAMPING} * e.share * m.mass AS mass FROM m JOIN e ON m.kind = e.kind AND m.host = e.src WHERE m.i < {SQL_ROUNDS}
+    UNION ALL SELECT x.i, m0.kind, m0.host, {1 - DAMPING} * m0.mass FROM m0, (SELECT DISTINCT i FROM m WHERE i < {SQL_ROUNDS}) x
+  ) GROUP BY i, kind, host
+),
+s AS (SELECT host, sum(mass) FILTER (kind = 't') AS t, sum(mass) FILTER (kind = 'd') AS d FROM m WHERE i = {SQL_ROUNDS} GROUP BY host)
 SELECT page_id, host, path, rule,
        coalesce(act, CASE WHEN coalesce(d, 0) > 0 AND d >= {RATIO} * coalesce(t, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM r LEFT JOIN s USING (host)

@@ -14,10 +14,17 @@ because many rows share it. Every writing task makes bundles under names of its
 own and reports them in the index: what a lost or repeated task leaves behind
 isn't listed and is never read.
 
+Reading goes by the index alone: a task opens a bundle, takes its seek table from
+the footer, reads the frames that hold wanted records by byte range and cuts the
+records at their frame-relative places.
+
 Defined cases: a null payload is empty; a null url leaves out the target URI;
-a null id is below all ids; among repeated rows of the largest id the one read
-last is the response; an empty table makes no bundle and reads back empty; other
-columns are ignored. The input is read twice, so it should be a table.
+ids of any characters are percent-encoded in record ids, so an empty id isn't a
+null one; a null id is below all ids; among repeated rows of the largest id the
+last by file and place is the response; a payload of any length that a cell can
+hold (2 GB) is one record in one frame, so sizes fit the table's 32 bits; an
+empty table makes no bundle and reads back empty; other columns are ignored. The
+input is read twice; rows are told apart by `storage.numbered`.
 """
 
 from __future__ import annotations
@@ -27,6 +34,8 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -46,11 +55,12 @@ RECORDS = "record_id string, page_id string, url string, record_type string, ref
 
 
 def record_id(page_id: str | None, row: int) -> str:
-    return f"urn:quern:page:{'' if page_id is None else page_id}:{row}"
+    return f"urn:quern:null:{row}" if page_id is None else f"urn:quern:page:{quote(page_id, safe='', errors='surrogatepass')}:{row}"
 
 
 def id_of(record: str) -> str | None:
-    return record.split(":", 3)[3].rpartition(":")[0] or None
+    _, _, kind, rest = record.split(":", 3)
+    return None if kind == "null" else unquote(rest.rpartition(":")[0], errors="surrogatepass")
 
 
 def b32(digest: bytes) -> str:
@@ -137,8 +147,10 @@ def seek_table(tail: bytes) -> list[tuple[int, int, int]]:
 def write(pages: DataFrame, folder: str, id_col="page_id", url_col="url", payload_col="html", revisit_from: int = 0, date="2024-01-01T00:00:00Z") -> DataFrame:
     """Write a record per row below ``folder``; the index of what was written."""
     spark = pages.sparkSession
+    storage.small_batches(spark)
+    pages, number = storage.numbered(pages)
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"))
+    rows = pages.select(F.col(number).alias("row"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     heads = storage.stage(spark, rows.where(F.octet_length("payload") >= revisit_from).select("digest", F.struct(F.col("id").isNotNull().alias("some"), "id", "row").alias("who")), "payloads")
     many = heads.groupBy("digest").agg(F.count("*").alias("n"), F.max("who").alias("who")).where("n > 1")
@@ -188,55 +200,59 @@ def _record(head: dict[str, str], block: bytes) -> dict:
 _SHAPE = pa.schema([(k, pa.string()) for k in ("record_id", "page_id", "url", "record_type", "refers_to")] + [("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
 
-def read(spark: SparkSession, folder: str, index: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records of the bundles that ``index`` lists, frame by frame."""
-    if index.limit(1).count() == 0:
-        return spark.createDataFrame([], RECORDS)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
-    names = storage.stage(spark, index.select("bundle").distinct(), "bundles")
-    few = names.count() <= 100_000  # some MB of names; bundles' contents needn't be shuffled to meet them
-    listed = files.join(F.broadcast(names) if few else names, "bundle", "left_semi").select("content")
+def fetch(folder: str, wanted: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records of the index rows ``wanted``, by their places: of each bundle the
+    footer and only the frames that hold one of them are read."""
+    spark = wanted.sparkSession
+    # a bundle has a bounded number of records: those of BUNDLE_BYTES, and one more
+    entries = wanted.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frame", "offset", "length"))).alias("at"))
+    entries = storage.stage(spark, entries, "wanted")
+    n = max(1, min(entries.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        disk, base = pafs.FileSystem.from_uri(folder)
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for cell in batch.column(0):
-                data = cell.as_buffer()
-                for at, packed, size in seek_table(bytes(data.slice(max(0, data.size - (8 << 20))))):
-                    rows = [_record(*r) for r in parse_records(unpack.decompress(data.slice(at, packed), max_output_size=size))]
+        for bundle, places in ((b.column(0)[i].as_py(), b.column(1)[i].as_py()) for b in batches for i in range(b.num_rows)):
+            with disk.open_input_file(f"{base}/{bundle}") as file:
+                end = file.size()
+                frames = struct.unpack("<I", file.read_at(4, end - 9))[0]
+                table = seek_table(file.read_at(9 + 8 * frames, end - 9 - 8 * frames))
+                for frame, found in groupby(places, key=lambda p: p["frame"]):
+                    at, packed, size = table[frame]
+                    data = unpack.decompress(file.read_at(packed, at), max_output_size=size)
+                    rows = [_record(*next(parse_records(data[p["offset"] : p["offset"] + p["length"]]))) for p in found]
                     if not payloads:
                         for r in rows:
                             r["payload"] = None
                     yield pa.RecordBatch.from_pylist(rows, schema=_SHAPE)
 
-    return listed.mapInArrow(run, RECORDS)
+    return entries.repartition(n, "bundle").mapInArrow(run, RECORDS)
 
 
-def fetch(folder: str, wanted: DataFrame) -> DataFrame:
-    """Random access: the records of the index rows ``wanted``, by reading a
-    bundle's footer once and only the frames that hold one of them."""
-    entries = wanted.groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "length")).alias("at"))  # a frame holds a bounded number
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        disk, base = pafs.FileSystem.from_uri(folder)
-        unpack, tables = zstandard.ZstdDecompressor(), {}
-        for batch in batches:
-            for b, f, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with disk.open_input_file(f"{base}/{b}") as file:
-                    if b not in tables:
-                        end = file.size()
-                        n = struct.unpack("<I", file.read_at(4, end - 9))[0]
-                        tables = {b: seek_table(file.read_at(9 + 8 * n, end - 9 - 8 * n))}
-                    at, packed, size = tables[b][f]
-                    data = unpack.decompress(file.read_at(packed, at), max_output_size=size)
-                yield pa.RecordBatch.from_pylist([_record(*next(parse_records(data[p["offset"] : p["offset"] + p["length"]]))) for p in places], schema=_SHAPE)
-
-    return entries.mapInArrow(run, RECORDS)
+def read(folder: str, index: DataFrame, payloads: bool = True) -> DataFrame:
+    """All records that ``index`` lists."""
+    return fetch(folder, index, payloads)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
     """Archive all ``pages`` and read the archives back, a row per page."""
     folder = storage.new_path(spark, "warc")
     index = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    found = read(spark, folder, index, payloads=False)
+    found = read(folder, index, payloads=False)
     return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT DISTINCT h, sha1(h) AS x FROM p),
+b AS (
+  SELECT h, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((CAST('0x' || substr(x, 1 + 5 * CAST(k // 4 AS INT), 5) AS INT) >> CAST(15 - 5 * (k % 4) AS INT)) & 31), 1)), '') AS digest
+  FROM d
+), w AS (
+  SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS top, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS place FROM p
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN top END AS refers_to
+FROM w JOIN b USING (h)
+"""

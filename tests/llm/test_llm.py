@@ -45,7 +45,7 @@ def docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-@pytest.mark.parametrize("name,module", [("op9_exact_dedup", exact_dedup), ("op10_quality", quality), ("op5_url_filter", url_filter)])
+@pytest.mark.parametrize("name,module", [("op1_warc", warc), ("op9_exact_dedup", exact_dedup), ("op10_quality", quality), ("op5_url_filter", url_filter)])
 def test_sql(spark, sf, name, module):
     con = duckdb.connect()
     for t in ("documents", "pages"):
@@ -64,7 +64,7 @@ def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int").repartition(3)
     folder = f"file://{tmp_path}/w"
     index = warc.write(pages, folder)
-    got = warc.read(spark, folder, index).collect()
+    got = warc.read(folder, index).collect()
     assert len(got) == len(rows)
     by = {}
     for r in got:
@@ -78,9 +78,9 @@ def test_warc_round_trip(spark, tmp_path):
     assert by["3"][0].refers_to == "4" and sorted(r.record_type for r in by["9"]) == ["response", "revisit"]
     wanted = index.where("page_id in ('2', '5')")
     assert sorted(r.payload_bytes for r in warc.fetch(folder, wanted).collect()) == [8, 800_000]
-    limit = warc.read(spark, folder + "2", warc.write(pages, folder + "2", revisit_from=5)).where("page_id in ('3', '4')")
+    limit = warc.read(folder + "2", warc.write(pages, folder + "2", revisit_from=5)).where("page_id in ('3', '4')")
     assert {r.record_type for r in limit.collect()} == {"response"}
-    assert warc.read(spark, folder + "3", warc.write(pages.limit(0), folder + "3")).count() == 0
+    assert warc.read(folder + "3", warc.write(pages.limit(0), folder + "3")).count() == 0
 
 
 # 2
