@@ -1,4 +1,11 @@
-"""Conversations: filters, rendering, turn pairs and supervision masks."""
+"""Conversations: filters, rendering, turn pairs and supervision masks.
+
+A training sequence opens with a BOS, the text of a leading system turn and a user
+mark; each pair is user mark, text, assistant mark, answer, end mark (so the first
+user mark comes twice). Answers and their end marks are supervised. A pair that is
+too long by itself is left out; a conversation that doesn't fit otherwise gives
+nothing, or is cut between pairs if ``split``.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +17,9 @@ from quern.functions import text as t
 
 ROLES = ("system", "user", "assistant")
 
+# Labels of roles in rendered conversations; other roles keep their name.
+LABELS = {"user": "用户", "assistant": "助手", "system": "系统", "human": "用户", "gpt": "助手"}
+
 
 def conversations(turns: DataFrame) -> DataFrame:
     """One row a conversation: ``turns`` in order, as an array of role and text."""
@@ -31,12 +41,17 @@ def remapped(role: Column, names: dict[str, str]) -> Column:
 
 
 def rendered(turns: Column, labels: dict[str, str] | None = None) -> Column:
-    """``label:text`` of every turn, a blank line between; null if there is none."""
-    labels = labels or {"user": "User", "assistant": "Assistant", "system": "System"}
-    lines = F.transform(turns, lambda x: F.concat(remapped(x["role"], labels), F.lit(":"), x["text"]))
+    """``label:text`` of every turn that has text, a blank line between; null if there is none."""
+    full = F.filter(turns, lambda x: F.coalesce(x["text"], F.lit("")) != "")
+    lines = F.transform(full, lambda x: F.concat(remapped(F.coalesce(x["role"], F.lit("")), LABELS if labels is None else labels), F.lit(":"), x["text"]))
     return F.nullif(F.array_join(lines, "\n\n"), F.lit(""))
 
 
+def asked(question: Column, answer: Column) -> Column:
+    """A question and its answer as two turns."""
+    return F.array(F.struct(F.lit("user").alias("role"), question.alias("text")), F.struct(F.lit("assistant").alias("role"), answer.alias("text")))
+
+
 def pairs(turns: DataFrame) -> DataFrame:
     """Each user turn with the assistant turn that follows at once, or null."""
     by = "over (partition by conv_id order by turn)"
@@ -44,60 +59,76 @@ def pairs(turns: DataFrame) -> DataFrame:
     return out.where("role = 'user'").select("conv_id", "turn", "text", F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("answer"))
 
 
-def pair_lengths(turns: DataFrame, seq_len: int, double_user: bool = False) -> DataFrame:
-    """A row a conversation: ``total`` tokens, ``supervised`` tokens (answers and their end)
-    and ``overflow`` (it wouldn't fit ``seq_len`` and is dropped). A pair is user mark, text,
-    assistant mark, answer, end mark; a segment starts with a BOS."""
-    answer = t.n_tokens(F.col("answer"))
-    has = F.col("answer").isNotNull()
-    mark = 2 if double_user else 1
-    one = F.lit(mark) + t.n_tokens(F.col("text")) + F.when(has, 2 + answer).otherwise(0)
-    got = pairs(turns).groupBy("conv_id").agg((1 + F.sum(one)).cast("long").alias("total"), F.sum(F.when(has, answer + 1).otherwise(0)).cast("long").alias("supervised"))
-    return got.withColumn("overflow", F.col("total") > seq_len)
+def opening(turns: DataFrame) -> DataFrame:
+    """``conv_id`` and ``system``, the text of a leading system turn or null, of every conversation."""
+    first = turns.groupBy("conv_id").agg(F.min_by(F.struct("role", "text"), "turn").alias("x"))
+    return first.select("conv_id", F.when(F.col("x.role") == "system", F.nullif(F.col("x.text"), F.lit(""))).alias("system"))
+
+
+def pair_lengths(turns: DataFrame, seq_len: int, size=t.n_tokens) -> DataFrame:
+    """A row a conversation with a user turn: ``total`` tokens, ``supervised`` tokens, ``skipped``
+    pairs that are too long by themselves, ``overflow`` (the rest wouldn't fit and is dropped)
+    and ``emitted`` (it fits and has something supervised). ``size`` counts a text's tokens."""
+    answer, has = size(F.col("answer")), F.col("answer").isNotNull()
+    one = F.lit(1) + size(F.col("text")) + F.when(has, 2 + answer).otherwise(0)
+    head = F.coalesce(size(F.col("system")), F.lit(0))
+    got = pairs(turns).join(opening(turns), "conv_id").select("conv_id", one.alias("n"), F.when(has, answer + 1).otherwise(0).alias("s"), head.alias("h"), F.col("system").isNotNull().alias("some"))
+    fits = 1 + F.when(F.col("some"), F.col("h") + 1).otherwise(0) + F.col("n") <= seq_len
+    got = got.groupBy("conv_id").agg((2 + F.max("h") + F.sum(F.when(fits, F.col("n")).otherwise(0))).cast("long").alias("total"), F.sum(F.when(fits, F.col("s")).otherwise(0)).cast("long").alias("supervised"), F.count(F.when(~fits, 1)).alias("skipped"))
+    got = got.withColumn("overflow", F.col("total") > seq_len)
+    return got.withColumn("emitted", ~F.col("overflow") & (F.col("supervised") > 0))
+
+
+def encoded(turns: DataFrame, tok, seq_len: int) -> DataFrame:
+    """``conv_id``, ``ids`` and ``mask`` of every conversation that fits and has something supervised, in column expressions."""
+    m = {k: F.array(F.lit(v)) for k, v in tok.marks.items()}
+    user = F.concat(m["user"], tok.encode(F.col("text")))
+    answer = F.when(F.col("answer").isNotNull(), F.concat(tok.encode(F.col("answer")), m["end"])).otherwise(F.array().cast("array<int>"))
+    got = pairs(turns).select("conv_id", "turn", user.alias("u"), answer.alias("a"), F.col("answer").isNotNull().alias("has"))
+    mark = F.when(F.col("has"), m["assistant"]).otherwise(F.array().cast("array<int>"))
+    got = got.select("conv_id", "turn", F.concat("u", mark, "a").alias("ids"), (F.size("u") + F.size(mark)).alias("plain"))
+    got = got.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "ids", "plain"))).alias("parts"))
+    got = got.join(opening(turns).select("conv_id", F.when(F.col("system").isNotNull(), tok.encode(F.col("system"))).alias("s")), "conv_id")
+    prefix = F.lit(1) + F.when(F.col("s").isNotNull(), F.size("s") + 1).otherwise(0)
+    got = got.withColumn("parts", F.filter("parts", lambda p: prefix + F.size(p["ids"]) <= seq_len))
+    head = F.concat(m["bos"], F.coalesce("s", F.array().cast("array<int>")), m["user"])
+    mask = F.transform("parts", lambda p: F.concat(F.array_repeat(F.lit(0), p["plain"]), F.array_repeat(F.lit(1), F.size(p["ids"]) - p["plain"])))
+    got = got.select("conv_id", F.concat(head, F.flatten(F.transform("parts", lambda p: p["ids"]))).alias("ids"), F.concat(F.array_repeat(F.lit(0), F.size(head)), F.flatten(mask)).alias("mask"))
+    return got.where((F.size("ids") <= seq_len) & F.array_contains("mask", 1))
 
 
 SEGMENT = T.ArrayType(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.ByteType()))]))
 
 
-def encode_turns(turns: list[tuple[str, str]], encode, marks: dict[str, int], seq_len: int, split: bool = False, double_user: bool = False) -> list[tuple[list[int], list[int]]]:
-    """Segments (ids, mask) of one conversation. The mask is 1 on answers and their end mark.
-
-    Without ``split`` a conversation that overflows ``seq_len`` gives nothing; with it,
-    pairs go to as many segments as needed and a pair too long by itself is left out.
-    An assistant turn without a user turn before it is left out; a segment without
-    supervision is not returned. ``double_user`` repeats the first user mark.
-    """
-    system = next((x for r, x in turns if r == "system" and turns[0][0] == "system"), None)
-    head = [marks["bos"]] + (encode(system) + [marks["system"]] if system else []) + ([marks["user"]] if double_user else [])
+def encode_turns(turns: list[tuple[str, str]], encode, marks: dict[str, int], seq_len: int, split: bool = False) -> list[tuple[list[int], list[int]]]:
+    """Segments (ids, mask) of one conversation. An assistant turn without a user turn before
+    it is left out; a segment without supervision is not returned."""
+    system = encode(turns[0][1]) if turns and turns[0][0] == "system" and turns[0][1] else None
+    head = [marks["bos"], *(system or []), marks["user"]]
+    least = 1 + (len(system) + 1 if system is not None else 0)
     out, ids, mask = [], list(head), [0] * len(head)
-
-    def close() -> None:
-        nonlocal ids, mask
-        if any(mask):
-            out.append((ids, mask))
-        ids, mask = list(head), [0] * len(head)
-
     i = 0
     while i < len(turns):
         role, text = turns[i]
         i += 1
         if role != "user":
             continue
-        part = [marks["user"]] + encode(text)
+        part = [marks["user"], *encode(text)]
         sup = [0] * len(part)
         if i < len(turns) and turns[i][0] == "assistant":
-            answer = encode(turns[i][1]) + [marks["end"]]
-            part, sup = part + [marks["assistant"]] + answer, sup + [0] + [1] * len(answer)
+            answer = [*encode(turns[i][1]), marks["end"]]
+            part, sup = [*part, marks["assistant"], *answer], [*sup, 0, *[1] * len(answer)]
             i += 1
+        if least + len(part) > seq_len:
+            continue
         if len(ids) + len(part) > seq_len:
             if not split:
                 return []
-            close()
-            if len(ids) + len(part) > seq_len:
-                continue
+            if any(mask):
+                out.append((ids, mask))
+            ids, mask = list(head), [0] * len(head)
         ids, mask = ids + part, mask + sup
-    close()
-    return out
+    return [*out, (ids, mask)] if any(mask) else out
 
 
 def segments(convs: DataFrame, encode, marks: dict[str, int], seq_len: int, split: bool = False) -> DataFrame:

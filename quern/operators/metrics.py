@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern import storage
+from quern.functions import text as t
 
-def proportion(rows: DataFrame, by: str, flag: Column) -> DataFrame:
-    """Share, its binomial standard error and count, by group and pooled (group null)."""
+
+def proportion(rows: DataFrame, by: str, flag: Column, length: Column | None = None) -> DataFrame:
+    """Share, its binomial standard error, count and mean ``length``, by group and pooled (group null)."""
     p = F.avg(flag.cast("int"))
-    return rows.rollup(by).agg(F.count("*").alias("n"), p.alias("share")).withColumn("se", F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("n")))
+    mean = [] if length is None else [F.avg(length).alias("mean_length")]
+    return rows.rollup(by).agg(F.count("*").alias("n"), p.alias("share"), *mean).withColumn("se", F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("n")))
 
 
 def log_likelihood(logprobs: Column, top: Column, tokens: Column) -> tuple[Column, Column]:
@@ -28,21 +32,44 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def bleu(rows: DataFrame, hyp: str, ref: str, key: str, order: int = 4) -> DataFrame:
+def bleu(rows: DataFrame, hyp: str, ref: str, order: int = 4) -> DataFrame:
     """Corpus BLEU of two word arrays: clipped n-gram matches and totals of the corpus,
-    exponential smoothing of empty orders, brevity penalty."""
-    grams = None
+    exponential smoothing of empty orders, brevity penalty. Matches are counted within
+    a row, so the corpus is one sum."""
+    parts = rows.select(F.col(hyp).alias("h"), F.col(ref).alias("r"))
+    for n in range(1, order + 1):
+        parts = parts.withColumn(f"h{n}", ngrams(F.col("h"), n)).withColumn(f"r{n}", ngrams(F.col("r"), n))
+    clipped = lambda n: F.aggregate(
+        F.array_intersect(f"h{n}", f"r{n}"), F.lit(0), lambda a, g: a + F.least(F.size(F.filter(f"h{n}", lambda x: x == g)), F.size(F.filter(f"r{n}", lambda x: x == g)))
+    )
+    sums = [x for n in range(1, order + 1) for x in (F.sum(clipped(n)).alias(f"m{n}"), F.sum(F.size(f"h{n}")).alias(f"t{n}"))]
+    got = parts.agg(*sums, F.sum(F.size("h")).alias("hyp_len"), F.sum(F.size("r")).alias("ref_len"))
+    total, empty = F.lit(0.0), F.lit(0)
     for n in range(1, order + 1):
-        h = rows.select(key, F.explode(ngrams(F.col(hyp), n)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("h"))
-        r = rows.select(key, F.explode(ngrams(F.col(ref), n)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("r"))
-        one = h.join(r, [key, "g"], "left").agg(F.coalesce(F.sum(F.least("h", F.coalesce("r", F.lit(0)))), F.lit(0)).alias("match"), F.coalesce(F.sum("h"), F.lit(0)).alias("total"))
-        one = one.select(F.lit(n).alias("n"), "match", "total")
-        grams = one if grams is None else grams.unionByName(one)
-    sizes = rows.agg(F.sum(F.size(hyp)).alias("hyp_len"), F.sum(F.size(ref)).alias("ref_len"))
-    empty = F.expr("sum(case when match = 0 then 1 else 0 end) over (order by n)")
-    logs = grams.withColumn("e", empty).select(F.log(F.when(F.col("match") > 0, F.col("match") / F.col("total")).otherwise(1 / (F.pow(F.lit(2.0), "e") * F.greatest("total", F.lit(1))))).alias("l"))
+        none = F.coalesce(F.col(f"m{n}"), F.lit(0)) == 0
+        empty = empty + none.cast("int")
+        total = total + F.log(F.when(none, 1 / (F.pow(F.lit(2.0), empty) * F.greatest(f"t{n}", F.lit(1)))).otherwise(F.col(f"m{n}") / F.col(f"t{n}")))
     brevity = F.when(F.col("hyp_len") >= F.col("ref_len"), 1.0).otherwise(F.exp(1 - F.col("ref_len") / F.greatest("hyp_len", F.lit(1))))
-    return logs.agg(F.avg("l").alias("l")).crossJoin(sizes).select((100 * brevity * F.exp("l")).alias("bleu"), F.col("hyp_len").cast("long").alias("hyp_len"), F.col("ref_len").cast("long").alias("ref_len"))
+    return got.select((100 * brevity * F.exp(total / order)).alias("bleu"), F.col("hyp_len").cast("long").alias("hyp_len"), F.col("ref_len").cast("long").alias("ref_len"))
+
+
+def words_13a(c: Column) -> Column:
+    """The words that the 13a tokenisation of translation scoring gives."""
+    for old, new in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return t.words(_split_marks(F.concat(F.lit(" "), c, F.lit(" "))))
+
+
+def words_zh(c: Column) -> Column:
+    """Chinese characters and marks one by one, the rest as in 13a."""
+    return t.words(_split_marks(F.regexp_replace(c, "([\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{3000}-\\x{303F}\\x{FF00}-\\x{FFEF}])", " $1 ")))
+
+
+def _split_marks(c: Column) -> Column:
+    # The rules of the 13a tokenisation, in order.
+    for rule, new in (("([\\{-~\\[-` -&\\(-+:-@/])", " $1 "), ("([^0-9])([.,])", "$1 $2 "), ("([.,])([^0-9])", " $1 $2"), ("([0-9])(-)", "$1 $2 ")):
+        c = F.regexp_replace(c, rule, new)
+    return c
 
 
 def nucleus(rows: DataFrame, by: str, p: str, tie: str, top_p: float) -> DataFrame:
@@ -52,22 +79,65 @@ def nucleus(rows: DataFrame, by: str, p: str, tie: str, top_p: float) -> DataFra
 
 
 def ema(rows: DataFrame, by: str, order: str, value: str, keep: float = 0.9) -> DataFrame:
-    """Exponential mean seeded by the first value: a fold over each group's series."""
-    series = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("s"))
-    fold = F.aggregate(F.slice("s", 2, 1 << 30), F.get("s", F.lit(0))[value], lambda a, x: keep * a + (1 - keep) * x[value])
-    return series.select(by, fold.alias("ema"))
-
-
-def learning_rate(step: Column, warm: int, total: int, floor: float, shape: str = "cosine", decay_from: float = 0.8) -> Column:
-    """Factor of the peak rate: linear warm-up, then cosine, linear or hold-and-decay to ``floor``."""
-    share = (step - warm) / max(total - warm, 1)
+    """Exponential mean at the end of each series, seeded by its first value: a weighted sum over
+    places counted from the end, so a long series needn't fit a task."""
+    series = rows.select(by, order, value)
+    first = series.groupBy(by).agg(F.count("*").alias("_n"))
+    back = storage.running(storage.stage(rows.sparkSession, series.join(first, by), "series"), [by], [f"-{order}"], at="_back")
+    weight = F.pow(F.lit(keep), "_back") * F.when(F.col("_back") == F.col("_n") - 1, 1.0).otherwise(1 - keep)
+    return back.groupBy(by).agg(F.sum(weight * F.col(value)).alias("ema"))
+
+
+def learning_rate(step: Column, warm: int, total: int, floor: float, shape: str = "cosine", decay: int = 0) -> Column:
+    """Factor of the peak rate: linear warm-up from 0, then cosine, linear, or held until the last
+    ``decay`` steps (a tenth of all if 0) and lowered to ``floor``; it stays there past the end."""
+    share = F.least(F.lit(1.0), (step - warm) / max(1, total - warm))
     if shape == "cosine":
         after = floor + (1 - floor) * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * share))
     elif shape == "linear":
-        after = 1 - (1 - floor) * share
+        after = F.greatest(F.lit(floor), 1 - share * (1 - floor))
+    elif shape == "wsd":
+        decay = decay or max(1, total // 10)
+        after = F.when(step < total - decay, 1.0).otherwise(floor + (1 - floor) * (1 - F.least(F.lit(1.0), (step - (total - decay)) / max(1, decay))))
     else:
-        after = F.when(share < decay_from, 1.0).otherwise(1 - (1 - floor) * (share - decay_from) / (1 - decay_from))
-    return F.when(step < warm, (step + 1) / max(warm, 1)).otherwise(F.greatest(after, F.lit(floor)))
+        raise ValueError(f"unknown schedule {shape!r}")
+    return F.when(step < warm, step / max(1, warm)).otherwise(after)
+
+
+def momentum(step: Column, warm: int, start: float, end: float) -> Column:
+    """Linear from ``start`` to ``end`` in ``warm`` steps."""
+    return F.lit(end) if warm <= 0 else start + F.least(F.lit(1.0), step / warm) * (end - start)
+
+
+def masked_loss(loss: Column, valid: Column) -> Column:
+    """Summed loss of the valid places over their number (1 at least)."""
+    return F.sum(F.when(valid, loss).otherwise(0.0)) / F.greatest(F.sum(valid.cast("int")), F.lit(1))
+
+
+def tokens_per_char(tokens: Column, text: Column) -> Column:
+    return F.sum(tokens) / F.greatest(F.sum(F.char_length(text)), F.lit(1))
+
+
+def spread(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Range and sample deviation over repeated runs."""
+    return rows.groupBy(by).agg(F.count("*").alias("runs"), (F.max(value) - F.min(value)).alias("range"), F.stddev(value).alias("sd"))
+
+
+def throughput(rows: DataFrame, by: str, at: str, units: Column) -> DataFrame:
+    """Units a second between a group's first and last record; null if no time has passed."""
+    got = rows.groupBy(by).agg(F.sum(units).alias("units"), F.timestamp_diff("MICROSECOND", F.min(at), F.max(at)).alias("us"))
+    return got.select(by, "units", (F.col("us") / 1e6).alias("seconds"), F.when(F.col("us") > 0, F.col("units") / (F.col("us") / 1e6)).alias("rate"))
+
+
+def stop_check(rows: DataFrame, by: str, said: Column, used: Column, budget: int, ends: Column) -> DataFrame:
+    """How often the engine's word and the heuristic (budget left, or a stop token last) disagree on a natural stop."""
+    guess = (used < budget) | ends
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(said.cast("int")).alias("stopped"), F.sum((said != guess).cast("int")).alias("disagree"))
+
+
+def first_batches(rows: DataFrame, key: str, size: int, most: int) -> DataFrame:
+    """The rows of the first ``most`` batches of a capped evaluation."""
+    return rows.orderBy(key).limit(size * most)
 
 
 def retained(steps: DataFrame, last: int, every: int) -> DataFrame:

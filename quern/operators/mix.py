@@ -1,14 +1,17 @@
 """Quotas, shard plans, ordered cuts, epochs and seeded orders.
 
 Orders are total and come from keys, never from partitions, so results don't
-depend on how many tasks ran. Ordered cuts work on a per-group window.
+depend on how many tasks ran. Places and running sums come from sorted ranges
+(`storage.running`), so neither a hot group nor the whole table is one task's work.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern import storage
+
 
 def quotas(weights: DataFrame, total: int, seq_len: int, cap: int, workers: int) -> DataFrame:
     """``source``, ``weight`` and ``files`` to tokens, shards and rows a shard."""
@@ -19,16 +22,21 @@ def quotas(weights: DataFrame, total: int, seq_len: int, cap: int, workers: int)
     return out.withColumn("shard_rows", F.greatest(F.floor(F.col("shard_tokens") / seq_len), F.lit(1)).cast("long"))
 
 
+def placed(rows: DataFrame, by: list[str], order: list[str], sums: tuple[str, ...] = (), at: str = "at") -> DataFrame:
+    """Narrow ``rows`` with their place in their group, and running sums (see `storage.running`)."""
+    return storage.running(storage.stage(rows.sparkSession, rows, "placed"), by, order, sums, at)
+
+
 def round_robin(files: DataFrame, shards: int, by: str, order: str) -> DataFrame:
     """Files dealt in order to the shards of their source."""
-    return files.withColumn("shard", F.expr(f"(row_number() over (partition by {by} order by {order}) - 1) % {shards}").cast("long"))
+    return placed(files, [by], [order], at="shard").withColumn("shard", (F.col("shard") % shards).cast("long"))
 
 
 def token_budget(rows: DataFrame, by: str, order: str, length: Column, budget: int) -> DataFrame:
-    """Rows of each group until the budget is reached; the row that crosses it is the last."""
-    out = rows.withColumn("n", length.cast("long"))
-    out = out.withColumn("before", F.expr(f"sum(n) over (partition by {by} order by {order}) - n"))
-    return out.where(F.col("before") < budget)
+    """``by``, ``order``, ``n`` and ``before`` of the rows of each group until the budget is
+    reached; the row that crosses it is the last."""
+    out = placed(rows.select(by, order, length.cast("long").alias("n")), [by], [order], ("n",))
+    return out.select(by, order, "n", F.col("n_before").alias("before")).where(F.col("before") < budget)
 
 
 def first_of_each(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
@@ -57,12 +65,43 @@ def epoch_seed(seed: int, epoch: int) -> int:
 
 def resumed(rows: DataFrame, seed: int, epoch: int, consumed: int, key: str, held: int) -> DataFrame:
     """What an epoch still has to read: training rows (all but the last ``held`` by key) in the
-    epoch's order, without the first ``consumed``. Ranks come from range partitions, not one task."""
-    train = rows.where(~tail(F.col(key), rows, key, held))
-    return train.withColumn("_order", seeded_key(epoch_seed(seed, epoch), key)).orderBy("_order", key).offset(consumed).drop("_order")
+    epoch's order, without the first ``consumed``."""
+    train = rows.where(~tail(F.col(key), rows, key, held)).withColumn("_order", seeded_key(epoch_seed(seed, epoch), key))
+    return placed(train, [], ["_order", key], at="_at").where(F.col("_at") >= consumed).drop("_order", "_at")
+
+
+def after(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows without the first ``n`` by a unique key."""
+    keys = placed(rows.select(key), [], [key], at="_at").where(F.col("_at") >= n)
+    start = keys.agg(F.min(key)).first()[0]
+    return rows.where(F.lit(False) if start is None else F.col(key) >= F.lit(start))
 
 
 def tail(place: Column, rows: DataFrame, key: str, n: int) -> Column:
     """Whether a row is among the last ``n`` by key."""
     last = rows.orderBy(F.col(key).desc()).limit(n).agg(F.min(key)).first()[0]
     return place >= F.lit(last) if last is not None else F.lit(False)
+
+
+def latest(steps: DataFrame, having: DataFrame, key: str = "step") -> DataFrame:
+    """The largest step that also has its state."""
+    return steps.join(having, key, "left_semi").agg(F.max(key).alias(key))
+
+
+def batches(rows: DataFrame, key: str, length: str, size: int) -> DataFrame:
+    """Rows with ``batch`` and ``width``: batches of ``size`` by length, as wide as their longest; the key gives the old order back."""
+    out = placed(rows, [], [length, key], at="batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
+    return out.withColumn("width", F.max(length).over(Window.partitionBy("batch")))
+
+
+def longest_first(rows: DataFrame, key: str, length: str, at: str = "turn") -> DataFrame:
+    """The place of each row when the longest come first; the key gives the old order back."""
+    return placed(rows, [], [f"-{length}", key], at=at)
+
+
+def by_settings(requests: DataFrame, settings: list[str], key: str) -> DataFrame:
+    """Requests of the same settings under one ``group`` number, in the order of their first request."""
+    groups = requests.groupBy(*settings).agg(F.min(key).alias("_first"))
+    groups = placed(groups, [], ["_first"], at="group")
+    same = [requests[s].eqNullSafe(groups[s]) for s in settings]
+    return requests.join(groups, same).select(*[requests[c] for c in requests.columns], groups["group"])

@@ -19,6 +19,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern import storage
+
+
+def planned_shards(docs: DataFrame, by: str, order: str, length: Column, cap: int) -> DataFrame:
+    """``docs`` with ``shard``: each source's rows dealt by their id over as many shards as its tokens ask for (``cap`` each)."""
+    sized = docs.withColumn("n_tokens", length)
+    plan = sized.groupBy(by).agg(F.greatest(F.ceil(F.sum("n_tokens") / cap), F.lit(1)).alias("shards"))
+    plan = storage.stage(docs.sparkSession, plan, "shards")
+    plan = F.broadcast(plan) if plan.count() <= 100_000 else plan  # a row a source
+    return sized.join(plan, by).withColumn("shard", F.pmod(F.col(order), F.col("shards")).cast("long")).drop("shards", "n_tokens")
+
 
 def stream_offsets(docs: DataFrame, shard: list[str], order: str, length: Column) -> DataFrame:
     """``docs`` with ``n`` (tokens with their end token), ``off``, ``total`` of the shard."""
@@ -107,10 +118,11 @@ def bos_rows(lengths: Iterator[tuple[object, int]], seq_len: int, buffer: int, s
         yield row
 
 
-def bos_best_fit(docs: DataFrame, shard: str, order: str, length: str, seq_len: int, buffer: int = 1000) -> DataFrame:
+def bos_best_fit(docs: DataFrame, shard: str, order: str, length: str, seq_len: int, buffer: int = 1000, target: int | None = None) -> DataFrame:
     """``shard``, ``row``, ``ord``, ``at`` (place in the row) and ``taken`` of every use of a
     document, and a row with ``row`` = -1 whose ``ord``, ``at`` and ``taken`` are the
-    shard's tokens in, tokens dropped and tokens left in an unfilled row."""
+    shard's tokens in, tokens dropped and tokens left in an unfilled row. At most
+    ``target`` rows a shard, if given."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def records():
@@ -134,9 +146,13 @@ def bos_best_fit(docs: DataFrame, shard: str, order: str, length: str, seq_len:
                 for doc, taken in row:
                     out.append((name, i, doc, at, taken))
                     at += taken
+                if i + 1 == target:
+                    break
                 if len(out) >= 10_000:
                     yield pd.DataFrame(out, columns=["shard", "row", "ord", "at", "taken"])
                     out = []
+            for _ in of_shard():  # what a full shard leaves unread
+                pass
             out.append((name, -1, stats["in"], stats["dropped"], stats["partial"]))
             yield pd.DataFrame(out, columns=["shard", "row", "ord", "at", "taken"])
 
@@ -148,8 +164,8 @@ def bos_best_fit(docs: DataFrame, shard: str, order: str, length: str, seq_len:
 def chat_best_fit(segments: DataFrame, keys: list[str], order: str, length: str, seq_len: int, pool: int = 4000) -> DataFrame:
     """Segments with ``pool``, ``row`` and ``at``: pools of ``pool`` segments in order, each
     packed longest first, one descending scan a row; rows are padded to ``seq_len``."""
-    by = ", ".join(keys)
-    numbered = segments.withColumn("pool", F.expr(f"cast(floor((row_number() over (partition by {by} order by {order}) - 1) / {pool}) as long)"))
+    numbered = storage.running(storage.stage(segments.sparkSession, segments, "segments"), keys, [order], at="pool")
+    numbered = numbered.withColumn("pool", F.floor(F.col("pool") / pool).cast("long"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([length, order], ascending=[False, True], kind="stable").reset_index(drop=True)

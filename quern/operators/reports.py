@@ -47,5 +47,26 @@ def preferred(rows: DataFrame, by: str, rank: str, value: str) -> DataFrame:
 
 
 def grid(tags: DataFrame, tasks: DataFrame, results: DataFrame) -> DataFrame:
-    """Every tag with every task; blank where nothing was measured. Both lists are short by nature."""
-    return tags.crossJoin(F.broadcast(tasks)).join(results, ["tag", "task"], "left")
+    """Every tag with every task; blank where nothing was measured. Both lists are names of runs and tasks."""
+    return tags.crossJoin(tasks).join(results, ["tag", "task"], "left")
+
+
+def matrix_manifest(mix: str, seq_len: int, planned_total: int, planned: DataFrame, actual: DataFrame) -> DataFrame:
+    """One row that describes a packed matrix. ``planned``: source, weight; ``actual``: source, tokens."""
+    both = planned.join(actual, "source", "left").select("source", "weight", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+    total = both.agg(F.sum("tokens").cast("long").alias("actual_total"), F.array_sort(F.collect_list(F.struct("source", "weight", "tokens"))).alias("x"))  # a row a source of the mix
+    of = lambda value: F.map_from_entries(F.transform("x", lambda e: F.struct(e["source"], value(e))))
+    return total.select(
+        F.lit(mix).alias("mix"), F.lit(seq_len).cast("long").alias("seq_length"), F.lit(planned_total).cast("long").alias("planned_total"), "actual_total",
+        of(lambda e: e["weight"]).alias("planned_weights"), of(lambda e: e["tokens"]).alias("actual_tokens"),
+        of(lambda e: e["tokens"] / F.greatest("actual_total", F.lit(1))).alias("actual_weights"),
+    )
+
+
+def chat_manifest(mix: str, seq_len: int, packed: DataFrame, tasks: DataFrame, names: list[str]) -> DataFrame:
+    """One row that describes packed conversations. ``packed``: mask; ``tasks``: task, rows, tokens."""
+    supervised = F.sum(F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x)) / F.greatest(F.sum(F.size("mask")), F.lit(1))
+    whole = packed.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.size("mask")), F.lit(0)).cast("long").alias("total_tokens"), supervised.alias("supervised_ratio"))
+    each = tasks.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("task", "rows")))).alias("rows"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("task", "tokens")))).alias("actual_tokens"))
+    head = [F.lit(mix).alias("mix"), F.lit(seq_len).cast("long").alias("seq_length")]
+    return whole.crossJoin(each).select(*head, "chunks", "total_tokens", "supervised_ratio", F.array(*map(F.lit, names)).alias("tasks"), "rows", "actual_tokens")

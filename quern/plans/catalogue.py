@@ -2,46 +2,17 @@
 
 A query is registered by ``@query(sql)``; its function takes a loader of tables.
 Sources of ``documents`` stand for corpus sources, ``conversations`` for chats,
-``labels`` for gold labels and ``events`` for metric series.
+``labels`` for gold labels and ``events`` for metric series. Queries over files,
+evaluation and tokens are in the modules imported at the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as t
 from quern.operators import chat, generate, metrics, mix, packing, reports
-
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-WORDS = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
-SEQ = 1024
-
-
-class Tables:
-    def __init__(self, spark, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def r6(c) -> F.Column:
-    return F.round(c, 6)
+from quern.plans.queries import ORACLE_SQL, QUERIES, SEQ, WORDS, query, r6
 
 
 # Scans, filters and scalar functions
@@ -159,18 +130,26 @@ def shard_round_robin(d):
 @query(f"""SELECT doc_id, source, n, CAST(b AS BIGINT) AS before FROM (
   SELECT doc_id, source, n, sum(n) OVER (PARTITION BY source ORDER BY doc_id) - n AS b FROM (SELECT doc_id, source, CAST({WORDS} AS BIGINT) AS n FROM documents)) WHERE b < 5000""")
 def token_budget_cut(d):
-    return mix.token_budget(d.documents.select("doc_id", "source", "text"), "source", "doc_id", t.n_tokens(F.col("text")), 5000).select("doc_id", "source", "n", "before")
+    return mix.token_budget(d.documents, "source", "doc_id", t.n_tokens(F.col("text")), 5000)
 
 
 # Continuous packing
 
-OFFSETS_SQL = f"""WITH l AS (SELECT doc_id, source, doc_id % 8 AS shard, CAST({WORDS} + 1 AS BIGINT) AS n FROM documents WHERE text IS NOT NULL AND text <> ''),
+SHARD_TOKENS = 10_000  # of a shard as planned; a production plan has hundreds of millions
+
+LENGTHS = f"SELECT doc_id, source, CAST({WORDS} + 1 AS BIGINT) AS n FROM documents WHERE text IS NOT NULL AND text <> ''"
+OFFSETS_SQL = f"""WITH l0 AS ({LENGTHS}), plan AS (SELECT source, greatest(CAST(ceil(sum(n - 1) / {SHARD_TOKENS}) AS BIGINT), 1) AS shards FROM l0 GROUP BY source),
+l AS (SELECT doc_id, source, doc_id % shards AS shard, n FROM l0 JOIN plan USING (source)),
 o AS (SELECT *, CAST(sum(n) OVER (PARTITION BY source, shard) AS BIGINT) AS total, CAST(sum(n) OVER (PARTITION BY source, shard ORDER BY doc_id) - n AS BIGINT) AS off FROM l)"""
 
 
+def sharded(d):
+    docs = d.documents.where("text is not null and text <> ''").select("doc_id", "source", t.n_tokens(F.col("text")).alias("size"))
+    return packing.planned_shards(docs, "source", "doc_id", F.col("size"), SHARD_TOKENS)
+
+
 def offsets(d):
-    docs = d.documents.select("doc_id", "source", (F.col("doc_id") % 8).alias("shard"), "text").where("text is not null and text <> ''")
-    return packing.stream_offsets(docs, ["source", "shard"], "doc_id", t.n_tokens(F.col("text"))).drop("text")
+    return packing.stream_offsets(sharded(d), ["source", "shard"], "doc_id", F.col("size"))
 
 
 @query(OFFSETS_SQL + " SELECT doc_id, source, shard, n, off, total FROM o")
@@ -195,8 +174,14 @@ def pack_stream_rows(d):
 
 @query()
 def pack_bos_bestfit(d):
-    docs = d.documents.select("doc_id", (F.col("doc_id") % 8).alias("shard"), t.n_tokens(F.col("text")).alias("n"))
-    return packing.bos_best_fit(docs, "shard", "doc_id", "n", SEQ)
+    docs = sharded(d).withColumn("no", F.xxhash64("source", "shard"))
+    return packing.bos_best_fit(docs, "no", "doc_id", "size", SEQ)
+
+
+@query()
+def pack_bos_target(d):
+    docs = sharded(d).withColumn("no", F.xxhash64("source", "shard"))
+    return packing.bos_best_fit(docs, "no", "doc_id", "size", SEQ, target=4)
 
 
 @query()
@@ -226,10 +211,10 @@ def orphan_turns(d):
     return out.where((F.col("role") == "assistant") & ~F.col("before").eqNullSafe("user")).select("conv_id", "turn")
 
 
-@query("""SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE 'System' END || ':' || text, chr(10) || chr(10) ORDER BY turn) AS text
-FROM conversations WHERE role IN ('system', 'user', 'assistant') AND coalesce(text, '') <> '' GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '用户' WHEN 'assistant' THEN '助手' WHEN 'system' THEN '系统' ELSE role END || ':' || text, chr(10) || chr(10) ORDER BY turn) AS text
+FROM conversations WHERE coalesce(text, '') <> '' GROUP BY conv_id""")
 def render_chat_text(d):
-    return convs(d).select("conv_id", chat.rendered(chat.known_roles(F.col("turns"))).alias("text")).where("text is not null")
+    return convs(d).select("conv_id", chat.rendered(F.col("turns")).alias("text")).where("text is not null")
 
 
 @query("SELECT conv_id, CAST(count(*) AS BIGINT) AS turns FROM conversations WHERE role IN ('system', 'user', 'assistant') AND coalesce(text, '') <> '' GROUP BY conv_id")
@@ -242,35 +227,36 @@ def role_remap(d):
     return d.conversations.groupBy(chat.remapped(F.col("role"), {"user": "human", "assistant": "gpt"}).alias("role")).agg(F.count("*").alias("n"))
 
 
-LENGTHS_SQL = f"""WITH p AS ({TURNS_SQL}), n AS (
-  SELECT conv_id, {WORDS} AS q, CASE WHEN answer IS NOT NULL THEN {WORDS.replace('text', 'answer', 1)} END AS a FROM p),
-l AS (SELECT conv_id, CAST(1 + sum(1 + q + coalesce(2 + a, 0)) AS BIGINT) AS total, CAST(sum(coalesce(a + 1, 0)) AS BIGINT) AS supervised FROM n GROUP BY conv_id)"""
+LENGTHS_SQL = f"""WITH p AS ({TURNS_SQL}), f AS (SELECT conv_id, arg_min(role, turn) AS role, arg_min(coalesce(text, ''), turn) AS text FROM conversations GROUP BY conv_id),
+h AS (SELECT conv_id, role = 'system' AND text <> '' AS opened, CASE WHEN role = 'system' THEN {WORDS} ELSE 0 END AS h FROM f),
+n AS (SELECT conv_id, opened, h, 1 + coalesce({WORDS}, 0) + CASE WHEN answer IS NOT NULL THEN 2 + {WORDS.replace('text', 'answer', 1)} ELSE 0 END AS n,
+  CASE WHEN answer IS NOT NULL THEN 1 + {WORDS.replace('text', 'answer', 1)} ELSE 0 END AS s FROM p JOIN h USING (conv_id)),
+k AS (SELECT *, 1 + CASE WHEN opened THEN h + 1 ELSE 0 END + n <= ROOM AS fits FROM n),
+l0 AS (SELECT conv_id, CAST(2 + max(h) + coalesce(sum(n) FILTER (fits), 0) AS BIGINT) AS total, CAST(coalesce(sum(s) FILTER (fits), 0) AS BIGINT) AS supervised, count(*) FILTER (NOT fits) AS skipped FROM k GROUP BY conv_id),
+l AS (SELECT *, total > ROOM AS overflow, total <= ROOM AND supervised > 0 AS emitted FROM l0)"""
 
 
-@query(LENGTHS_SQL + " SELECT conv_id, total, supervised, total > 512 AS overflow FROM l")
+@query(LENGTHS_SQL.replace("ROOM", "128") + " SELECT conv_id, total, supervised, skipped, overflow, emitted FROM l")
 def encode_turns_lengths(d):
-    return chat.pair_lengths(d.conversations, 512)
+    return chat.pair_lengths(d.conversations, 128)
 
 
-@query(LENGTHS_SQL + " SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (total > 512) AS BIGINT) AS dropped, round(sum(supervised) FILTER (total <= 512) / sum(total) FILTER (total <= 512), 6) AS supervised_ratio FROM l")
-def supervised_ratio(d):
-    got = chat.pair_lengths(d.conversations, 512)
-    fits = F.when(~F.col("overflow"), 1)
-    return got.agg(F.count("*").alias("n"), F.count(F.when(F.col("overflow"), 1)).alias("dropped"), r6(F.sum(fits * F.col("supervised")) / F.sum(fits * F.col("total"))).alias("supervised_ratio"))
+@query(LENGTHS_SQL.replace("ROOM", "128") + " SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (overflow) AS BIGINT) AS overflowed, CAST(sum(skipped) AS BIGINT) AS skipped, CAST(count(*) FILTER (NOT emitted) AS BIGINT) AS dropped FROM l")
+def conversation_overflow_drop(d):
+    got = chat.pair_lengths(d.conversations, 128)
+    return got.agg(F.count("*").alias("n"), F.count(F.when(F.col("overflow"), 1)).alias("overflowed"), F.sum("skipped").alias("skipped"), F.count(F.when(~F.col("emitted"), 1)).alias("dropped"))
 
 
-@query(LENGTHS_SQL + """, k AS (SELECT conv_id, conv_id % 4 AS task, total FROM l WHERE total <= 512), o AS (
-  SELECT *, CAST(sum(total) OVER (PARTITION BY task ORDER BY conv_id) - total AS BIGINT) AS off, CAST(sum(total) OVER (PARTITION BY task) AS BIGINT) AS whole FROM k)
-SELECT task, whole // 1024 AS rows, CAST(max(off + total) - whole // 1024 * 1024 AS BIGINT) AS tail FROM o GROUP BY task, whole""")
-def pack_chat_stream(d):
-    got = chat.pair_lengths(d.conversations, 512).where("not overflow").select("conv_id", (F.col("conv_id") % 4).alias("task"), "total")
-    off = packing.stream_offsets(got.withColumnRenamed("total", "size"), ["task"], "conv_id", F.col("size") - 1)
-    return off.groupBy("task", "total").agg(F.max(F.col("off") + F.col("n")).alias("end")).select("task", F.floor(F.col("total") / SEQ).alias("rows"), (F.col("end") - F.floor(F.col("total") / SEQ) * SEQ).alias("tail"))
+@query(LENGTHS_SQL.replace("ROOM", "512") + " SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (NOT emitted) AS BIGINT) AS dropped, round(sum(supervised) FILTER (emitted) / sum(total) FILTER (emitted), 6) AS supervised_ratio FROM l")
+def supervised_ratio(d):
+    got = chat.pair_lengths(d.conversations, 512)
+    fits = F.when(F.col("emitted"), 1)
+    return got.agg(F.count("*").alias("n"), F.count(F.when(~F.col("emitted"), 1)).alias("dropped"), r6(F.sum(fits * F.col("supervised")) / F.sum(fits * F.col("total"))).alias("supervised_ratio"))
 
 
 @query()
 def pack_chat_bestfit(d):
-    got = chat.pair_lengths(d.conversations, SEQ).where("not overflow").select("conv_id", (F.col("conv_id") % 4).alias("task"), "total")
+    got = chat.pair_lengths(d.conversations, SEQ).where("emitted").select("conv_id", (F.col("conv_id") % 4).alias("task"), "total")
     return packing.chat_best_fit(got, ["task"], "conv_id", "total", SEQ)
 
 
@@ -292,7 +278,7 @@ def take_first_n(d):
 
 @query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents) WHERE k > 100 AND length(text) BETWEEN 20 AND 400 ORDER BY doc_id LIMIT 50")
 def holdout_prompts(d):
-    later = d.documents.select("doc_id", "text").orderBy("doc_id").offset(100)
+    later = mix.after(d.documents.select("doc_id", "text"), "doc_id", 100)
     return later.where(F.char_length("text").between(20, 400)).orderBy("doc_id").limit(50)
 
 
@@ -382,11 +368,12 @@ def ppl_from_loss(d):
     return rows.groupBy("event_type").agg(r6(metrics.perplexity(F.col("value"), F.col("n"))).alias("ppl"))
 
 
-@query("""SELECT vec_id, round(list_sum(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE))), 6) AS ll, list_aggregate(list_transform(embedding[1:8], lambda x: x > 0), 'bool_and') AS greedy FROM embeddings""")
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS ll, list_aggregate(list_transform(embedding, lambda x: x > -0.3), 'bool_and') AS greedy FROM embeddings""")
 def loglikelihood_greedy(d):
-    part = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
-    total, greedy = metrics.log_likelihood(part, F.transform(part, lambda x: (x > 0).cast("int")), F.transform(part, lambda x: F.lit(1)))
-    return d.embeddings.select("vec_id", r6(total).alias("ll"), greedy.alias("greedy"))
+    part = F.transform("embedding", lambda x: x.cast("double"))
+    top = F.transform("embedding", lambda x: (x > F.lit(-0.3)).cast("int"))
+    total, greedy = metrics.log_likelihood(part, top, F.transform(part, lambda x: F.lit(1)))
+    return d.embeddings.select("vec_id", F.round(total, 5).alias("ll"), greedy.alias("greedy"))
 
 
 NORM = "least(value / 1000.0, 0.05)"
@@ -400,11 +387,21 @@ def nucleus_keep(d):
     return metrics.nucleus(rows, "event_type", "p", "event_id", 0.5).groupBy("event_type").agg(F.count("*").alias("kept"))
 
 
-@query()
+BLEU_SQL = r"""WITH w AS (SELECT conv_id * 1000 + turn AS key, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS r FROM conversations WHERE role = 'user'),
+p AS (SELECT key, r, r[2:] AS h FROM w),
+hg AS (SELECT key, n, array_to_string(h[i:i + n - 1], ' ') AS g FROM (SELECT key, h, n, unnest(range(1, greatest(len(h) - n + 2, 1))) AS i FROM p, (VALUES (1), (2), (3), (4)) AS o(n)) WHERE i + n - 1 <= len(h)),
+rg AS (SELECT key, n, array_to_string(r[i:i + n - 1], ' ') AS g FROM (SELECT key, r, n, unnest(range(1, greatest(len(r) - n + 2, 1))) AS i FROM p, (VALUES (1), (2), (3), (4)) AS o(n)) WHERE i + n - 1 <= len(r)),
+hc AS (SELECT key, n, g, count(*) AS c FROM hg GROUP BY ALL), rc AS (SELECT key, n, g, count(*) AS c FROM rg GROUP BY ALL),
+m AS (SELECT hc.n, sum(least(hc.c, coalesce(rc.c, 0))) AS m, sum(hc.c) AS t FROM hc LEFT JOIN rc ON hc.key = rc.key AND hc.n = rc.n AND hc.g = rc.g GROUP BY hc.n),
+z AS (SELECT sum(len(h)) AS hl, sum(len(r)) AS rl FROM p)
+SELECT round(100 * CASE WHEN hl >= rl THEN 1 ELSE exp(1 - rl / greatest(hl, 1)) END * exp((SELECT avg(ln(m / t)) FROM m)), 6) AS bleu, CAST(hl AS BIGINT) AS hyp_len, CAST(rl AS BIGINT) AS ref_len FROM z"""
+
+
+@query(BLEU_SQL)
 def corpus_bleu(d):
-    rows = d.conversations.where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("key"), t.words(F.col("text")).alias("ref"))
-    rows = rows.withColumn("hyp", F.slice("ref", 2, 1 << 20))
-    return metrics.bleu(rows, "hyp", "ref", "key")
+    rows = d.conversations.where("role = 'user'").select(t.words(F.col("text")).alias("ref"))
+    got = metrics.bleu(rows.withColumn("hyp", F.slice("ref", 2, 1 << 20)), "hyp", "ref")
+    return got.withColumn("bleu", r6(F.col("bleu")))
 
 
 @query("SELECT b.item_id, string_agg(e.text, chr(10) ORDER BY e.item_id) || chr(10) || b.text AS prompt FROM benchmark b, (SELECT * FROM benchmark ORDER BY item_id LIMIT 3) e GROUP BY b.item_id, b.text")
@@ -433,9 +430,15 @@ def checkpoint_retention(d):
     return metrics.retained(d.orders.select(F.col("o_orderkey").alias("step")), 3, 500)
 
 
-@query("SELECT step, round(CASE WHEN step < 50 THEN (step + 1) / 50 ELSE greatest(0.1 + 0.9 * 0.5 * (1 + cos(3.141592653589793 * ((step - 50) / 950))), 0.1) END, 6) AS rate FROM (SELECT unnest(range(1000)) AS step)")
+RATE = """CASE WHEN step < 50 THEN step / 50 ELSE {} END"""
+SHARE = "least(1.0, (step - 50) / 950)"
+
+
+@query(f"""SELECT step, round({RATE.format(f"0.1 + 0.9 * 0.5 * (1 + cos(3.141592653589793 * {SHARE}))")}, 6) AS cosine, round({RATE.format(f"greatest(0.1, 1 - {SHARE} * 0.9)")}, 6) AS linear,
+round({RATE.format("CASE WHEN step < 900 THEN 1 ELSE 0.1 + 0.9 * (1 - least(1.0, (step - 900) / 100)) END")}, 6) AS wsd, round(0.85 + least(1.0, step / 300) * 0.1, 6) AS momentum FROM (SELECT unnest(range(1200)) AS step)""")
 def lr_schedule(d):
-    return d.spark.range(1000).select(F.col("id").alias("step"), r6(metrics.learning_rate(F.col("id"), 50, 1000, 0.1)).alias("rate"))
+    rate = lambda shape: r6(metrics.learning_rate(F.col("id"), 50, 1000, 0.1, shape)).alias(shape)
+    return d.spark.range(1200).select(F.col("id").alias("step"), rate("cosine"), rate("linear"), rate("wsd"), r6(metrics.momentum(F.col("id"), 300, 0.85, 0.95)).alias("momentum"))
 
 
 # Reports
@@ -470,10 +473,9 @@ def reconcile_keys(d):
     return reports.reconcile(d.documents.select("doc_id"), d.labels.select("doc_id"), "doc_id")
 
 
-@query("PIVOT (SELECT lang, source, length(text) AS n FROM documents WHERE source IN ('src0', 'src1', 'src2')) ON source IN ('src0', 'src1', 'src2') USING CAST(count(n) AS BIGINT) GROUP BY lang")
+@query("PIVOT (SELECT source, lang, doc_id FROM documents) ON lang IN ('de', 'en', 'es', 'fr') USING CAST(count(doc_id) AS BIGINT) GROUP BY source")
 def result_pivot(d):
-    got = d.documents.where(F.col("source").isin("src0", "src1", "src2")).groupBy("lang").pivot("source", ["src0", "src1", "src2"]).agg(F.count("text"))
-    return got.fillna(0)
+    return d.documents.groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.count("doc_id")).fillna(0)
 
 
 @query("SELECT source, arg_min(doc_id, doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY source")
@@ -525,3 +527,6 @@ def cosine_pairs(d):
 def labels_from_mask(d):
     got = t.labels_from_mask(F.array("label"), F.array(F.when(F.col("label") % 3 == 0, 0).otherwise(1)))
     return d.embeddings.select("vec_id", got[0].alias("first_label"))
+
+
+from quern.plans import evaluation, files, training  # noqa: E402, F401 - they register their queries

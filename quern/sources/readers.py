@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import storage
 from quern.functions import text as t
+from quern.operators import bitext as blocks
 from quern.operators import chat
 
 PLACE = ["_metadata.file_path as file", "_metadata.row_index as ord"]
@@ -67,6 +69,10 @@ def jsonl_instruct(spark: SparkSession, paths: list[str]) -> DataFrame:
     return instructions(jsonl(spark, paths, "instruction string, input string, output string"))
 
 
+# The kinds whose answers are long enough to teach.
+KINDS = ["BELLE", "Cot", "ProductDesc", "AncientPoem", "OpenQA", "MusicComment", "TextCorrection", "Composition", "Translation", "JinYongGeneration", "LyricGeneration", "Dictionary", "StoryGeneration", "Program", "ProseGeneration"]
+
+
 def jsonl_kinds(spark: SparkSession, paths: list[str], kinds: list[str] | None = None) -> DataFrame:
     """Kind, input and target; only the kinds listed, if any are."""
     rows = jsonl(spark, paths, "kind string, input string, target string")
@@ -113,13 +119,56 @@ def word_list(spark: SparkSession, paths: list[str]) -> DataFrame:
     return lines(spark, paths).select(t.strip(F.col("value")).alias("word")).where(F.col("word").rlike("^\\p{L}+$"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``ord`` (from 0) and ``value`` of the lines of one file, which is read in as many splits as it has."""
+    rows = storage.stage(spark, lines(spark, [path]).select("ord", "value"), "lines")
+    return storage.running(rows, [], ["ord"], at="line").select(F.col("line").alias("ord"), "value")
+
+
 def line_pairs(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Two files line by line; a line number is file order, so each is read in one split."""
-    read = lambda p, name: spark.read.option("wholetext", True).text(p).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("ord", name))
-    pairs = read(source, "src").join(read(target, "ref"), "ord")
+    """Two files line by line, as far as both go."""
+    pairs = numbered_lines(spark, source).withColumnRenamed("value", "src").join(numbered_lines(spark, target).withColumnRenamed("value", "ref"), "ord")
     return pairs.select("ord", t.strip(F.col("src")).alias("src"), t.strip(F.col("ref")).alias("ref"))
 
 
+def choices_flat(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Columns A to D and the letter of the answer, as test sets have them."""
+    return _parquet(spark, paths, "question", "array(A, B, C, D) as choices", "array('A', 'B', 'C', 'D') as letters", "answer").where("array_contains(letters, answer)")
+
+
+def choices_indexed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Choices and the answer's place from 0, as test sets have them."""
+    rows = _parquet(spark, paths, "question", "choices", "answer as at").where("at between 0 and size(choices) - 1")
+    return rows.withColumn("letters", F.transform("choices", lambda x, i: t.answer_letter(i))).withColumn("answer", t.answer_letter(F.col("at"))).drop("at")
+
+
+def packed(spark: SparkSession, ids: list[str], masks: list[str] | None = None) -> DataFrame:
+    """Packed rows (``ids``) of several shards as one table with a global ``index`` in shard order; with
+    ``masks``, a shard for each, ``labels`` too. Shards of unequal number, length or width raise."""
+    if masks is not None and len(masks) != len(ids):
+        raise ValueError(f"{len(masks)} mask files for {len(ids)} data files")
+
+    def shards(paths: list[str], name: str) -> DataFrame:
+        out = None
+        for i, p in enumerate(paths):
+            rows, number = storage.numbered(spark.read.parquet(p))
+            one = rows.select(F.lit(i).alias("shard"), F.col(number).alias("at"), name)
+            out = one if out is None else out.unionByName(one)
+        return storage.running(storage.stage(spark, out, "shards"), [], ["shard", "at"], at="index").select("index", "shard", name)
+
+    rows = shards(ids, "ids")
+    widths = rows.agg(F.min(F.size("ids")), F.max(F.size("ids"))).first()
+    if widths[0] != widths[1]:
+        raise ValueError(f"rows of {widths[0]} and {widths[1]} tokens")
+    if masks is None:
+        return rows
+    found = shards(masks, "mask")
+    count = lambda f: {r.shard: r.n for r in f.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    if count(rows) != count(found):
+        raise ValueError("data and mask shards differ in their rows")
+    return rows.join(found.select("index", "mask"), "index").withColumn("labels", t.labels_from_mask(F.col("ids"), F.col("mask")))
+
+
 def result_files(spark: SparkSession, folder: str) -> DataFrame:
     """``task``, ``metric``, ``value`` of JSON results below a folder; the first file of a task wins."""
     rows = spark.read.schema("results map<string,map<string,double>>").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).json(folder)
@@ -145,8 +194,59 @@ FORMATS = {
     "parquet_arc": choices_labelled,
     "parquet_mc_zh": choices_literal,
     "txt_wordlist": word_list,
+    "parquet_mc_flat": choices_flat,
+    "parquet_mc_test": choices_indexed,
 }
 
+#: What a format's rows are, for `read_text`.
+PLAIN = ("parquet", "parquet_text", "jsonl", "jsonl_gz")
+ANSWERED = ("parquet_qa", "jsonl_instruct", "jsonl_firefly", "json_alpaca")
+CHOICES = ("parquet_mc", "parquet_arc", "parquet_mc_zh", "parquet_mc_flat", "parquet_mc_test")
+
+
+def read_text(spark: SparkSession, fmt: str, paths: list[str], field: str | None = None, seed: int = 0, labels: dict[str, str] | None = None) -> DataFrame:
+    """One ``text`` column of any registered format: plain texts as they are, conversations, questions and choices
+    rendered with role labels, sentence pairs as blocks of 14."""
+    how = {"field": field} if field else {}
+    if fmt == "parquet_chat":  # roles that aren't known are kept, by name
+        rows = _parquet(spark, sorted(paths), f"`{field or 'messages'}` as raw")
+        turns = F.transform("raw", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("text")))
+    elif fmt in ("parquet_chat_sharegpt", "parquet_magpie"):
+        rows = _parquet(spark, sorted(paths), f"`{field or 'conversations'}` as raw")
+        turns = F.transform("raw", lambda x: F.struct(x["from"].alias("role"), x["value"].alias("text")))
+    else:
+        rows = read(spark, fmt, paths, **how)
+        if fmt in PLAIN:
+            return rows.select("text")
+        if fmt == "parquet_pair":
+            return blocks.documents(rows, ["file", "ord"], seed).select("text")
+        question = F.col("question")
+        if fmt in CHOICES:
+            if "context" in rows.columns:
+                question = F.concat_ws("\n", F.nullif(F.col("context"), F.lit("")), question)
+            question = t.render_choices_before(question, F.col("choices"))
+        elif fmt not in ANSWERED:
+            raise ValueError(f"{fmt!r} has no text form")
+        turns = chat.asked(question, F.col("answer"))
+    return rows.select(chat.rendered(turns, labels).alias("text")).where("text is not null")
+
+
+def parts(spark: SparkSession, patterns: list[str], need: bool = True) -> list[str]:
+    """The files that patterns of the file system match, sorted; none raises if they are needed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: set[str] = set()
+    for p in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        found |= {str(s.getPath()) for s in (path.getFileSystem(conf).globStatus(path) or [])}
+    if need and not found:
+        raise FileNotFoundError(f"nothing matches {patterns}")
+    return sorted(found)
+
+
+def digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file`` and ``sha`` of whole files."""
+    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha"))
+
 
 def read(spark: SparkSession, fmt: str, paths: list[str], **how) -> DataFrame:
     """Rows of a registered format; an unknown one raises."""

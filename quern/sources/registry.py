@@ -37,7 +37,7 @@ def weighted(mix: DataFrame, sources: DataFrame) -> DataFrame:
     lost = mix.join(sources, mix["source"] == sources["name"], "left_anti").limit(20).collect()
     if lost:
         raise KeyError(f"not registered: {sorted(r.source for r in lost)}")
-    return mix.join(F.broadcast(sources), mix["source"] == sources["name"])  # a registry is written by hand
+    return mix.join(sources, mix["source"] == sources["name"])
 
 
 def selected(files: DataFrame, patterns: list[str], n_parts: int | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +28,50 @@ def replay(rows: DataFrame, path: str, checkpoint: str):
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def pack_stream(docs: DataFrame, seq_len: int) -> DataFrame:
-    """Rows filled per shard of a stream (``shard``, ``n`` tokens): the unfilled rest is carried as state."""
+def hooked(rows: DataFrame, checkpoint: str, template: str, call: Callable[[str], None], step: str = "step", where: str = "ckpt"):
+    """For each record that arrives, ``call`` the template with its {step} and {ckpt}; a failure is
+    printed and doesn't end the stream. Records of a micro-batch are saves, a few at a time."""
+
+    def run(batch: DataFrame, _: int) -> None:
+        for r in batch.select(step, where).orderBy(step).toLocalIterator():
+            try:
+                call(template.replace("{step}", str(r[0])).replace("{ckpt}", str(r[1])))
+            except Exception as e:  # noqa: BLE001 - a hook must not stop what it watches
+                print(f"hook failed at step {r[0]}: {e}")
+
+    return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stop_gracefully(query, wait: float = 60.0) -> bool:
+    """Let a stream finish what it has begun, then stop it; its checkpoint goes on from there. True if it was idle in time."""
+    end = time.monotonic() + wait
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < end:
+        time.sleep(0.1)
+    idle = not (query.isActive and query.status["isTriggerActive"])
+    query.stop()
+    return idle
+
+
+PACKED = "shard long, row long, ids array<int>"
+STATE = "rest array<int>, rows long"
+
+
+def pack_stream(docs: DataFrame, seq_len: int, eos: int) -> DataFrame:
+    """Full rows of a stream of documents (``shard``, ``ord``, ``ids``): joined end to end with an end
+    token, in ``ord`` within what arrives together; less than a row is carried as state."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rest, rows = state.get if state.exists else (0, 0)
-        new = 0
+        rest, rows = state.get if state.exists else ([], 0)
+        rest, out = [int(x) for x in rest], []
         for f in frames:
-            rest += int(f["n"].sum())
-        new, rest = divmod(rest, seq_len)
-        state.update((rest, rows + new))
-        yield pd.DataFrame({"shard": [key[0]], "rows": [rows + new], "rest": [rest]})
+            for ids in f.sort_values("ord")["ids"]:
+                rest += [*(int(x) for x in ids), eos]
+                full = len(rest) // seq_len
+                out += [(key[0], rows + i, rest[i * seq_len : (i + 1) * seq_len]) for i in range(full)]
+                rest, rows = rest[full * seq_len :], rows + full
+            if out:
+                yield pd.DataFrame(out, columns=["shard", "row", "ids"])
+                out = []
+        state.update((rest, rows))
 
-    return docs.groupBy("shard").applyInPandasWithState(run, "shard long, rows long, rest long", "rest long, rows long", "update", GroupStateTimeout.NoTimeout)
+    return docs.groupBy("shard").applyInPandasWithState(run, PACKED, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -99,16 +99,18 @@ MARKS = {"bos": 1, "user": 90, "assistant": 91, "end": 92, "system": 93}
 def test_encode_turns(spark):
     code = lambda s: [len(w) for w in s.split()]
     one = chat.encode_turns([("user", "a bb"), ("assistant", "ccc")], code, MARKS, 20)
-    assert one == [([1, 90, 1, 2, 91, 3, 92], [0, 0, 0, 0, 0, 1, 1])]
+    assert one == [([1, 90, 90, 1, 2, 91, 3, 92], [0, 0, 0, 0, 0, 0, 1, 1])]
     assert chat.encode_turns([("assistant", "x"), ("user", "a")], code, MARKS, 20) == []
     assert chat.encode_turns([("user", "a"), ("assistant", "b")] * 4, code, MARKS, 12) == []
     split = chat.encode_turns([("user", "a"), ("assistant", "b")] * 4, code, MARKS, 12, split=True)
     assert len(split) == 2 and all(len(i) == len(m) <= 12 for i, m in split)
-    double = chat.encode_turns([("user", "a"), ("assistant", "b")], code, MARKS, 12, double_user=True)
-    assert double[0][0][:3] == [1, 90, 90]
+    system = chat.encode_turns([("system", "ss"), ("user", "a"), ("assistant", "b")], code, MARKS, 12)
+    assert system[0][0] == [1, 2, 90, 90, 1, 91, 1, 92]
+    long = chat.encode_turns([("user", "a " * 30), ("assistant", "b"), ("user", "a"), ("assistant", "b")], code, MARKS, 12)
+    assert long == [([1, 90, 90, 1, 91, 1, 92], [0, 0, 0, 0, 0, 1, 1])]  # a pair too long by itself is left out
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b c")], "conv_id long, turn long, role string, text string")
     got = chat.segments(chat.conversations(turns), code, MARKS, 20).collect()
-    assert got[0].ids == [1, 90, 1, 91, 1, 1, 92] and list(got[0].mask) == [0, 0, 0, 0, 1, 1, 1]
+    assert got[0].ids == [1, 90, 90, 1, 91, 1, 1, 92] and list(got[0].mask) == [0, 0, 0, 0, 0, 1, 1, 1]
 
 
 def test_readers(spark, tmp_path):
@@ -171,9 +173,9 @@ def test_text_functions(spark):
 
 def test_metrics(spark):
     rows = spark.createDataFrame([(1, "a b c d e".split(), "a b c d e".split())], "k int, h array<string>, r array<string>")
-    assert metrics.bleu(rows, "h", "r", "k").first().bleu == pytest.approx(100)
+    assert metrics.bleu(rows, "h", "r").first().bleu == pytest.approx(100)
     short = spark.createDataFrame([(1, "a b c d".split(), "a b c d e".split())], "k int, h array<string>, r array<string>")
-    assert metrics.bleu(short, "h", "r", "k").first().bleu == pytest.approx(100 * math.exp(1 - 5 / 4))
+    assert metrics.bleu(short, "h", "r").first().bleu == pytest.approx(100 * math.exp(1 - 5 / 4))
     steps = spark.range(1, 11).select((F.col("id") * 100).alias("step"))
     assert sorted(r.step for r in metrics.retained(steps, 2, 500).collect()) == [500, 900, 1000]
     assert metrics.retained(steps, 0, 500).count() == 10
