@@ -9,17 +9,19 @@ byte of each min-hash.
 
 Each bucket is met with its leader, the member of least priority (a hash of its
 fingerprint, the same in all buckets, so a group mostly has one leader). In
-buckets whose other members these links leave in several components, pairs of
-different components are met then: first each member's likeliest partner in each
-other component, and once those links are taken, all pairs that are still apart.
-So no pair of a bucket is missed whatever text leads it; pairs within a
-component could change nothing. The share of equal bytes estimates a pair's
-similarity with a deviation of 0.025 at 0.8 and only refuses pairs that are over
-three and a half deviations (``MARGIN``) below the similarity asked for; of all
-others the complete sets of shingles are compared. Leaders of many members are
-broadcast (their number is bounded, see `storage.lookup`) or get their text in
-several places, and large buckets are met in blocks, so no group fills a task.
-The last meeting takes time with the square of the unlike texts in a bucket.
+buckets whose other members these links leave in several components, the members
+then meet with their texts in blocks: pairs of different components are taken,
+the likeliest first, each in the first bucket it shares, unless a link found
+before in the block has joined their components. So no pair of a bucket is missed
+whatever text leads it; pairs within a component could change nothing. The share
+of equal bytes estimates a pair's similarity with a deviation of 0.025 at 0.8 and
+only refuses pairs that are over three and a half deviations (``MARGIN``) below
+the similarity asked for; of all others the complete sets of shingles are
+compared. Leaders of many members are broadcast (their number is bounded, see
+`storage.lookup`) or get their text in several places, and blocks are bounded in
+rows and bytes, so no group fills a task. No pair is written but found links and
+those of members with leaders. The last meeting takes time with the square of the
+unlike texts in a bucket, and sends a text to each block of it.
 
 Texts without words have no signature and get no link here.
 """
@@ -48,8 +50,11 @@ FEW_ROWS = 512
 PAIRS = "row long, lead long, fp long, lead_fp long"
 #: Texts compared with one copy of their leader's.
 EACH = 64
-#: Members of a bucket in a block; blocks are met two by two.
-BLOCK = 1024
+#: Members of a bucket in a block, and bytes of their texts; blocks are met two by two.
+BLOCK = 512
+BLOCK_BYTES = 16 << 20
+#: Shingles kept at a time while pairs of a block are compared.
+KEPT = 400_000
 #: Pairs broadcast at most, so that texts in no pair stay where they are.
 FEW_PAIRS = 150_000
 
@@ -114,65 +119,121 @@ def led(sketches: DataFrame, met: DataFrame, total: int, similarity: float = SIM
     return storage.stage(spark, found, "likely")
 
 
-def unled(sketches: DataFrame, met: DataFrame, total: int, roots: DataFrame, similarity: float = SIMILARITY, best: bool = False) -> DataFrame:
-    """Staged likely pairs (row, lead, fp, lead_fp) of members other than the
-    leader in the buckets ``met`` that have different ``roots`` (staged: fp, n, root);
-    if ``best``, of each member and other root in a block only the likeliest."""
+def parted(sketches: DataFrame, met: DataFrame, total: int, roots: DataFrame) -> DataFrame:
+    """Staged: the members other than the leader of the buckets ``met`` that have several ``roots``
+    (staged: fp, n, root), once for each pair of blocks they are in: key, low, high, own, row, fp, root."""
     spark = sketches.sparkSession
-    rooted = storage.lookup(sketches.select("row", "fp", "bands"), roots, "fp", total, "n").select("row", "fp", "root", F.explode("bands").alias("key"))
-    members = storage.lookup(rooted, met.where("n > 2"), "key", total, "n").where("lead <> row").select("key", "row", "fp", "root")
+    rooted = storage.lookup(sketches.select("row", "fp", "bytes", "bands"), roots, "fp", total, "n").select("row", "fp", "bytes", "root", F.explode("bands").alias("key"))
+    members = storage.lookup(rooted, met.where("n > 2"), "key", total, "n").where("lead <> row").select("key", "row", "fp", "bytes", "root")
     members = storage.stage(spark, members, "members")
     # a component with many members of a bucket has blocks of its own, which needn't meet each other
-    size, many = f"bigint((n - 1) div {BLOCK})", F.col("n") >= BLOCK
-    mixed = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.count("*").alias("roots"), F.sum("n").alias("n"), F.coalesce(F.sum(F.when(~many, F.col("n"))), F.lit(0)).alias("few"), F.collect_list(F.when(many, F.struct("root", "n"))).alias("own")
+    count = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))
+    parts = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).withColumn("own", count(F.col("n"), F.col("bytes")))
+    many = F.col("own") > 1
+    mixed = parts.groupBy("key").agg(
+        F.count("*").alias("roots"),
+        F.sum("n").alias("n"),
+        F.coalesce(count(F.sum(F.when(~many, F.col("n"))), F.sum(F.when(~many, F.col("bytes")))), F.lit(0)).alias("few"),
+        F.collect_list(F.when(many, F.struct("root", "own"))).alias("own"),
     )
-    owned = f"flatten(transform(own, x -> transform(sequence(0L, bigint((x.n - 1) div {BLOCK})), i -> concat(x.root, '/', i))))"
-    pooled = f"if(few > 0, transform(sequence(0L, bigint((few - 1) div {BLOCK})), i -> concat('-/', i)), array())"
+    owned = "flatten(transform(own, x -> transform(sequence(0L, x.own - 1), i -> concat(x.root, '/', i))))"
+    pooled = "if(few > 0, transform(sequence(0L, few - 1), i -> concat('-/', i)), array())"
     mixed = storage.stage(spark, mixed.where("roots > 1").select("key", "n", "few", "own", F.expr(f"concat({owned}, {pooled})").alias("blocks")), "mixed")
-    rows = storage.lookup(members, mixed, "key", members.count(), "n").where("n is not null").withColumn("mine", F.expr("get(filter(own, x -> x.root = root), 0).n"))
-    rows = rows.withColumn("name", F.expr("if(mine is null, '-', string(root))")).withColumn("n", F.expr("coalesce(mine, few)"))
-    rows = rows.withColumn("own", F.expr(f"concat(name, '/', pmod(xxhash64(row), {size} + 1))"))
+    rows = storage.lookup(members, mixed, "key", members.count(), "n").where("n is not null").withColumn("mine", F.expr("get(filter(own, x -> x.root = root), 0).own"))
+    rows = rows.withColumn("name", F.expr("if(mine is null, '-', string(root))"))
+    rows = rows.withColumn("own", F.expr("concat(name, '/', pmod(xxhash64(row), coalesce(mine, few)))"))
     rows = rows.withColumn("other", F.explode(F.expr("filter(blocks, x -> mine is null or not startswith(x, concat(name, '/')))")))
     rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "row", "fp", "root")
-    rows = storage.stage(spark, rows, "blocks")
-    signed = sketches.select("row", "signature").join(F.broadcast(rows) if rows.count() <= FEW_PAIRS else rows.hint("merge"), "row")
-    signed = signed.select("key", "low", "high", "own", "row", "fp", "root", "signature").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-
-    def block(cells: list[tuple]) -> pa.RecordBatch:
-        own = np.array([c[3] for c in cells])
-        row, fp, root = (np.array([c[i] for c in cells], np.int64) for i in (4, 5, 6))
-        signs = np.frombuffer(b"".join(c[7] for c in cells), np.uint8).reshape(len(cells), -1)
-        firsts, seconds = [], []
-        low, high = cells[0][1], cells[0][2]
-        for i in np.flatnonzero(own == low):
-            others = (root != root[i]) & (own == high) & (fp != fp[i])
-            if low == high:
+    return storage.stage(spark, rows, "blocks")
+
+
+class Block:
+    """Members of two blocks of a bucket (or of one, met with itself) with their texts."""
+
+    def __init__(self, cells: list[tuple], shingles: Callable[[str], set[bytes]], similarity: float):
+        self.key, self.low, self.high = cells[0][:3]
+        self.own = np.array([c[3] for c in cells])
+        self.fp, self.root = [c[4] for c in cells], np.array([c[5] for c in cells], np.int64)
+        self.signs = np.frombuffer(b"".join(c[6] for c in cells), np.uint8).reshape(len(cells), -1)
+        self.bands = np.array([c[7] for c in cells], np.int64)
+        self.texts, self.shingles, self.similarity = [c[8] for c in cells], shingles, similarity
+        self.sets: dict[int, set[bytes]] = {}
+
+    def likely(self) -> Iterator[tuple[int, int]]:
+        """Pairs of different roots that this bucket is the first to hold, the likeliest first."""
+        found = []
+        for i in np.flatnonzero(self.own == self.low).tolist():
+            others = (self.root != self.root[i]) & (self.own == self.high)
+            if self.low == self.high:
                 others[: i + 1] = False
             at = np.flatnonzero(others)
-            near = (signs[at] == signs[i]).mean(axis=1)
-            at, near = at[near >= similarity - MARGIN], near[near >= similarity - MARGIN]
-            if best:
-                at = at[np.argsort(-near, kind="stable")]
-                at = at[np.unique(root[at], return_index=True)[1]]
-            firsts.append(np.where(row[at] < row[i], i, at))  # the lesser row leads, in all buckets
-            seconds.append(np.where(row[at] < row[i], at, i))
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (firsts, seconds))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (row[a], row[b], fp[a], fp[b])], ["row", "lead", "fp", "lead_fp"])
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = (self.signs[at] == self.signs[i]).mean(axis=1)
+            at, near = at[near >= self.similarity - MARGIN], near[near >= self.similarity - MARGIN]
+            first = np.argmax(self.bands[at] == self.bands[i], axis=1)
+            mine = self.bands[i][first] == self.key
+            found.append((near[mine], np.full(int(mine.sum()), i), at[mine]))
+        if found:
+            near, a, b = map(np.concatenate, zip(*found, strict=True))
+            for k in np.argsort(-near, kind="stable").tolist():
+                yield int(a[k]), int(b[k])
+
+    def taken(self, i: int) -> set[bytes]:
+        if i not in self.sets:
+            if sum(map(len, self.sets.values())) > KEPT:
+                self.sets.clear()
+            self.sets[i] = self.shingles(self.texts[i])
+        return self.sets[i]
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links that join the roots of the block."""
+        parent, out = {}, []
+
+        def head(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        for i, j in self.likely():
+            a, b = head(int(self.root[i])), head(int(self.root[j]))
+            if a == b:
+                continue
+            ours, theirs = self.taken(i), self.taken(j)
+            shared = len(ours & theirs)
+            if shared / (len(ours) + len(theirs) - shared) >= self.similarity:
+                parent[a] = b
+                out.append((min(self.fp[i], self.fp[j]), max(self.fp[i], self.fp[j])))
+        return out
+
+
+def apart(sketches: DataFrame, met: DataFrame, total: int, roots: DataFrame, texts: DataFrame, shingles: Callable[[str], set[bytes]], similarity: float = SIMILARITY) -> DataFrame | None:
+    """Links (u < v, fingerprints) between similar members, other than the leader, of the
+    buckets ``met`` that have different ``roots`` (staged: fp, n, root); None if no bucket has such members."""
+    spark, rows = sketches.sparkSession, parted(sketches, met, total, roots)
+    if rows.isEmpty():
+        return None
+    need = storage.stage(spark, rows.select("row").distinct(), "needed")
+    need = F.broadcast(need) if need.count() <= FEW_PAIRS else need.hint("merge")
+    sides = texts.join(need, "row").join(sketches.select("row", "signature", "bands").hint("merge"), "row")
+    sides = storage.stage(spark, sides.select("row", "signature", "bands", "text"), "sides")
+    given = rows.hint("merge").join(sides, "row").select("key", "low", "high", "own", "fp", "root", "signature", "bands", "text")
+    given = given.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: list[tuple] = []
-        for b in (whole.slice(i, FEW_ROWS) for whole in batches for i in range(0, whole.num_rows, FEW_ROWS)):
+
+        def found() -> pa.RecordBatch:
+            made = Block(cells, shingles, similarity).links() if len(cells) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for b in batches:
             for cell in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if cells and cells[0][:3] != cell[:3]:
-                    if len(cells) > 1:
-                        yield block(cells)
+                    yield found()
                     cells = []
                 cells.append(cell)
-        if len(cells) > 1:
-            yield block(cells)
+        yield found()
 
-    return storage.stage(spark, signed.mapInArrow(likely, PAIRS).distinct(), "likely")
+    return given.mapInArrow(run, "u long, v long").where("u <> v").distinct()
 
 
 def alike(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], set[bytes]], similarity: float) -> DataFrame:

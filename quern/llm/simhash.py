@@ -82,7 +82,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, signed: bool = False, row_col: str | None = None) -> DataFrame:
     """``row`` (its number, or that in ``row_col``), ``doc_id`` and ``fp`` of every row;
-    if ``signed``, its ``signature`` of min-hashes and their ``bands`` too."""
+    if ``signed``, its length in ``bytes``, ``signature`` of min-hashes and their ``bands`` too."""
     storage.small_batches(docs.sparkSession)
     if row_col is None:
         docs, row_col = storage.numbered(docs)
@@ -102,12 +102,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], ["row", "doc_id", "fp"])
                     continue
                 fp, signature, bands = zip(*(one(t.as_py()) for t in b.column(2)), strict=True)
-                out = [pa.array(fp, pa.int64()), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out], ["row", "doc_id", "fp", "signature", "bands"])
+                out = [pa.array(fp, pa.int64()), pa.array([len(t.as_buffer() or b"") for t in b.column(2)], pa.int64()), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out], ["row", "doc_id", "fp", "bytes", "signature", "bands"])
 
     rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, fp long" + (", signature binary, bands array<long>" if signed else ""))
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, fp long" + (", bytes long, signature binary, bands array<long>" if signed else ""))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -159,15 +159,11 @@ def similar(prints: DataFrame, distinct: DataFrame, texts: DataFrame, total: int
     met = shingle_links.buckets(prints)
     near = shingle_links.alike(shingle_links.led(prints, met, total, similarity), texts, shingles, similarity)
     linked = components(links(distinct.select("fp")).unionByName(near).distinct())
-    # then whom the leaders left apart: the likeliest pairs first, as most of the rest is then within a component
-    for best in (True, False):
-        roots = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
-        rest = shingle_links.unled(prints, met, total, storage.stage(spark, roots, "roots"), similarity, best)
-        if rest.isEmpty():
-            break
-        more = shingle_links.alike(rest, texts, shingles, similarity)
-        linked = components(linked.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(more).distinct())
-    return linked
+    roots = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+    more = shingle_links.apart(prints, met, total, storage.stage(spark, roots, "roots"), texts, shingles, similarity)
+    if more is None:
+        return linked
+    return components(linked.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(more).distinct())
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None, row_col: str | None = None) -> DataFrame:

@@ -322,15 +322,15 @@ def test_members_that_their_leader_refuses_meet(spark, monkeypatch):
     rows = []
     for i, t in enumerate(texts):
         least = shingle_links.no_hashes()
-        rows.append((i, i, simhash.sketch(t, 5, least), shingle_links.signature(least), [1]))  # all in one bucket
-    prints = storage.stage(spark, spark.createDataFrame(rows, "row long, doc_id long, fp long, signature binary, bands array<long>"), "prints")
+        rows.append((i, i, simhash.sketch(t, 5, least), len(t), shingle_links.signature(least), [1]))  # all in one bucket
+    prints = storage.stage(spark, spark.createDataFrame(rows, "row long, doc_id long, fp long, bytes long, signature binary, bands array<long>"), "prints")
     distinct = storage.stage(spark, prints.groupBy("fp").agg(F.count("*").alias("n")), "distinct")
     sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts]
     near = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 or ((rows[i][2] ^ rows[j][2]) % (1 << 64)).bit_count() <= 3
     want = {frozenset({i, i + 1}) for i in range(0, 60, 2) if near(i, i + 1)}
     assert len(want) > 15 and not any(near(i, j) for i in range(60) for j in range(i) if i // 2 != j // 2)
     frame = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
-    for block in (256, 7):  # one block, and many
+    for block in (512, 7):  # one block, and many
         monkeypatch.setattr(shingle_links, "BLOCK", block)
         got = {}
         for r in simhash.similar(prints, distinct, frame, 60, 5, 0.8).collect():
