@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,11 +160,24 @@ def fill(gap: int, sizes: np.ndarray) -> np.ndarray:
     return took
 
 
-def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """The documents of one block that are taken."""
-    rows = rows.sort_values(["h", "row"])
-    took = fill(int(rows.gap.iloc[0]), rows["size"].to_numpy())
-    return pd.DataFrame({"row": rows.row.to_numpy()[took]})
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows taken of straddling blocks: rows come sorted by source, hash and row, one block a source."""
+    source, gap, rows, sizes = None, 0, [], []
+
+    def taken() -> pa.RecordBatch:
+        took = fill(gap, np.array(sizes, np.int64)) if rows else np.zeros(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(rows, np.int64)[took])], ["row"])
+
+    for b in batches:
+        out = []
+        for no, row, size, room in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if no != source:
+                out.append(taken())
+                source, gap, rows, sizes = no, room, [], []
+            rows.append(row)
+            sizes.append(size)
+        yield from pa.Table.from_batches(out, pa.schema([("row", pa.int64())])).combine_chunks().to_batches()
+    yield taken()
 
 
 class Mix:
@@ -213,8 +227,9 @@ class Mix:
         blocks = sums.select("nb", "n", "full", "gap").join(drawn, "nb", "left")
         self.blocks = storage.stage(spark, blocks, "drawn")
 
-        edge = self.lookup_blocks(known).where("gap is not null").select("no", "row", "size", "h", "gap")
-        self.took = storage.stage(spark, edge.groupBy("no").applyInPandas(_fill, "row long"), "straddling")
+        edge = self.lookup_blocks(known).where("gap is not null")
+        edge = edge.select("no", "row", "size", "gap", "h").repartition("no").sortWithinPartitions("no", "h", "row").drop("h")
+        self.took = storage.stage(spark, edge.mapInArrow(_fill, "row long"), "straddling")
         self.few = self.took.count() <= FEW
 
     @staticmethod

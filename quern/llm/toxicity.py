@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not size.sum(0).all():
         return model
     seen = segment_rows(once, model)
-    best = seen.select("toxic", "n", "best").orderBy("n", "best", "toxic").toPandas()  # at most MAX_FIT rows
+    best = seen.select("toxic", "n", "best").toPandas().sort_values(["n", "best", "toxic"])  # at most MAX_FIT rows, in one order
     clean = best[best.toxic <= 0]
     model.lam, model.k = fit_extremes(clean.best.to_numpy(), np.maximum(clean.n.to_numpy(), 1))
     base = F.log(F.lit(model.k) * F.greatest("n", F.lit(1)))

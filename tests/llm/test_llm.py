@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -123,10 +124,63 @@ def test_toxicity(spark, odd, empty):
     scored = toxicity.score(odd, model)
     assert scored.columns == odd.columns + ["toxicity"] and scored.count() == len(ODD)
     assert all(0 <= r.toxicity.score <= 1 for r in scored.collect())
+    check_scores(docs, labels, got)
     assert toxicity.drop_toxic(empty, labels).count() == 0
     assert toxicity.drop_toxic(odd, labels).columns == odd.columns
 
 
+def check_scores(docs, labels, got):
+    """Word table, segments, extreme-value law and logistic weights once more, in plain Python over plain counts."""
+    text = {r.doc_id: r.text for r in docs.collect()}
+    label = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and r.toxic is not None}
+    train = {}
+    for i, toxic in label.items():
+        if zlib.crc32(str(i).encode()) % 5 and i in text:
+            train[text[i]] = max(toxic, train.get(text[i], 0))
+    fold = {x.text: x.f for x in docs.select("text", F.pmod(F.xxhash64("text"), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    units = lambda x: {u for w in re.findall(r"\w+", x.lower()) for u in (w, "^" + w[: toxicity.STEM])}
+
+    def table(texts):
+        counts, n = {}, [0, 0]
+        for x in texts:
+            n[train[x]] += 1
+            for u in {toxicity.bucket(u) for u in units(x)}:
+                counts.setdefault(u, [0, 0])[train[x]] += 1
+        counts = {u: c for u, c in counts.items() if sum(c) > 1}
+        pooled = {u: sum(c) / sum(n) for u, c in counts.items()}
+        out = {}
+        for u, (c, t) in counts.items():
+            a, b, m = toxicity.PRIOR * pooled[u], t + c, n[1] / sum(n)
+            g2 = 2 * ((t and t * math.log(t / (b * m))) + (c and c * math.log(c / (b * (1 - m)))))
+            if g2 >= 2 * math.log(max(len(counts), 2)):
+                out[u] = math.log((t + a) / (n[1] + toxicity.PRIOR)) - math.log((c + a) / (n[0] + toxicity.PRIOR))
+        return out
+
+    def segments(x, scores):
+        words = re.findall(r"\w+", x.lower())
+        s = [(scores.get(toxicity.bucket(w)) or scores.get(toxicity.stem_bucket(w)) or 0) - toxicity.DRIFT for w in words]
+        return len(words), [v for _, _, v in toxicity.maximal_segments(np.array(s))]
+
+    parts = [table([x for x in train if fold[x] != f]) for f in range(toxicity.FOLDS)]
+    seen = [(train[x], *segments(x, parts[fold[x]])) for x in train]
+    clean = [(max(n, 1), max(p, default=0.0)) for t, n, p in seen if not t]
+    lam, k = toxicity.fit_extremes(np.array([b for _, b in clean]), np.array([n for n, _ in clean]))
+    model = toxicity.Model(np.zeros((1, 1)), lam, k)
+    x = np.array([model.features(n, [(0, 0, v) for v in p]) for _, n, p in seen])
+    model.weights = toxicity.fit_logistic(x, np.array([t > 0 for t, _, _ in seen]))
+    whole = table(list(train))
+    for r in got:
+        n, p = segments(r.text, whole)
+        assert r.toxicity.score == pytest.approx(model.score(n, [(0, 0, v) for v in p]), abs=1e-6)
+
+
+def test_passages_are_places_of_the_text():
+    text = "İİ bad word İ worse"
+    back = toxicity.original_places(text, text.lower())
+    at = text.lower().index("bad")
+    assert text[back[at] : back[at + 3 - 1] + 1] == "bad" and toxicity.original_places("Bad", "bad") is None
+
+
 def test_held_out(spark):
     got = spark.range(50).select("id", toxicity.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
@@ -175,6 +229,25 @@ def test_packing(spark, docs, odd, empty):
     assert packing.pack(packing.pieces(empty)).count() == 0
 
 
+def test_long_blank_runs():
+    encode = packing.encoder(open(packing.default_tokenizer(), encoding="utf-8").read())
+    for x in ("a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "x" + " \n" * 4000):
+        assert np.frombuffer(encode(x), "<u4").tolist() == encode.whole.encode(x, add_special_tokens=False).ids
+
+
+def test_op3_query(spark, sf, docs):
+    rows = packing.op3_packing(spark, sf).collect()
+    encode = packing.encoder(open(packing.default_tokenizer(), encoding="utf-8").read())
+    want = {}
+    for d in docs.collect():
+        ids = np.frombuffer(encode(d.text), "<u4").tolist() + [2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[d.doc_id, k] = (a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want
+    check_packing(rows)
+
+
 def test_evolution_keeps_every_item():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 700, 400)
@@ -202,9 +275,82 @@ def test_sharding(spark, docs, odd, empty):
     assert kd_shards.shard(empty, 4).count() == 0
 
 
+def test_tree_equals_brute_force(spark, docs):
+    """The same tree, cut by sorting each node's rows."""
+    rows = kd_shards.points(docs, "doc_id", "text", "lang", "source").collect()
+    want = {}
+
+    def cut(part, lo, hi):
+        if hi - lo == 1:
+            want.update({r.row: lo for r in part})
+            return
+        dim = max(kd_shards.DIMS, key=lambda d: max(r[d] for r in part) - min(r[d] for r in part))
+        part = sorted(part, key=lambda r: (r[dim], r.tie))
+        mid, goal, at = lo + (hi - lo) // 2, sum(r["size"] for r in part) * ((hi - lo) // 2) / (hi - lo), 0
+        while part[at]["size"] <= goal:
+            goal -= part[at]["size"]
+            at += 1
+        at += goal > part[at]["size"] / 2
+        cut(part[:at], lo, mid)
+        cut(part[at:], mid, hi)
+
+    cut(rows, 0, 8)
+    sums = {}
+    for r in rows:
+        sums[want[r.row]] = sums.get(want[r.row], 0) + r["size"]
+    got = {}
+    for r in kd_shards.shard(docs, 8).collect():
+        got[r.shard] = got.get(r.shard, 0) + r["size"]
+    assert got == sums
+
+
+def test_target_bytes_and_string_ids(spark, docs, odd):
+    total = sum(len(r.text.encode()) + 16 for r in docs.collect())
+    assert {r.shard for r in kd_shards.shard(docs, target_bytes=total // 3 - 1).collect()} == set(range(4))
+    named = odd.withColumn("doc_id", F.concat(F.lit("id-"), F.col("doc_id").cast("string")))
+    rows = kd_shards.shard(named, 3).collect()
+    assert len(rows) == len(ODD) and sum(r.doc_id is None for r in rows) == 1
+
+
 # 5
 
 
+def test_masses_equal_brute_force(spark):
+    """Both propagations on a graph of absolute links, against plain iteration to the limit."""
+    rng = random.Random(8)
+    hosts = [f"h{i}.net" for i in range(14)] + ["a.b.com", "b.com", "x.org"]
+    rows, links = [], {}
+    for i in range(160):
+        src, dst = rng.choice(hosts), rng.choice(hosts)
+        links.setdefault((src, dst), set()).add(i)
+        rows.append((i, f"http://{src}/{rng.choice(['fr', 'de', 'es'])}/{i}", f'<a href="//{dst}/q">x</a>'))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = url_filter.judge_urls(pages).collect()
+    edges = {(a, b): float(len(v)) for (a, b), v in links.items() if a != b}
+    for a, b in (("a.b.com", "b.com"), ("b.com", "a.b.com")):
+        edges[a, b] = edges.get((a, b), 0.0) + 1
+    ruled = [(r.host, r.rule, r.verdict) for r in got if r.rule]
+    for kind, action, back in (("trust", "allow", False), ("distrust", "block", True)):
+        flow = {(b, a) if back else (a, b): w for (a, b), w in edges.items()}
+        out = {}
+        for (a, _), w in flow.items():
+            out[a] = out.get(a, 0.0) + w
+        seeds = {}
+        for h, _, v in ruled:
+            if v == action:
+                seeds[h] = seeds.get(h, 0.0) + 1 / len(rows)
+        mass = dict(seeds)
+        for _ in range(400):
+            new = {h: (1 - url_filter.DAMPING) * m for h, m in seeds.items()}
+            for (a, b), w in flow.items():
+                if a in mass:
+                    new[b] = new.get(b, 0.0) + url_filter.DAMPING * w / out[a] * mass[a]
+            mass = new
+        assert sum(seeds.values()) > 0
+        for r in got:
+            assert r[kind] == pytest.approx(mass.get(r.host, 0.0), abs=url_filter.TOLERANCE)
+
+
 def test_url_rules(spark):
     rows = [(1, "HTTP://A.Example.ORG/es/x", ""), (2, "http://example.org/en/12?x", ""), (3, "http://xexample.org/es/", ""), (4, "http://org", ""), (5, None, None), (6, "nothing", "x"), (7, "http://s.com/de/1", ""), (8, "http://s.com/en/1", ""), (9, "http://n.net/1", '<a href="http://s.com/q">'), (10, "http://m.net#a/b", "")]
     got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, host int")).collect()}
@@ -381,6 +527,7 @@ def test_pii_base_equals_patterns(spark, docs, odd, empty):
     assert len(rows) == len(ODD) and {s.value for r in rows if r.doc_id == 7 for s in r.found} >= {"a.b@c.org", "1.2.3.4"}
     assert pii.spans(empty).count() == 0
     assert pii.redact("a b@c.de f", [("email", 2, 8)]) == "a <email> f"
+    assert pii.redact("abcdefghij", [("email", 0, 5), ("url", 3, 9)]) == "<email>j"
 
 
 # 8
@@ -409,6 +556,64 @@ def test_mixing(spark, docs, odd, empty):
     assert mixing.plan(empty).count() == 0
 
 
+def test_mixing_equals_brute_force(spark):
+    """Targets, whole blocks in their order and the filled block, by plain sums over the rows' hashes."""
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randint(1, 30), "en", rng.choice("aaaabbc"), 1) for i in range(6000)]
+    docs = storage.stage(spark, spark.createDataFrame(rows, DOCS), "docs")
+    got = {r.doc_id: r for r in mixing.plan(docs).collect()}
+    h = {r.doc_id: r.h for r in docs.select("doc_id", mixing._hash(17, "doc_id", "text").alias("h")).collect()}
+    names = sorted({r[3] for r in rows})
+    size = {i: len(x.split()) for i, x, *_ in rows}
+    words = [sum(size[r[0]] for r in rows if r[3] == n) for n in names]
+    for no, (name, goal) in enumerate(zip(names, mixing.targets(words), strict=True)):
+        own = [r[0] for r in rows if r[3] == name]
+        blocks = -(-len(own) // mixing.BLOCK_ROWS)
+        full, rest = int(goal // words[no]), round(goal - goal // words[no] * words[no])
+        keyed = spark.createDataFrame([(i, h[i]) for i in own], "i long, h long").select("i", F.pmod(F.xxhash64(F.lit("block"), F.lit(17), "h"), F.lit(blocks)).alias("b"))
+        members = {}
+        for r in keyed.collect():
+            members.setdefault(r.b, []).append(r.i)
+        order = [r.b for r in spark.createDataFrame([(b,) for b in members], "b long").orderBy(F.xxhash64(F.lit("rest"), F.lit(17), F.lit(no).cast("long"), "b"), "b").collect()]
+        want = dict.fromkeys(own, full)
+        for b in order:
+            total = sum(size[i] for i in members[b])
+            if total <= rest:
+                for i in members[b]:
+                    want[i] += 1
+            elif rest > 0:
+                inside = sorted(members[b], key=lambda i: h[i])
+                took = mixing.fill(rest, np.array([size[i] for i in inside]))
+                for i, yes in zip(inside, took, strict=True):
+                    want[i] += int(yes)
+            rest -= total
+        assert {i: got[i].taken for i in own} == {i: k * size[i] for i, k in want.items()}
+        assert abs(sum(got[i].taken for i in own) - goal) <= 1
+
+
+def test_many_equal_rows_and_many_sources(spark):
+    same = storage.stage(spark, spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source")), "same")
+    got = mixing.plan(same).groupBy().agg(F.sum("taken"), F.sum("size")).first()
+    assert got[0] == pytest.approx(1.5 * got[1], abs=3)
+    many = storage.stage(spark, spark.range(200_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 5 + 1).cast("int")).alias("text"), F.col("id").cast("string").alias("source")), "many")
+    out = mixing.plan(many).agg(F.sum("target"), F.sum("size"), F.max(F.col("taken") / F.col("size")), F.count("*")).first()
+    assert out[0] == pytest.approx(1.5 * out[1]) and out[2] <= 2 and out[3] == 200_000
+
+
+def test_fill_comes_nearest():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n, gap = rng.integers(1, 50, rng.integers(1, 12)), int(rng.integers(1, 120))
+        took, first, left = mixing.fill(gap, n), np.zeros(len(n), bool), gap
+        for i, x in enumerate(n.tolist()):
+            if x <= left:
+                left, first[i] = left - x, True
+        best = left
+        for a in np.flatnonzero(~first):
+            best = min([best, abs(left - n[a]), *[abs(left - n[a] + n[b]) for b in np.flatnonzero(first)]])
+        assert abs(gap - n[took].sum()) == best
+
+
 def test_splitting_tree_is_exact():
     counts = np.array([500, 3, 0, 77])
     quotas = mixing.split(counts, 7, 1)
@@ -433,6 +638,26 @@ def test_exact_dedup(spark, odd, empty, weak):
     assert kept.columns == odd.columns and kept.count() == 5
 
 
+def test_rows_are_the_same_in_every_scan(spark, tmp_path):
+    """Operators that read twice keep the same rows however the files are split, and whatever the columns are called."""
+    rows = [(i % 700, f"text {i % 300} of some words " * 8, "en", f"s{i % 3}", i, i, 1) for i in range(2000)]
+    spark.createDataFrame(rows, DOCS + ", _quern_row long, quality int").repartition(7).write.parquet(str(tmp_path / "d"))
+    seen = []
+    for size in ("128m", "3k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            frame = spark.read.parquet(str(tmp_path / "d"))
+            made = [f(frame) for f in (exact_dedup.drop_copies, simhash.keep_one, mixing.mix)]
+            assert all(m.columns == frame.columns for m in made)
+            seen.append([sorted(r["_quern_row"] for r in m.collect()) for m in made])
+            assert quality.judge(frame).columns == [*frame.columns[:-1], "quality"]
+        finally:
+            for k in ("maxPartitionBytes", "openCostInBytes"):
+                spark.conf.unset(f"spark.sql.files.{k}")
+    assert seen[0] == seen[1] and len(seen[0][0]) == 300
+
+
 # 10
 
 
