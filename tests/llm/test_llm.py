@@ -315,8 +315,10 @@ def test_target_bytes_and_string_ids(spark, docs, odd):
 # 5
 
 
-def test_masses_equal_brute_force(spark):
-    """Both propagations on a graph of absolute links, against plain iteration to the limit."""
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_masses_equal_brute_force(spark, monkeypatch, few):
+    """Both propagations on a graph of absolute links, against plain iteration to the limit; in one task, and dealt out with hubs."""
+    monkeypatch.setattr(url_filter, "FEW_EDGES", few)
     rng = random.Random(8)
     hosts = [f"h{i}.net" for i in range(14)] + ["a.b.com", "b.com", "x.org"]
     rows, links = [], {}
