@@ -59,6 +59,15 @@ def pairs(turns: DataFrame) -> DataFrame:
     return out.where("role = 'user'").select("conv_id", "turn", "text", F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("answer"))
 
 
+def turn_states(turns: DataFrame) -> DataFrame:
+    """``state`` of every turn: a paired question or answer, an orphan answer, an open question, or other."""
+    by = "over (partition by conv_id order by turn)"
+    out = turns.select("conv_id", "turn", "role", F.expr(f"lag(role) {by}").alias("last"), F.expr(f"lead(role) {by}").alias("next"))
+    orphan = (F.col("role") == "assistant") & ~F.col("last").eqNullSafe("user")
+    opened = (F.col("role") == "user") & ~F.col("next").eqNullSafe("assistant")
+    return out.select("conv_id", "turn", F.when(orphan, "orphan").when(opened, "open").when(F.col("role").isin("user", "assistant"), "paired").otherwise("other").alias("state"))
+
+
 def opening(turns: DataFrame) -> DataFrame:
     """``conv_id`` and ``system``, the text of a leading system turn or null, of every conversation."""
     first = turns.groupBy("conv_id").agg(F.min_by(F.struct("role", "text"), "turn").alias("x"))

@@ -205,10 +205,10 @@ def turn_pairs(d):
     return chat.pairs(d.conversations)
 
 
-@query("SELECT conv_id, turn FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE role = 'assistant' AND before IS DISTINCT FROM 'user'")
+@query("""SELECT conv_id, turn, CASE WHEN role = 'assistant' AND before IS DISTINCT FROM 'user' THEN 'orphan' WHEN role = 'user' AND next IS DISTINCT FROM 'assistant' THEN 'open' WHEN role IN ('user', 'assistant') THEN 'paired' ELSE 'other' END AS state
+FROM (SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""")
 def orphan_turns(d):
-    out = d.conversations.withColumn("before", F.expr("lag(role) over (partition by conv_id order by turn)"))
-    return out.where((F.col("role") == "assistant") & ~F.col("before").eqNullSafe("user")).select("conv_id", "turn")
+    return chat.turn_states(d.conversations)
 
 
 @query("""SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '用户' WHEN 'assistant' THEN '助手' WHEN 'system' THEN '系统' ELSE role END || ':' || text, chr(10) || chr(10) ORDER BY turn) AS text
