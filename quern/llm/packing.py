@@ -44,7 +44,7 @@ from quern import storage
 
 EOS = 2
 SEQ_LEN = 1024
-BLOCK_ITEMS = 4096
+BLOCK_ITEMS = 16384
 ISLANDS = 3
 EPOCHS = 2
 GENERATIONS = 12
