@@ -19,9 +19,8 @@ a settled line keeps a count of at least ``least`` and its exact last place.
 `drop_lines` fills an index with all documents, merges it, and rewrites the texts:
 occurrences meet the common hashes (`storage.lookup`: hot ones are broadcast),
 their places in the text are gathered by document, and the text is cut there
-(a slice a gap, so linear in the text). Texts are shuffled once at most, when more
-than `FEW` documents lose lines; the broadcast side else holds at most
-`FEW_PLACES` places.
+(a slice a gap, so linear in the text). Texts are shuffled once for that, however
+many lose lines.
 
 Hashes are the first 128 bits of SHA-256, so different lines are taken for equal with
 a chance below 1e-14 at 10^12 lines.
@@ -49,8 +48,6 @@ LEAST_CHARS = 40
 LEAST_DOCS = 5
 FANOUT = 4
 BATCHES = 8
-FEW = 100_000
-FEW_PLACES = 2_000_000
 
 
 def key_of(line: Column) -> Column:
@@ -164,9 +161,7 @@ def drop_lines(
     docs, row = storage.numbered(docs)
     lost = lost_places(docs, row, id_col, text_col, least_chars, least_docs, batches, fanout)
     gone, info = storage.free_name(docs.columns, "_quern_gone"), storage.free_name(columns, "line_dedup")
-    many, places = lost.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
-    lost = lost.select(F.col("row").alias(row), F.col("gone").alias(gone))
-    joined = docs.join(F.broadcast(lost) if many <= FEW and places <= FEW_PLACES else lost, row, "left")
+    joined = docs.join(lost.select(F.col("row").alias(row), F.col("gone").alias(gone)).hint("shuffle_hash"), row, "left")
     lines, g = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), F.col(gone)
     after = F.concat(g, F.array(F.size(lines)))  # the place behind each gap
     gaps = F.transform(after, lambda end, k: F.slice(lines, F.coalesce(F.get(after, k - 1), F.lit(-1)) + 2, end - F.coalesce(F.get(after, k - 1), F.lit(-1)) - 1))

@@ -227,14 +227,6 @@ def test_lines_of_odd_rows(spark):
     assert line_runs.drop_lines(docs.limit(0)).count() == 0
 
 
-def test_shuffled_texts_give_the_same(spark, monkeypatch):
-    rows = odd_texts()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    monkeypatch.setattr(line_runs, "FEW", 0)
-    got = line_runs.drop_lines(docs).collect()
-    assert sorted(((r.doc_id, r.text, *r.line_dedup) for r in got), key=repr) == sorted(brute_lines(rows), key=repr)
-
-
 def test_runs(spark):
     """Levels stay few, runs are sorted and met without a shuffle, settled hashes aren't added again, and order doesn't matter."""
     rng = random.Random(9)
