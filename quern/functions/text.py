@@ -151,6 +151,11 @@ def right_padded(ids: Column, width: Column, pad: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(pad), F.greatest(width - F.size(ids), F.lit(0)).cast("int")))
 
 
+def attention_mask(ids: Column, width: Column) -> Column:
+    """1 for each id, 0 for the padding up to ``width``."""
+    return F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), F.greatest(width - F.size(ids), F.lit(0)).cast("int")))
+
+
 def left_truncated(ids: Column, most: int) -> Column:
     """The last ``most`` elements."""
     return F.when(F.size(ids) <= most, ids).otherwise(F.slice(ids, -most, most))

@@ -51,16 +51,16 @@ def specs(spark: SparkSession, text: str) -> DataFrame:
 
 def preferred_metric(results: DataFrame, prefer: dict[str, list[str]] | None = None) -> DataFrame:
     """``tag``, ``task`` and ``value`` of results (tag, place, task, metric, value): of several places
-    the first (lowest) that has the task counts, there the task's first preferred metric."""
+    the first (lowest) that has a preferred metric of the task counts, there the first of them; null
+    if no place has one."""
     prefer = PREFER if prefer is None else prefer
     rank = F.lit(None).cast("int")
     for task, names in prefer.items():
         at = F.array_position(F.array(*map(F.lit, names)), F.col("metric")).cast("int")
         rank = F.when(F.col("task") == task, at).otherwise(rank)
     rank = F.when(F.col("task").isin(*prefer), rank).otherwise((F.col("metric") == "acc,none").cast("int"))
-    kept = results.withColumn("rank", F.when(rank > 0, rank))
-    first = results.groupBy("tag", "task").agg(F.min("place").alias("place"))
-    return kept.join(first, ["tag", "task", "place"]).groupBy("tag", "task").agg(F.min_by("value", "rank").alias("value"))
+    best = F.when(rank > 0, F.struct("place", rank.alias("rank")))
+    return results.groupBy("tag", "task").agg(F.min_by("value", best).alias("value"))
 
 
 def newest_match(files: DataFrame, patterns: list[str]) -> DataFrame:

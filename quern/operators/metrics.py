@@ -32,17 +32,29 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def common(one: Column, two: Column) -> Column:
+    """How many elements two arrays have in common, each as often as in the array that has it less:
+    both are sorted together and their runs counted in one pass."""
+    side = lambda xs, k: F.transform(xs, lambda x: F.struct(x.alias("g"), F.lit(k).alias("side")))
+    runs = F.sort_array(F.concat(side(one, 0), side(two, 1)))  # of equal elements the first array's come first
+    start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("open"), F.lit(0).cast("long").alias("met"))
+
+    def step(a: Column, x: Column) -> Column:
+        left = F.when(a["g"].eqNullSafe(x["g"]), a["open"]).otherwise(0)
+        first, meets = x["side"] == 0, (x["side"] == 1) & (left > 0)
+        return F.struct(x["g"].alias("g"), F.when(first, left + 1).when(meets, left - 1).otherwise(left).alias("open"), (a["met"] + meets.cast("long")).alias("met"))
+
+    return F.aggregate(runs, start, step, lambda a: a["met"])
+
+
 def bleu(rows: DataFrame, hyp: str, ref: str, order: int = 4) -> DataFrame:
     """Corpus BLEU of two word arrays: clipped n-gram matches and totals of the corpus,
     exponential smoothing of empty orders, brevity penalty. Matches are counted within
-    a row, so the corpus is one sum."""
-    parts = rows.select(F.col(hyp).alias("h"), F.col(ref).alias("r"))
-    for n in range(1, order + 1):
-        parts = parts.withColumn(f"h{n}", ngrams(F.col("h"), n)).withColumn(f"r{n}", ngrams(F.col("r"), n))
-    clipped = lambda n: F.aggregate(
-        F.array_intersect(f"h{n}", f"r{n}"), F.lit(0), lambda a, g: a + F.least(F.size(F.filter(f"h{n}", lambda x: x == g)), F.size(F.filter(f"r{n}", lambda x: x == g)))
-    )
-    sums = [x for n in range(1, order + 1) for x in (F.sum(clipped(n)).alias(f"m{n}"), F.sum(F.size(f"h{n}")).alias(f"t{n}"))]
+    a row, in time of a sort of its words, so the corpus is one sum and nothing is
+    shuffled. A null counts as no words."""
+    h, r = F.col("h"), F.col("r")
+    parts = rows.select(F.coalesce(F.col(hyp), F.array()).alias("h"), F.coalesce(F.col(ref), F.array()).alias("r"))
+    sums = [x for n in range(1, order + 1) for x in (F.sum(common(ngrams(h, n), ngrams(r, n))).alias(f"m{n}"), F.sum(F.greatest(F.size(h) - (n - 1), F.lit(0))).alias(f"t{n}"))]
     got = parts.agg(*sums, F.sum(F.size("h")).alias("hyp_len"), F.sum(F.size("r")).alias("ref_len"))
     total, empty = F.lit(0.0), F.lit(0)
     for n in range(1, order + 1):
@@ -60,9 +72,19 @@ def words_13a(c: Column) -> Column:
     return t.words(_split_marks(F.concat(F.lit(" "), c, F.lit(" "))))
 
 
+# The code points that the Chinese tokenisation of translation scoring sets apart. The first two ranges are meant
+# to be U+20000 to U+2A6D6 and U+2F800 to U+2FA1D, but are read with four digits and a further character by that scorer.
+CHINESE = (
+    (0x2001, 0x2A6D), (0x2F81, 0x2FA1), (0x3400, 0x4DB5), (0x4E00, 0x9FA5), (0x9FA6, 0x9FBB), (0xF900, 0xFA2D), (0xFA30, 0xFA6A), (0xFA70, 0xFAD9),
+    (0xFF00, 0xFFEF), (0x2E80, 0x2EFF), (0x3000, 0x303F), (0x31C0, 0x31EF), (0x2F00, 0x2FDF), (0x2FF0, 0x2FFF), (0x3100, 0x312F), (0x31A0, 0x31BF),
+    (0xFE10, 0xFE1F), (0xFE30, 0xFE4F), (0x2600, 0x26FF), (0x2700, 0x27BF), (0x3200, 0x32FF), (0x3300, 0x33FF),
+)
+
+
 def words_zh(c: Column) -> Column:
     """Chinese characters and marks one by one, the rest as in 13a."""
-    return t.words(_split_marks(F.regexp_replace(c, "([\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{3000}-\\x{303F}\\x{FF00}-\\x{FFEF}])", " $1 ")))
+    apart = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CHINESE)
+    return t.words(_split_marks(F.regexp_replace(c, f"([{apart}])", " $1 ")))
 
 
 def _split_marks(c: Column) -> Column:
@@ -72,10 +94,14 @@ def _split_marks(c: Column) -> Column:
     return c
 
 
-def nucleus(rows: DataFrame, by: str, p: str, tie: str, top_p: float) -> DataFrame:
-    """Candidates kept while the probability before them is under ``top_p``."""
-    out = rows.withColumn("before", F.expr(f"coalesce(sum({p}) over (partition by {by} order by {p} desc, {tie} rows between unbounded preceding and 1 preceding), 0)"))
-    return out.where(F.col("before") < top_p)
+def nucleus(rows: DataFrame, by: str, weight: str, tie: str, top_p: float) -> DataFrame:
+    """``rows`` with ``p``, the share of ``weight`` in its group, and ``before``, the probability of
+    likelier candidates: those that are kept while it is under ``top_p``. Candidates are ranked in ranges
+    (`storage.running`), so a group may have any number of them."""
+    total = rows.groupBy(F.col(by).alias("_of")).agg(F.sum(weight).alias("_total"))
+    shares = rows.join(total, F.col(by).eqNullSafe(F.col("_of"))).select(*rows.columns, (F.col(weight) / F.col("_total")).alias("p"))
+    ranked = storage.running(storage.stage(rows.sparkSession, shares, "candidates"), [by], ["-p", tie], ("p",), at="_at")
+    return ranked.withColumnRenamed("p_before", "before").drop("_at").where(F.col("before") < top_p)
 
 
 def ema(rows: DataFrame, by: str, order: str, value: str, keep: float = 0.9) -> DataFrame:
@@ -114,6 +140,11 @@ def masked_loss(loss: Column, valid: Column) -> Column:
     return F.sum(F.when(valid, loss).otherwise(0.0)) / F.greatest(F.sum(valid.cast("int")), F.lit(1))
 
 
+def padding(length: Column, width: Column) -> Column:
+    """Share of the places of padded rows that hold padding."""
+    return 1 - F.sum(length) / F.greatest(F.sum(width), F.lit(1))
+
+
 def tokens_per_char(tokens: Column, text: Column) -> Column:
     return F.sum(tokens) / F.greatest(F.sum(F.char_length(text)), F.lit(1))
 

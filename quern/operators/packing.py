@@ -39,6 +39,16 @@ def stream_offsets(docs: DataFrame, shard: list[str], order: str, length: Column
     return out.withColumn("off", F.expr(f"sum(n) over (partition by {by} order by {order}) - n"))
 
 
+def range_offsets(docs: DataFrame, shard: list[str], order: str, length: Column) -> DataFrame:
+    """The same of documents that carry their own end token, whatever a shard holds: only keys and lengths
+    are sorted, in ranges, and meet their documents by ``shard`` and the unique ``order``."""
+    spark = docs.sparkSession
+    docs = storage.stage(spark, docs.withColumn("n", length.cast("long")), "encoded")
+    places = storage.running(docs.select(*shard, order, "n"), shard, [order], ("n",)).select(*shard, order, F.col("n_before").alias("off"))
+    totals = docs.groupBy(*shard).agg(F.sum("n").alias("total"))
+    return docs.join(places, [*shard, order]).join(totals, shard)
+
+
 def stream_pieces(offsets: DataFrame, seq_len: int, target: int | None = None) -> DataFrame:
     """A row per piece of a document in a packed row: ``row``, ``lo``, ``hi`` within the document."""
     rows = F.floor(F.col("total") / seq_len)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern import storage
 from quern.functions import text as t
 from quern.operators import chat, generate, metrics, mix, packing, reports
 from quern.plans.queries import ORACLE_SQL, QUERIES, SEQ, WORDS, query, r6
@@ -316,9 +317,15 @@ k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i
 def bitext_group14(d):
     from quern.sources.readers import pair_filter
 
-    pairs = d.documents.select("doc_id", "source", F.col("text").alias("en"), F.expr("lead(text) over (partition by source order by doc_id)").alias("zh"))
-    pairs = pair_filter(pairs).withColumn("grp", F.expr("cast(floor((row_number() over (partition by source order by doc_id) - 1) / 14) as long)"))
-    got = pairs.groupBy("source", "grp").agg(F.count("*").alias("pairs"), F.array_sort(F.collect_list(F.struct("doc_id", "en", "zh"))).alias("x"))
+    # places of ids alone, from ranges: no source is one task's work, and texts move only to meet
+    places = storage.stage(d.spark, mix.placed(d.documents.select("doc_id", "source"), ["source"], ["doc_id"]), "places")
+    later = places.select(F.col("source").alias("s"), (F.col("at") - 1).alias("before"), F.col("doc_id").alias("next_id"))
+    beside = places.join(later, F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("before"))).select("doc_id", "source", "next_id")
+    texts = d.documents.select("doc_id", F.col("text").alias("en"))
+    pairs = beside.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("next_id"), F.col("en").alias("zh")), "next_id")
+    pairs = storage.stage(d.spark, pair_filter(pairs), "pairs")
+    group = mix.placed(pairs.select("doc_id", "source"), ["source"], ["doc_id"]).select("doc_id", F.floor(F.col("at") / 14).cast("long").alias("grp"))
+    got = pairs.join(group, "doc_id").groupBy("source", "grp").agg(F.count("*").alias("pairs"), F.array_sort(F.collect_list(F.struct("doc_id", "en", "zh"))).alias("x"))
     return got.select("source", "grp", "pairs", F.array_join(F.transform("x", lambda p: F.concat_ws("\t", p["en"], p["zh"])), "\n").alias("text"))
 
 
@@ -383,8 +390,8 @@ NORM = "least(value / 1000.0, 0.05)"
 w AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY event_type ORDER BY p DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
 SELECT event_type, CAST(count(*) AS BIGINT) AS kept FROM w WHERE before < 0.5 GROUP BY event_type""")
 def nucleus_keep(d):
-    rows = d.events.where("value > 0").select("event_type", "event_id", F.expr("value / sum(value) over (partition by event_type)").alias("p"))
-    return metrics.nucleus(rows, "event_type", "p", "event_id", 0.5).groupBy("event_type").agg(F.count("*").alias("kept"))
+    rows = d.events.where("value > 0").select("event_type", "event_id", "value")
+    return metrics.nucleus(rows, "event_type", "value", "event_id", 0.5).groupBy("event_type").agg(F.count("*").alias("kept"))
 
 
 BLEU_SQL = r"""WITH w AS (SELECT conv_id * 1000 + turn AS key, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS r FROM conversations WHERE role = 'user'),
@@ -400,7 +407,43 @@ SELECT round(100 * CASE WHEN hl >= rl THEN 1 ELSE exp(1 - rl / greatest(hl, 1))
 @query(BLEU_SQL)
 def corpus_bleu(d):
     rows = d.conversations.where("role = 'user'").select(t.words(F.col("text")).alias("ref"))
-    got = metrics.bleu(rows.withColumn("hyp", F.slice("ref", 2, 1 << 20)), "hyp", "ref")
+    got = metrics.bleu(rows.withColumn("hyp", F.slice("ref", F.lit(2), F.greatest(F.size("ref"), F.lit(1)))), "hyp", "ref")
+    return got.withColumn("bleu", r6(F.col("bleu")))
+
+
+MARKS_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([\{{-~\[-` -&\(-+:-@/])', ' \1 ', 'g'), '([^0-9])([.,])', '\1 \2 ', 'g'), '([.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g')"""
+UNMARKED_SQL = "' ' || replace(replace(replace(replace(replace(replace(replace({0}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' '"
+SCORED_SQL = r"""WITH s AS (SELECT conv_id * 1000 + turn AS key, {ref} AS ref, {hyp} AS hyp FROM conversations WHERE role = 'user'),
+p AS (SELECT key, regexp_extract_all({ref_words}, '[^\x20\x09-\x0D]+') AS r, regexp_extract_all({hyp_words}, '[^\x20\x09-\x0D]+') AS h FROM s),"""
+
+
+def scored_sql(ref: str, hyp: str, words) -> str:
+    """The scoring SQL with its words made by a tokenisation."""
+    return SCORED_SQL.format(ref=ref, hyp=hyp, ref_words=words("ref"), hyp_words=words("hyp")) + BLEU_SQL.partition("FROM w),")[2]
+
+
+#: Sentences with marks, numbers and entities on the one side, and the same without some of their letters on the other.
+TO_EN = "replace(coalesce(text, ''), ' the ', ' \"the\", &amp; 3.5-4, ')"
+
+
+@query(scored_sql(TO_EN, f"replace({TO_EN}, ' a', ' e')", lambda c: MARKS_SQL.format(UNMARKED_SQL.format(c))))
+def corpus_bleu_13a(d):
+    ref = F.replace(F.coalesce("text", F.lit("")), F.lit(" the "), F.lit(' "the", &amp; 3.5-4, '))
+    rows = d.conversations.where("role = 'user'").select(ref.alias("ref"), F.replace(ref, F.lit(" a"), F.lit(" e")).alias("hyp"))
+    got = metrics.bleu(rows.select(*[metrics.words_13a(F.col(c)).alias(c) for c in ("ref", "hyp")]), "hyp", "ref")
+    return got.withColumn("bleu", r6(F.col("bleu")))
+
+
+#: The same texts with some letters written as Chinese characters and marks.
+TO_ZH = ("aeiou", "的一，—〇")
+
+
+@query(scored_sql(f"translate(coalesce(text, ''), '{TO_ZH[0]}', '{TO_ZH[1]}')", f"translate(coalesce(text, ''), '{TO_ZH[0]}', '{TO_ZH[1][1:] + TO_ZH[1][-1]}')",
+    lambda c: MARKS_SQL.format(f"regexp_replace({c}, '([" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in metrics.CHINESE) + "])', ' \\1 ', 'g')")))
+def corpus_bleu_zh(d):
+    text = F.coalesce("text", F.lit(""))
+    rows = d.conversations.where("role = 'user'").select(F.translate(text, *TO_ZH).alias("ref"), F.translate(text, TO_ZH[0], TO_ZH[1][1:] + TO_ZH[1][-1]).alias("hyp"))
+    got = metrics.bleu(rows.select(*[metrics.words_zh(F.col(c)).alias(c) for c in ("ref", "hyp")]), "hyp", "ref")
     return got.withColumn("bleu", r6(F.col("bleu")))
 
 

@@ -72,10 +72,9 @@ RESULTS_SQL = """WITH r AS (SELECT 'run' || (user_id % 5) AS tag, event_id % 2 A
   ['acc,none', 'acc_norm,none', 'exact_match,strict-match', 'exact_match,flexible-extract'][(user_id // 4) % 4 + 1] AS metric, max(value) AS value FROM events GROUP BY ALL)"""
 
 
-@query(RESULTS_SQL + """, f AS (SELECT tag, task, min(place) AS place FROM r GROUP BY ALL),
-k AS (SELECT tag, task, value, CASE task WHEN 'piqa' THEN nullif(list_position(['acc_norm,none', 'acc,none'], metric), 0) WHEN 'arc_challenge' THEN nullif(list_position(['acc_norm,none', 'acc,none'], metric), 0)
-  WHEN 'gsm8k' THEN nullif(list_position(['exact_match,strict-match', 'exact_match,flexible-extract'], metric), 0) WHEN 'other' THEN CASE WHEN metric = 'acc,none' THEN 1 END END AS rank FROM r JOIN f USING (tag, task, place))
-SELECT tag, task, arg_min(value, rank) AS value FROM k GROUP BY tag, task""")
+@query(RESULTS_SQL + """, k AS (SELECT tag, task, place, value, CASE task WHEN 'piqa' THEN nullif(list_position(['acc_norm,none', 'acc,none'], metric), 0) WHEN 'arc_challenge' THEN nullif(list_position(['acc_norm,none', 'acc,none'], metric), 0)
+  WHEN 'gsm8k' THEN nullif(list_position(['exact_match,strict-match', 'exact_match,flexible-extract'], metric), 0) WHEN 'other' THEN CASE WHEN metric = 'acc,none' THEN 1 END END AS rank FROM r)
+SELECT tag, task, arg_min(value, 10 * place + rank) FILTER (rank IS NOT NULL) AS value FROM k GROUP BY tag, task""")
 def metric_fallback(d):
     return evaluate.preferred_metric(results(d))
 

@@ -53,7 +53,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY conv_id, i) - 1 AS
 SELECT task, p // 1024 AS row, md5(string_agg(id, ',' ORDER BY p)) AS ids, CAST(sum(m) AS BIGINT) AS supervised FROM g WHERE p // 1024 < n // 1024 GROUP BY task, p // 1024""")
 def pack_chat_stream(d):
     got = chat.encoded(d.conversations, TOK, 2048).withColumn("task", F.col("conv_id") % 4)
-    off = packing.stream_offsets(got, ["task"], "conv_id", F.size("ids") - 1)  # its end mark is the last id
+    off = packing.range_offsets(got, ["task"], "conv_id", F.size("ids"))
     pieces = packing.stream_pieces(off, SEQ)
     ids, mask = packing.stream_rows(pieces, ["task"], "ids"), packing.stream_rows(pieces, ["task"], "mask").withColumnRenamed("ids", "mask")
     out = ids.join(mask, ["task", "row"])
@@ -67,11 +67,23 @@ def length_batches(d):
     return mix.batches(rows, "conv_id", "n", 8).select("conv_id", "width", "batch", "n")
 
 
-@query(f"SELECT item_id, array_to_string({IDS.format('text')} || list_transform(range(0, w - strlen(text)), lambda i: 0), ',') AS ids FROM (SELECT *, max(strlen(text)) OVER () AS w FROM benchmark)")
+@query(f"""SELECT item_id, array_to_string({IDS.format('text')} || list_transform(range(0, w - strlen(text)), lambda i: 0), ',') AS ids,
+  repeat('1', CAST(strlen(text) AS INT)) || repeat('0', CAST(w - strlen(text) AS INT)) AS attention
+FROM (SELECT *, max(strlen(text)) OVER (PARTITION BY b) AS w FROM (SELECT *, (row_number() OVER (ORDER BY strlen(text), item_id) - 1) // 8 AS b FROM benchmark))""")
 def right_pad(d):
-    rows = d.benchmark.select("item_id", TOK.encode(F.col("text")).alias("ids"))
-    width = rows.agg(F.max(F.size("ids"))).first()[0] or 0
-    return rows.select("item_id", F.array_join(t.right_padded(F.col("ids"), F.lit(width), 0).cast("array<string>"), ",").alias("ids"))
+    rows = d.benchmark.select("item_id", F.octet_length("text").alias("n"))
+    wide = mix.batches(rows, "item_id", "n", 8).select("item_id", "width")
+    got = d.benchmark.join(wide, "item_id").select("item_id", "width", TOK.encode(F.col("text")).alias("ids"))
+    text = lambda c, by: F.array_join(c.cast("array<string>"), by)
+    return got.select("item_id", text(t.right_padded(F.col("ids"), F.col("width"), 0), ",").alias("ids"), text(t.attention_mask(F.col("ids"), F.col("width")), "").alias("attention"))
+
+
+@query(f"""SELECT batch, CAST(count(*) AS BIGINT) AS rows, round(1 - sum(n) / (count(*) * max(n)), 6) AS padding FROM (
+  SELECT n, (row_number() OVER (ORDER BY n, conv_id) - 1) // 8 AS batch FROM (SELECT conv_id, CAST(sum({WORDS}) AS BIGINT) AS n FROM conversations GROUP BY conv_id HAVING sum({WORDS}) > 0)) GROUP BY batch""")
+def padding_ratio(d):
+    rows = d.conversations.groupBy("conv_id").agg(F.sum(t.n_tokens(F.col("text"))).alias("n")).where("n > 0")
+    got = mix.batches(rows, "conv_id", "n", 8).groupBy("batch").agg(F.count("*").alias("rows"), r6(metrics.padding(F.col("n"), F.col("width"))).alias("padding"))
+    return got.select("batch", "rows", "padding")
 
 
 @query(f"""WITH e AS (SELECT item_id, {IDS.format('text')} AS c, [9, 10, 11] AS k FROM benchmark)
@@ -183,10 +195,10 @@ def mix_totals(d):
     return tasks.totals(mixed.rows(d.spark), size)
 
 
-@query("SELECT CAST(sum(CAST(abs(x) AS DOUBLE)) FILTER (x > 0) / count(*) FILTER (x > 0) AS DOUBLE) > 0 AS positive, CAST(count(*) FILTER (x > 0) AS BIGINT) AS valid FROM (SELECT unnest(embedding) AS x FROM embeddings)")
+@query("SELECT round(sum(CAST(abs(x) AS DOUBLE)) FILTER (x > 0) / greatest(count(*) FILTER (x > 0), 1), 6) AS loss, CAST(count(*) FILTER (x > 0) AS BIGINT) AS valid FROM (SELECT unnest(embedding) AS x FROM embeddings)")
 def masked_loss(d):
     rows = d.embeddings.select(F.explode("embedding").alias("x"))
-    return rows.agg((metrics.masked_loss(F.abs(F.col("x").cast("double")), F.col("x") > 0) > 0).alias("positive"), F.count(F.when(F.col("x") > 0, 1)).alias("valid"))
+    return rows.agg(r6(metrics.masked_loss(F.abs(F.col("x").cast("double")), F.col("x") > 0)).alias("loss"), F.count(F.when(F.col("x") > 0, 1)).alias("valid"))
 
 
 @query(f"SELECT lang, round(sum({WORDS}) / greatest(sum(length(text)), 1), 6) AS ratio FROM documents GROUP BY lang")

@@ -74,8 +74,9 @@ KINDS = ["BELLE", "Cot", "ProductDesc", "AncientPoem", "OpenQA", "MusicComment",
 
 
 def jsonl_kinds(spark: SparkSession, paths: list[str], kinds: list[str] | None = None) -> DataFrame:
-    """Kind, input and target; only the kinds listed, if any are."""
+    """Kind, input and target; the kinds listed, ``KINDS`` if None, all if the list is empty."""
     rows = jsonl(spark, paths, "kind string, input string, target string")
+    kinds = KINDS if kinds is None else kinds
     rows = rows.where(F.col("kind").isin(*kinds)) if kinds else rows
     return rows.select("file", "ord", "kind", t.strip(F.col("input")).alias("question"), t.strip(F.col("target")).alias("answer")).where("question <> '' and answer <> ''")
 
