@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern import storage
 from quern.functions import text as t
 
 ROLES = ("system", "user", "assistant")
@@ -88,8 +89,9 @@ def pair_lengths(turns: DataFrame, seq_len: int, size=t.n_tokens) -> DataFrame:
     return got.withColumn("emitted", ~F.col("overflow") & (F.col("supervised") > 0))
 
 
-def encoded(turns: DataFrame, tok, seq_len: int) -> DataFrame:
-    """``conv_id``, ``ids`` and ``mask`` of every conversation that fits and has something supervised, in column expressions."""
+def _parts(turns: DataFrame, tok, seq_len: int) -> DataFrame:
+    """``conv_id``, ``head`` (ids), ``parts`` (turn, ids, plain: how many of them aren't supervised) of
+    the pairs that aren't too long by themselves, and ``n_pairs`` of all."""
     m = {k: F.array(F.lit(v)) for k, v in tok.marks.items()}
     user = F.concat(m["user"], tok.encode(F.col("text")))
     answer = F.when(F.col("answer").isNotNull(), F.concat(tok.encode(F.col("answer")), m["end"])).otherwise(F.array().cast("array<int>"))
@@ -99,13 +101,58 @@ def encoded(turns: DataFrame, tok, seq_len: int) -> DataFrame:
     got = got.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "ids", "plain"))).alias("parts"))
     got = got.join(opening(turns).select("conv_id", F.when(F.col("system").isNotNull(), tok.encode(F.col("system"))).alias("s")), "conv_id")
     prefix = F.lit(1) + F.when(F.col("s").isNotNull(), F.size("s") + 1).otherwise(0)
-    got = got.withColumn("parts", F.filter("parts", lambda p: prefix + F.size(p["ids"]) <= seq_len))
     head = F.concat(m["bos"], F.coalesce("s", F.array().cast("array<int>")), m["user"])
-    mask = F.transform("parts", lambda p: F.concat(F.array_repeat(F.lit(0), p["plain"]), F.array_repeat(F.lit(1), F.size(p["ids"]) - p["plain"])))
-    got = got.select("conv_id", F.concat(head, F.flatten(F.transform("parts", lambda p: p["ids"]))).alias("ids"), F.concat(F.array_repeat(F.lit(0), F.size(head)), F.flatten(mask)).alias("mask"))
+    return got.select("conv_id", head.alias("head"), F.filter("parts", lambda p: prefix + F.size(p["ids"]) <= seq_len).alias("parts"), F.size("parts").alias("n_pairs"))
+
+
+def _joined(head: Column, parts: str) -> tuple[Column, Column]:
+    """Ids and mask of a head and its pairs."""
+    mask = F.transform(parts, lambda p: F.concat(F.array_repeat(F.lit(0), p["plain"]), F.array_repeat(F.lit(1), F.size(p["ids"]) - p["plain"])))
+    return F.concat(head, F.flatten(F.transform(parts, lambda p: p["ids"]))), F.concat(F.array_repeat(F.lit(0), F.size(head)), F.flatten(mask))
+
+
+def encoded(turns: DataFrame, tok, seq_len: int) -> DataFrame:
+    """``conv_id``, ``ids`` and ``mask`` of every conversation that fits and has something supervised, in column expressions."""
+    ids, mask = _joined(F.col("head"), "parts")
+    got = _parts(turns, tok, seq_len).select("conv_id", ids.alias("ids"), mask.alias("mask"))
     return got.where((F.size("ids") <= seq_len) & F.array_contains("mask", 1))
 
 
+def encoded_split(turns: DataFrame, tok, seq_len: int) -> DataFrame:
+    """The same, cut between pairs where the next one doesn't fit: ``conv_id``, ``segment`` (from 0), ``ids`` and ``mask``. Every
+    segment repeats the head; one without supervision is left out. A greedy fold over each
+    conversation's lengths numbers the cuts, in column expressions."""
+    return _cut(_parts(turns, tok, seq_len), seq_len)
+
+
+def _cut(parts: DataFrame, seq_len: int) -> DataFrame:
+    start = F.struct(F.lit(0).alias("cut"), F.size("head").alias("used"), F.array().cast("array<int>").alias("cuts"))
+
+    def step(a: Column, p: Column) -> Column:
+        over = a["used"] + F.size(p["ids"]) > seq_len
+        cut = a["cut"] + over.cast("int")
+        used = F.when(over, F.size("head")).otherwise(a["used"]) + F.size(p["ids"])
+        return F.struct(cut.alias("cut"), used.alias("used"), F.concat(a["cuts"], F.array(cut)).alias("cuts"))
+
+    got = parts.withColumn("cuts", F.aggregate("parts", start, step, lambda a: a["cuts"]))
+    got = got.select("conv_id", "head", F.explode(F.arrays_zip("cuts", "parts")).alias("x")).select("conv_id", "head", F.col("x.cuts").alias("cut"), F.col("x.parts").alias("part"))
+    got = got.groupBy("conv_id", "cut").agg(F.first("head").alias("head"), F.array_sort(F.collect_list("part")).alias("parts"))
+    ids, mask = _joined(F.col("head"), "parts")
+    got = got.select("conv_id", "cut", ids.alias("ids"), mask.alias("mask")).where(F.array_contains("mask", 1))
+    return got.select("conv_id", (F.expr("row_number() over (partition by conv_id order by cut)") - 1).cast("long").alias("segment"), "ids", "mask")
+
+
+def split_counts(turns: DataFrame, tok, seq_len: int) -> DataFrame:
+    """One row: ``convs`` with a user turn, how many of them are ``split``, ``segments`` in all, ``dropped``
+    conversations that give none, and ``pairs_dropped``, too long by themselves."""
+    parts = storage.stage(turns.sparkSession, _parts(turns, tok, seq_len), "pairs")
+    found = _cut(parts, seq_len).groupBy("conv_id").agg(F.count("*").alias("k"))
+    every = parts.select("conv_id", (F.col("n_pairs") - F.size("parts")).alias("lost")).join(found, "conv_id", "left")
+    return every.agg(
+        F.count("*").alias("convs"), F.count(F.when(F.col("k") > 1, 1)).alias("split"), F.sum("k").alias("segments"), F.count(F.when(F.col("k").isNull(), 1)).alias("dropped"), F.sum("lost").cast("long").alias("pairs_dropped")
+    )
+
+
 SEGMENT = T.ArrayType(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.ByteType()))]))
 
 

@@ -52,12 +52,6 @@ def script_ratio(d):
     return d.documents.select("doc_id", t.traditional_share(x).alias("share"))
 
 
-@query("SELECT CASE WHEN n = 0 THEN 'fallback' WHEN n = 1 THEN 'one' ELSE 'several' END AS kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT len(list_filter(embedding[1:4], lambda x: x > 0)) AS n FROM embeddings) GROUP BY 1")
-def map_class_counts(d):
-    rows = d.embeddings.select(F.filter(F.slice("embedding", 1, 4), lambda x: x > 0).alias("ids"))  # four numbers stand for a piece's candidates
-    return evaluate.class_counts(rows, "ids")
-
-
 def results(d):
     """Runs of six tasks in two places, made from the events."""
     names = ["piqa", "gsm8k", "arc_challenge", "other"]
