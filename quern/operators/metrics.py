@@ -114,6 +114,52 @@ def ema(rows: DataFrame, by: str, order: str, value: str, keep: float = 0.9) ->
     return back.groupBy(by).agg(F.sum(weight * F.col(value)).alias("ema"))
 
 
+def ema_curve(rows: DataFrame, by: list[str], order: str, value: str, keep: float = 0.9) -> DataFrame:
+    """``rows`` (``by``, the unique ``order``, ``value``) with ``ema``, the exponential mean up to each row, seeded by a series' first value.
+
+    Series are sorted in ranges. A range passes its rows once with nothing carried, and says how much
+    of a carried mean its rows would keep and what they add; these pairs are composed over the
+    ranges of a series (as many as shuffle partitions, whatever the rows), so one
+    series may hold all rows."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(*by, order, F.col(value).cast("double").alias(value))
+    dealt = rows.repartitionByRange(n, *[F.col(c) for c in [*by, order]]).withColumn("_part", F.spark_partition_id())
+    dealt = storage.stage(spark, dealt, "series")
+
+    def local(frames):
+        now, mean, share = None, 0.0, 1.0
+        for f in frames:
+            means, shares = [], []
+            keys = list(zip(f["_part"].tolist(), *[f[c].tolist() for c in by], strict=True))
+            for key, x in zip(keys, f[value].tolist(), strict=True):
+                if key != now:
+                    now, mean, share = key, 0.0, 1.0
+                mean, share = keep * mean + (1 - keep) * x, keep * share
+                means.append(mean)
+                shares.append(share)
+            yield f.assign(_mean=means, _share=shares)
+
+    inner = dealt.repartition(n, "_part").sortWithinPartitions("_part", *by, order)
+    inner = storage.stage(spark, inner.mapInPandas(local, dealt.schema.add("_mean", "double").add("_share", "double")), "local_means")
+    ends = inner.groupBy("_part", *by).agg(F.max_by(F.struct("_mean", "_share"), order).alias("end"), F.min_by(value, order).alias("first"))
+    series = ends.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_part", "end", "first"))).alias("ends"))
+    start = F.struct(F.get("ends", F.lit(0))["first"].alias("mean"), F.array().cast("array<double>").alias("carried"))
+    after = lambda a, e: F.struct((e["end"]["_mean"] + e["end"]["_share"] * a["mean"]).alias("mean"), F.concat(a["carried"], F.array(a["mean"])).alias("carried"))
+    series = series.withColumn("carried", F.aggregate("ends", start, after, lambda a: a["carried"]))
+    carried = series.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.explode(F.arrays_zip("ends", "carried")).alias("x"))
+    carried = carried.select(*[f"_by{i}" for i in range(len(by))], F.col("x.ends._part").alias("_of"), F.col("x.carried").alias("_carried"))
+    same = [F.col("_part") == F.col("_of"), *[F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]]
+    return inner.join(carried, same).select(*by, order, value, (F.col("_mean") + F.col("_share") * F.col("_carried")).alias("ema"))
+
+
+def best_so_far(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """``rows`` with ``best``, the least value up to each row, and ``new_low`` where it is below all before; in ranges."""
+    got = storage.running(storage.stage(rows.sparkSession, rows, "series"), by, [order], at="_at", least=(value,))
+    low = F.col(f"{value}_least")
+    return got.select(*rows.columns, F.least(F.col(value), low).alias("best"), F.coalesce(F.col(value) < low, F.col(value).isNotNull()).alias("new_low"))
+
+
 def learning_rate(step: Column, warm: int, total: int, floor: float, shape: str = "cosine", decay: int = 0) -> Column:
     """Factor of the peak rate: linear warm-up from 0, then cosine, linear, or held until the last
     ``decay`` steps (a tenth of all if 0) and lowered to ``floor``; it stays there past the end."""

@@ -7,6 +7,9 @@ depend on how many tasks ran. Places and running sums come from sorted ranges
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,51 @@ def seeded_key(seed, *key: str) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
 
 
+#: Of `permuted`: rounds, the walk's steps and the round function's modulus and factor.
+ROUNDS, WALK, PRIME, FACTOR = 6, 64, 2_147_483_647, 1_103_515_245
+
+
+def round_keys(seed: int, epoch: int) -> list[int]:
+    return [int(hashlib.md5(f"{seed}-{epoch}-{i}".encode()).hexdigest()[:7], 16) for i in range(ROUNDS)]
+
+
+def permuted(index: Column, n: int, seed: int, epoch: int = 0, inverse: bool = False) -> Column:
+    """The place of row ``index`` (0 to ``n`` - 1) in an epoch's order, or with ``inverse`` the row at a place.
+
+    A keyed bijection, so no order is sorted or stored: an epoch, its resume and the rows
+    of a place range are arithmetic. The index is split into x * b + y with a * b at
+    least ``n``; rounds add a function of one half to the other, modulo a or b;
+    a result beyond ``n`` goes through the rounds again (cycle walking), which
+    ends within ``WALK`` steps (at most a results are beyond; larger tables are left with a chance below 1e-100).
+    """
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    keys = list(enumerate(round_keys(seed, epoch)))
+    steps = F.array(*[F.struct(F.lit(i % 2 == 0).alias("x"), F.lit(k).cast("long").alias("key")) for i, k in (keys[::-1] if inverse else keys)])
+    sign = -1 if inverse else 1
+
+    def mixed(v: Column, key: Column) -> Column:
+        h = (v * FACTOR + key) % PRIME
+        return (h * h + key) % PRIME
+
+    def turn(s: Column, k: Column) -> Column:
+        x = F.when(k["x"], F.pmod(s["x"] + sign * mixed(s["y"], k["key"]), F.lit(a))).otherwise(s["x"])
+        y = F.when(k["x"], s["y"]).otherwise(F.pmod(s["y"] + sign * mixed(s["x"], k["key"]), F.lit(b)))
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def once(v: Column) -> Column:
+        start = F.struct(F.floor(v / b).cast("long").alias("x"), (v % b).cast("long").alias("y"))
+        return F.aggregate(steps, start, turn, lambda s: s["x"] * b + s["y"])
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(index.cast("long")), lambda v, _: F.when(v >= n, once(v)).otherwise(v))
+    return F.when(index.between(0, n - 1), F.when(walk < n, walk).otherwise(F.raise_error(F.lit("the walk did not end")).cast("long")))
+
+
+def epoch_rest(rows: DataFrame, index: str, n: int, seed: int, epoch: int, consumed: int, at: str = "at") -> DataFrame:
+    """What an epoch still has to read of ``rows`` numbered by ``index``, with the place ``at``: a filter, nothing is shuffled."""
+    return rows.withColumn(at, permuted(F.col(index), n, seed, epoch)).where(F.col(at) >= consumed)
+
+
 def epoch_seed(seed: int, epoch: int) -> int:
     return seed * 1_000_003 + epoch
 

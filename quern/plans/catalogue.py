@@ -572,4 +572,4 @@ def labels_from_mask(d):
     return d.embeddings.select("vec_id", got[0].alias("first_label"))
 
 
-from quern.plans import evaluation, files, training, vocabularies  # noqa: E402, F401 - they register their queries
+from quern.plans import evaluation, files, scale, training, vocabularies  # noqa: E402, F401 - they register their queries

@@ -6,6 +6,8 @@ All read lazily with column projection. Order, where it matters, is the pair
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,6 +172,37 @@ def packed(spark: SparkSession, ids: list[str], masks: list[str] | None = None)
     return rows.join(found.select("index", "mask"), "index").withColumn("labels", t.labels_from_mask(F.col("ids"), F.col("mask")))
 
 
+#: Indices at most that a scan is told of; more of them are joined.
+NAMED = 10_000
+
+
+def rows_at(spark: SparkSession, path: str, wanted: DataFrame | list[int]) -> DataFrame:
+    """The rows of `sinks.blocked` with these global indices (a list, or a column ``index``), each once.
+
+    Up to ``NAMED`` of them name the blocks to open (partition pruning) and, within a block,
+    the range that Parquet's footers are asked for; more are joined block by block, and a
+    scan of all blocks is what they need anyway."""
+    rows = spark.read.parquet(path)
+    size = spark.read.json(f"{path}/_blocks").first()["block_rows"]
+    if isinstance(wanted, list):
+        named = sorted(set(wanted))
+    else:
+        wanted = wanted.select("index").where("index is not null").distinct()
+        named = sorted(r[0] for r in wanted.limit(NAMED + 1).collect())
+    if len(named) <= NAMED:
+        blocks: dict[int, list[int]] = {}
+        for i in named:
+            blocks.setdefault(i // size, []).append(i)
+        if len(blocks) <= 16:  # few blocks: each with its own range
+            parts = [rows.where((F.col("block") == b) & F.col("index").between(min(i), max(i)) & F.col("index").isin(*i)) for b, i in blocks.items()]
+            return reduce(DataFrame.unionByName, parts).drop("block") if parts else rows.where(F.lit(False)).drop("block")
+        return rows.where(F.col("block").isin(*blocks) & F.col("index").isin(*named)).drop("block")
+    if isinstance(wanted, list):
+        wanted = spark.createDataFrame([(i,) for i in named], "index long")
+    keyed = wanted.select("index", F.floor(F.col("index") / size).cast("long").alias("block"))
+    return rows.join(keyed, ["block", "index"], "left_semi").drop("block")
+
+
 def result_files(spark: SparkSession, folder: str) -> DataFrame:
     """``task``, ``metric``, ``value`` of JSON results below a folder; the first file of a task wins."""
     rows = spark.read.schema("results map<string,map<string,double>>").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).json(folder)

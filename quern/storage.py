@@ -107,9 +107,10 @@ def numbered(docs: DataFrame, name: str = "_quern_row") -> tuple[DataFrame, str]
     return rows.select(*[F.col(f"`{c}`") for c in columns], known.otherwise(F.raise_error(F.lit("a file that wasn't listed")).cast("long")).alias(name)), name
 
 
-def running(rows: DataFrame, by: list[str], order: list[str], sums: tuple[str, ...] = (), at: str = "at") -> DataFrame:
+def running(rows: DataFrame, by: list[str], order: list[str], sums: tuple[str, ...] = (), at: str = "at", least: tuple[str, ...] = ()) -> DataFrame:
     """The staged ``rows`` with their place ``at`` (from 0) in their group, by ``order``
-    (SQL expressions), and ``<x>_before``, the sum of each ``x`` of ``sums`` over the rows before.
+    (SQL expressions), ``<x>_before``, the sum of each ``x`` of ``sums`` over the rows before, and
+    ``<x>_least``, the least ``x`` of ``least`` among them (null if there is none).
 
     Rows are sorted in ranges, numbered within a range, and ranges are told what
     precedes them, so no group is one task's work, not even if it has all rows.
@@ -123,11 +124,14 @@ def running(rows: DataFrame, by: list[str], order: list[str], sums: tuple[str, .
     groups = [part, *by]
     window = f"over (partition by {', '.join(f'`{g}`' for g in groups)} order by {', '.join(f'`{k}`' for k in names)} rows between unbounded preceding and current row)"
     inner = dealt.withColumns({at: F.expr(f"row_number() {window} - 1"), **{f"{x}_before": F.expr(f"sum(`{x}`) {window}") - F.col(x) for x in sums}})
-    total = dealt.groupBy(*groups).agg(F.count("*").alias("_quern_n"), *[F.sum(x).alias(f"_quern_s_{x}") for x in sums])
+    earlier = window.replace("current row", "1 preceding")
+    inner = inner.withColumns({f"{x}_least": F.expr(f"min(`{x}`) {earlier}") for x in least})
+    total = dealt.groupBy(*groups).agg(F.count("*").alias("_quern_n"), *[F.sum(x).alias(f"_quern_s_{x}") for x in sums], *[F.min(x).alias(f"_quern_l_{x}") for x in least])
     upto = f"over ({'partition by ' + ', '.join(f'`{b}`' for b in by) if by else ''} order by `{part}` rows between unbounded preceding and 1 preceding)"
-    first = total.select(*[F.col(g).alias(f"_quern_g{i}") for i, g in enumerate(groups)], *[F.expr(f"coalesce(sum({c}) {upto}, 0)").alias(c) for c in total.columns[len(groups) :]])
+    carried = lambda c: F.expr(f"min(`{c}`) {upto}" if c.startswith("_quern_l_") else f"coalesce(sum(`{c}`) {upto}, 0)").alias(c)
+    first = total.select(*[F.col(g).alias(f"_quern_g{i}") for i, g in enumerate(groups)], *[carried(c) for c in total.columns[len(groups) :]])
     out = inner.join(first, [inner[g].eqNullSafe(first[f"_quern_g{i}"]) for i, g in enumerate(groups)])
-    places = {at: F.col(at) + F.col("_quern_n"), **{f"{x}_before": F.col(f"{x}_before") + F.col(f"_quern_s_{x}") for x in sums}}
+    places = {at: F.col(at) + F.col("_quern_n"), **{f"{x}_before": F.col(f"{x}_before") + F.col(f"_quern_s_{x}") for x in sums}, **{f"{x}_least": F.least(f"{x}_least", f"_quern_l_{x}") for x in least}}
     return out.select(*rows.columns, *[c.alias(k) for k, c in places.items()])
 
 

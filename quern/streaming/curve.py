@@ -58,20 +58,20 @@ STATE = "rest array<int>, rows long"
 
 def pack_stream(docs: DataFrame, seq_len: int, eos: int) -> DataFrame:
     """Full rows of a stream of documents (``shard``, ``ord``, ``ids``): joined end to end with an end
-    token, in ``ord`` within what arrives together; less than a row is carried as state."""
+    token, in ``ord`` within what arrives together; less than a row is carried as state. What arrives
+    together for a shard is sorted as a whole, so a trigger bounds it (`maxFilesPerTrigger`)."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rest, rows = state.get if state.exists else ([], 0)
         rest, out = [int(x) for x in rest], []
-        for f in frames:
-            for ids in f.sort_values("ord")["ids"]:
-                rest += [*(int(x) for x in ids), eos]
-                full = len(rest) // seq_len
-                out += [(key[0], rows + i, rest[i * seq_len : (i + 1) * seq_len]) for i in range(full)]
-                rest, rows = rest[full * seq_len :], rows + full
-            if out:
-                yield pd.DataFrame(out, columns=["shard", "row", "ids"])
-                out = []
+        arrived = pd.concat(list(frames))  # a group comes in several frames
+        for ids in arrived.sort_values("ord", kind="stable")["ids"]:
+            rest += [*(int(x) for x in ids), eos]
+            full = len(rest) // seq_len
+            out += [(key[0], rows + i, rest[i * seq_len : (i + 1) * seq_len]) for i in range(full)]
+            rest, rows = rest[full * seq_len :], rows + full
+        if out:
+            yield pd.DataFrame(out, columns=["shard", "row", "ids"])
         state.update((rest, rows))
 
     return docs.groupBy("shard").applyInPandasWithState(run, PACKED, STATE, "append", GroupStateTimeout.NoTimeout)
