@@ -19,9 +19,10 @@ a text is a logistic function of the best segment's calibrated excess and of
 the summed excess of all significant ones, fitted on texts that had no part in
 the word table applied to them (two folds).
 
-Bounds: at most ``MAX_FIT`` labelled rows, the first by hash of id, are used to
-fit (broadcast; a documented sample); everything else covers every text, and
-fitting sees all segments of a text as scoring does.
+Bounds: at most ``MAX_FIT`` labelled ids, the first by hash of id, and of their
+different texts at most ``MAX_FIT``, the first by hash of text, are used to fit (a
+documented sample; rows of one id may have several texts, so both are bounded);
+everything else covers every text, and fitting sees all segments of a text as scoring does.
 
 Defined cases: null and empty texts have no segment and get the score of a text
 without any; of several labels of one id the largest counts; null labels and
@@ -191,7 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     storage.small_batches(spark)
     train = training_rows(docs, labels, id_col, text_col)
     once = train.groupBy("copy").agg(F.max("toxic").alias("toxic"), F.first("fold").alias("fold"), F.first("text").alias("text"))
-    once = storage.stage(spark, once, "training")
+    staged = once = storage.stage(spark, once, "training")
+    if once.count() > MAX_FIT:  # ids with several texts
+        last = once.select("copy").orderBy("copy").limit(MAX_FIT).agg(F.max("copy")).first()[0]
+        once = once.where(F.col("copy") <= last)
     got = word_counts(once).toPandas()
     n = np.zeros((FOLDS, 2, BUCKETS), np.int64)
     size = np.zeros((FOLDS, 2), np.int64)
@@ -215,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x = seen.select("toxic", F.greatest(F.lit(LEAST), F.array_max(excess)).alias("best"), F.log1p(sure).alias("sum")).toPandas()
     x = x.sort_values(["toxic", "best", "sum"])  # one order of summation, whatever the partitions
     model.weights = fit_logistic(x[["best", "sum"]].to_numpy(), x.toxic.to_numpy() > 0)
-    storage.discard(spark, once)
+    storage.discard(spark, staged)
     storage.discard(spark, seen)
     return model
 

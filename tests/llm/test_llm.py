@@ -186,6 +186,18 @@ def test_held_out(spark):
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
 
 
+def test_fit_is_bounded_by_rows(spark, monkeypatch):
+    """One labelled id with many texts doesn't widen the sample."""
+    docs = spark.createDataFrame([(i % 2, f"word{i} some more words {i}", "en", "a", 1) for i in range(400)], DOCS)
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "MAX_FIT", 50)
+    monkeypatch.setattr(toxicity, "held_out", lambda c: F.lit(False))
+    seen, count = [], toxicity.word_counts
+    monkeypatch.setattr(toxicity, "word_counts", lambda train: (seen.append(train.count()), count(train))[1])
+    toxicity.fit(docs, labels)
+    assert seen == [50]
+
+
 # 3
 
 
