@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from quern import storage
 from quern.functions import text as t
 from quern.operators import chat
+from quern.plans import library
 from quern.plans.queries import query
+from quern.plans.tasks import Mixture
 from quern.sources import readers, registry, sinks
 
 
@@ -162,3 +164,22 @@ def file_digests(d):
     path = put(d, d.spark.range(40).coalesce(1).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("value")), "text")[0]
     found = readers.parts(d.spark, [f"{path}/part-*"])
     return readers.digests(d.spark, found).select(F.lit(40).cast("long").alias("n"), "sha")
+
+
+@query("""WITH c AS (SELECT conv_id, sum(length(text)) AS n FROM conversations WHERE role IN ('system', 'user', 'assistant') AND coalesce(text, '') <> '' GROUP BY conv_id),
+q AS (SELECT item_id, length(text) + length('7 ' || item_id) AS n FROM benchmark WHERE coalesce(text, '') <> ''),
+m AS (SELECT item_id, length('Multiple Choice question: ' || text || chr(10) || '- x=A' || chr(10) || '- ' || item_id || '=B' || chr(10) || chr(10) || 'Respond only with the letter of the correct answer.') + 1 AS n FROM benchmark WHERE item_id % 3 < 2),
+e AS (SELECT 'SmolTalk' AS task, 'en' AS lang, n FROM c, range(2) UNION ALL SELECT 'GSM8K_Train', 'en', n FROM q, range(4) UNION ALL SELECT 'MMLU_AuxTrain', 'en', n FROM m)
+SELECT task, lang, CAST(count(*) AS BIGINT) AS rows, CAST(sum(n) AS BIGINT) AS chars FROM e GROUP BY task, lang""")
+def mix_by_sql(d):
+    """Named tasks over files, read as table functions: two epochs of conversations, four of questions, one of choices."""
+    base = storage.new_path(d.spark, "library")
+    answer = F.when(F.col("item_id") % 3 < 2, F.col("item_id") % 2).otherwise(7).cast("int")
+    train = F.struct(F.col("text").alias("question"), F.array(F.lit("x"), F.col("item_id").cast("string")).alias("choices"), answer.alias("answer")).alias("train")
+    turns(d, "role", "content").select(F.col("x").alias("messages")).write.parquet(f"{base}/SmolTalk")
+    d.benchmark.select(F.col("text").alias("question"), F.concat(F.lit("<<3+4=7>>7 "), F.col("item_id").cast("string")).alias("answer")).write.parquet(f"{base}/GSM8K_Train")
+    d.benchmark.select(train).write.parquet(f"{base}/MMLU_AuxTrain")
+    named = library.Library(base)
+    library.publish(d.spark, Mixture(tuple(named.task(x) for x in ("SmolTalk", "GSM8K_Train", "MMLU_AuxTrain"))))
+    return d.spark.sql("""SELECT task, lang, count(*) AS rows, sum(aggregate(turns, 0L, (a, x) -> a + char_length(x.text))) AS chars
+        FROM (SELECT * FROM smoltalk(2) UNION ALL SELECT * FROM gsm8k_train(epochs => 4) UNION ALL SELECT * FROM mmlu_auxtrain()) GROUP BY task, lang""")
