@@ -44,9 +44,14 @@ def fewshot(direction: str, shots: DataFrame, tests: DataFrame, key: str) -> Dat
 
 def specs(spark: SparkSession, text: str) -> DataFrame:
     """``ord``, ``task`` and ``shots`` (null if not said) of a list such as ``piqa:5,gsm8k``."""
-    rows = spark.createDataFrame([(text,)], "x string").select(F.posexplode(F.split("x", ",")).alias("ord", "s"))
+    return specs_of(spark.createDataFrame([(text,)], "x string"), "x")
+
+
+def specs_of(lists: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The same of a column of such lists, with the ``keys`` of their rows."""
+    rows = lists.select(*keys, F.posexplode(F.split(column, ",")).alias("ord", "s"))
     s = F.trim("s")
-    return rows.select("ord", F.substring_index(s, ":", 1).alias("task"), F.nullif(F.when(F.instr("s", ":") > 0, F.regexp_extract(s, "^[^:]*:(.*)$", 1)), F.lit("")).cast("int").alias("shots"))
+    return rows.select(*keys, "ord", F.substring_index(s, ":", 1).alias("task"), F.nullif(F.when(F.instr("s", ":") > 0, F.regexp_extract(s, "^[^:]*:(.*)$", 1)), F.lit("")).cast("int").alias("shots"))
 
 
 def preferred_metric(results: DataFrame, prefer: dict[str, list[str]] | None = None) -> DataFrame:

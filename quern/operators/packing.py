@@ -23,8 +23,9 @@ from quern import storage
 
 
 def planned_shards(docs: DataFrame, by: str, order: str, length: Column, cap: int) -> DataFrame:
-    """``docs`` with ``shard``: each source's rows dealt by their id over as many shards as its tokens ask for (``cap`` each)."""
-    sized = docs.withColumn("n_tokens", length)
+    """Narrow ``docs`` with ``shard``: each source's rows dealt by their id over as many shards as its tokens ask for (``cap``
+    each). They are written once, so that lengths are counted once."""
+    sized = storage.stage(docs.sparkSession, docs.withColumn("n_tokens", length), "sized")
     plan = sized.groupBy(by).agg(F.greatest(F.ceil(F.sum("n_tokens") / cap), F.lit(1)).alias("shards"))
     plan = storage.stage(docs.sparkSession, plan, "shards")
     plan = F.broadcast(plan) if plan.count() <= 100_000 else plan  # a row a source

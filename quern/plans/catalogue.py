@@ -173,6 +173,13 @@ def pack_stream_rows(d):
     return got.agg(F.count("*").alias("pieces"), F.sum(F.col("hi") - F.col("lo")).alias("tokens"), F.min("doc_id").alias("first_doc"))
 
 
+@query(PIECES_SQL.replace("row < total // {SEQ}".format(SEQ=SEQ), "row < least(total // {SEQ}, 3)".format(SEQ=SEQ)) + " SELECT source, shard, row, CAST(count(*) AS BIGINT) AS pieces, CAST(sum(hi - lo) AS BIGINT) AS tokens FROM q GROUP BY source, shard, row")
+def pack_stream_target(d):
+    """At most three rows a shard, as a shard's row target asks for."""
+    got = packing.stream_pieces(offsets(d), SEQ, 3).groupBy("source", "shard", "row")
+    return got.agg(F.count("*").alias("pieces"), F.sum(F.col("hi") - F.col("lo")).alias("tokens"))
+
+
 @query()
 def pack_bos_bestfit(d):
     docs = sharded(d).withColumn("no", F.xxhash64("source", "shard"))
@@ -478,10 +485,10 @@ SHARE = "least(1.0, (step - 50) / 950)"
 
 
 @query(f"""SELECT step, round({RATE.format(f"0.1 + 0.9 * 0.5 * (1 + cos(3.141592653589793 * {SHARE}))")}, 6) AS cosine, round({RATE.format(f"greatest(0.1, 1 - {SHARE} * 0.9)")}, 6) AS linear,
-round({RATE.format("CASE WHEN step < 900 THEN 1 ELSE 0.1 + 0.9 * (1 - least(1.0, (step - 900) / 100)) END")}, 6) AS wsd, round(0.85 + least(1.0, step / 300) * 0.1, 6) AS momentum FROM (SELECT unnest(range(1200)) AS step)""")
+round({RATE.format("CASE WHEN step < 900 THEN 1 ELSE 0.1 + 0.9 * (1 - least(1.0, (step - 900) / 100)) END")}, 6) AS wsd, round(0.85 + least(1.0, step / 300) * 0.1, 6) AS momentum FROM (SELECT o_orderkey AS step FROM orders)""")
 def lr_schedule(d):
     rate = lambda shape: r6(metrics.learning_rate(F.col("id"), 50, 1000, 0.1, shape)).alias(shape)
-    return d.spark.range(1200).select(F.col("id").alias("step"), rate("cosine"), rate("linear"), rate("wsd"), r6(metrics.momentum(F.col("id"), 300, 0.85, 0.95)).alias("momentum"))
+    return d.orders.select(F.col("o_orderkey").alias("id")).select(F.col("id").alias("step"), rate("cosine"), rate("linear"), rate("wsd"), r6(metrics.momentum(F.col("id"), 300, 0.85, 0.95)).alias("momentum"))
 
 
 # Reports
@@ -566,10 +573,4 @@ def cosine_pairs(d):
     return one.join(two, "vec_id").select("vec_id", F.round(dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")), 5).alias("cosine"))
 
 
-@query("SELECT vec_id, CAST(CASE WHEN label % 3 = 0 THEN -100 ELSE label END AS INTEGER) AS first_label FROM embeddings")
-def labels_from_mask(d):
-    got = t.labels_from_mask(F.array("label"), F.array(F.when(F.col("label") % 3 == 0, 0).otherwise(1)))
-    return d.embeddings.select("vec_id", got[0].alias("first_label"))
-
-
 from quern.plans import evaluation, files, scale, training, vocabularies  # noqa: E402, F401 - they register their queries

@@ -128,9 +128,11 @@ def log_progress(d):
     return evaluate.log_steps(lines, 12.66)
 
 
-@query("SELECT * FROM (VALUES (0, 'lambada_openai', 0), (1, 'piqa', 5), (2, 'gsm8k', NULL)) AS v(ord, task, shots)")
+@query("""SELECT doc_id, 0 AS ord, source AS task, CAST(doc_id % 7 AS INT) AS shots FROM documents UNION ALL SELECT doc_id, 1, lang, NULL FROM documents UNION ALL SELECT doc_id, 2, 'n', CAST(n_chars AS INT) FROM documents""")
 def task_specs(d):
-    return evaluate.specs(d.spark, "lambada_openai:0, piqa:5,gsm8k")
+    """Run specifications written as lists, a list a document."""
+    lists = d.documents.select("doc_id", F.format_string("%s:%d, %s,n:%d", "source", F.col("doc_id") % 7, "lang", "n_chars").alias("x"))
+    return evaluate.specs_of(lists, "x", ("doc_id",))
 
 
 @query(r"SELECT page_id AS ord, substring(trim(url), 1, 100) AS value FROM pages WHERE contains(url, '/en/1') OR regexp_matches(url, '(^|[^A-Za-z0-9_])example([^A-Za-z0-9_]|$)')")

@@ -146,10 +146,11 @@ def packed_by_index(d):
     return got.select("index", F.col("shard").cast("long").alias("shard"), F.col("labels")[0].alias("label"))
 
 
-@query("SELECT name, CAST(present AS BIGINT) AS present, needed FROM (VALUES ('a', 2, 3), ('b', 0, 2), ('c', 1, 1)) AS v(name, present, needed)")
+@query("SELECT source AS name, CAST(count(*) FILTER (doc_id % 3 = 0 AND lang <> 'de') AS BIGINT) AS present, CAST(count(*) FILTER (lang = 'en') + 1 AS INT) AS needed FROM documents GROUP BY source")
 def source_status(d):
-    sources = registry.registry(d.spark, [{"name": n, "n_parts": k} for n, k in (("a", 3), ("b", 2), ("c", 1))])
-    present = d.spark.createDataFrame([("a", "x"), ("a", "y"), ("c", "z")], "name string, path string")
+    """Sources of documents, their parts that are there and those that they need."""
+    sources = d.documents.groupBy(F.col("source").alias("name")).agg((F.count(F.when(F.col("lang") == "en", 1)) + 1).cast("int").alias("n_parts"))
+    present = d.documents.where("doc_id % 3 = 0 and lang <> 'de'").select(F.col("source").alias("name"), F.col("doc_id").cast("string").alias("path"))
     return registry.status(sources, present)
 
 
@@ -159,11 +160,15 @@ def missing_files(d):
     return registry.missing(path(1), path(0))
 
 
-@query("SELECT CAST(40 AS BIGINT) AS n, sha256(string_agg('b' || i, chr(10) ORDER BY i) || chr(10)) AS sha FROM (SELECT unnest(range(40)) AS i)")
+@query("SELECT source, sha256(string_agg(doc_id || ' ' || md5(coalesce(text, '')), chr(10) ORDER BY doc_id) || chr(10)) AS sha FROM documents WHERE source IS NOT NULL GROUP BY source")
 def file_digests(d):
-    path = put(d, d.spark.range(40).coalesce(1).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("value")), "text")[0]
-    found = readers.parts(d.spark, [f"{path}/part-*"])
-    return readers.digests(d.spark, found).select(F.lit(40).cast("long").alias("n"), "sha")
+    """A file a source with a line a document, and the digests of these files."""
+    path = storage.new_path(d.spark, "listed")
+    lines = F.concat_ws(" ", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))).alias("value")
+    dealt = d.documents.where("source is not null").select("source", "doc_id", lines).repartition("source").sortWithinPartitions("source", "doc_id")
+    dealt.select("source", "value").write.partitionBy("source").text(path)
+    found = readers.parts(d.spark, [f"{path}/source=*/part-*"])
+    return readers.digests(d.spark, found).select(F.regexp_extract("file", "source=([^/]*)/", 1).alias("source"), "sha")
 
 
 @query("""WITH c AS (SELECT conv_id, sum(length(text)) AS n FROM conversations WHERE role IN ('system', 'user', 'assistant') AND coalesce(text, '') <> '' GROUP BY conv_id),

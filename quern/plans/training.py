@@ -48,6 +48,13 @@ def encode_turns_ids(d):
     return got.select("conv_id", digest("ids"), digest("mask"))
 
 
+@query(ENCODED_SQL.replace("ROOM", "2048") + " SELECT conv_id, md5(array_to_string(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN mask[i] = 1 THEN ids[i] ELSE -100 END), ',')) AS labels FROM e")
+def labels_from_mask(d):
+    """What a model is to predict in every encoded conversation: its supervised ids, -100 elsewhere."""
+    labels = t.labels_from_mask(F.col("ids"), F.col("mask"))
+    return chat.encoded(d.conversations, TOK, 2048).select("conv_id", F.md5(F.array_join(labels.cast("array<string>"), ",")).alias("labels"))
+
+
 @query(ENCODED_SQL.replace("ROOM", "2048") + """, f AS (SELECT conv_id, conv_id % 4 AS task, unnest(ids) AS id, unnest(mask) AS m, unnest(range(len(ids))) AS i FROM e),
 g AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY conv_id, i) - 1 AS p, count(*) OVER (PARTITION BY task) AS n FROM f)
 SELECT task, p // 1024 AS row, md5(string_agg(id, ',' ORDER BY p)) AS ids, CAST(sum(m) AS BIGINT) AS supervised FROM g WHERE p // 1024 < n // 1024 GROUP BY task, p // 1024""")
@@ -143,12 +150,13 @@ def counting_questions(d):
 WHO = {"en": [("Who are you?", "A small model."), ("Which languages do you speak?", "Two.")], "zh": [("你是谁?", "一个小模型。"), ("你会说哪些语言?", "两种。")]}
 
 
-@query(f"""WITH i AS (SELECT unnest(range(500)) AS id), a AS (SELECT id, ['en', 'zh'][CAST(floor({U.format("'7-lang-' || id")} * 2) AS INT) + 1] AS lang, CAST(floor({U.format("'7-pair-' || id")} * 2) AS INT) + 1 AS p,
+@query(f"""WITH i AS (SELECT unnest(range((SELECT count(*) FROM conversations))) AS id), a AS (SELECT id, ['en', 'zh'][CAST(floor({U.format("'7-lang-' || id")} * 2) AS INT) + 1] AS lang, CAST(floor({U.format("'7-pair-' || id")} * 2) AS INT) + 1 AS p,
   CASE WHEN {U.format("'7-has-' || id")} < 0.3 THEN ['Hey, ', 'So, '][CAST(floor({U.format("'7-prefix-' || id")} * 2) AS INT) + 1] ELSE '' END AS before FROM i)
 SELECT id, lang, before || CASE lang WHEN 'en' THEN {_literal([q for q, _ in WHO['en']])}[p] ELSE {_literal([q for q, _ in WHO['zh']])}[p] END AS question,
   CASE lang WHEN 'en' THEN {_literal([a for _, a in WHO['en']])}[p] ELSE {_literal([a for _, a in WHO['zh']])}[p] END AS answer FROM a""")
 def identity_rows(d):
-    return generate.identity(d.spark, 500, 7, WHO, ["Hey, ", "So, "])
+    """As many rows as there are turns of conversations that they are to be mixed with."""
+    return generate.identity(d.spark, d.conversations.count(), 7, WHO, ["Hey, ", "So, "])
 
 
 # Pairs of sentences
