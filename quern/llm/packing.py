@@ -6,8 +6,13 @@ pieces (at most one a document) are dealt by hash into blocks of about
 ``BLOCK_ITEMS``, a bin-packing problem each. Every block evolves on ``ISLANDS``
 islands at once: a genome is a set of bins, crossover injects whole well-filled
 bins of one parent into the other, bins that now hold a piece twice are
-dissolved, and what they displace is put back by best fit, longest first;
-mutation dissolves the emptiest bins. After each epoch the islands are written
+dissolved, and what they displace is put back by best fit, longest first. Most
+crossovers inject the giver's full bins that leave the full bins of the other
+alone, so that islands add up what they found. Mutation takes a few bins that
+aren't full and some others apart and groups their pieces anew, each bin led by its
+longest piece and filled as far as any subset of the others can (sums as a bit
+set); what is no worse stays, so that free room gathers in few bins and frees them. A
+search ends at the lower bound. After each epoch the islands are written
 to shared storage and every island gets its neighbour's elite. Pieces left in
 badly filled bins are pooled over all blocks and packed once more.
 
@@ -30,6 +35,7 @@ are ignored. Seeds come from block, island and epoch.
 from __future__ import annotations
 
 import json
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -45,10 +51,12 @@ from quern import storage
 EOS = 2
 SEQ_LEN = 1024
 BLOCK_ITEMS = 16384
-ISLANDS = 3
+ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 12
+GENERATIONS = 4
 POPULATION = 4
+TRIES = 2400  # groups of bins that a mutation takes apart
+OPEN, OTHERS = 4, (1, 1, 1, 1, 4)  # bins of such a group: not full, and any (one of these numbers)
 POOR = 0.97  # bins filled less are pooled and packed once more
 
 # Fixed value: the pre-tokenisation pattern of the public byte-level BPE.
@@ -191,7 +199,12 @@ def best_fit(sizes: np.ndarray, of: np.ndarray, loose: np.ndarray, room: int) ->
 def cross(into: Packing, giver: Packing, rng: np.random.Generator) -> Packing:
     """Inject whole well-filled bins of ``giver``; dissolve bins that hold a piece twice; best-fit what is displaced."""
     full = giver.fill / giver.room
-    chosen = np.flatnonzero((full >= np.quantile(full, 0.3)) & (rng.random(len(full)) < rng.uniform(0.2, 0.7)))
+    if rng.random() < 0.75:  # full bins that break no full bin
+        breaks = np.zeros(len(full), bool)
+        np.logical_or.at(breaks, giver.of, (into.fill == into.room)[into.of])
+        chosen = np.flatnonzero((giver.fill == giver.room) & ~breaks)
+    else:
+        chosen = np.flatnonzero((full >= np.quantile(full, 0.3)) & (rng.random(len(full)) < rng.uniform(0.2, 0.7)))
     inside = np.isin(giver.of, chosen)
     broken = np.zeros(len(into.fill), bool)
     broken[into.of[inside]] = True
@@ -199,12 +212,66 @@ def cross(into: Packing, giver: Packing, rng: np.random.Generator) -> Packing:
     return Packing(into.sizes, best_fit(into.sizes, of, np.flatnonzero(of < 0), into.room), into.room)
 
 
-def mutate(p: Packing, rng: np.random.Generator) -> Packing:
-    """Dissolve the emptiest bins and a few others."""
-    full = p.fill / p.room
-    gone = (full < 0.995) & ((full <= np.quantile(full, 0.05)) | (rng.random(len(full)) < 0.08))
-    of = np.where(gone[p.of], -1, p.of)
-    return Packing(p.sizes, best_fit(p.sizes, of, np.flatnonzero(of < 0), p.room), p.room)
+def regrouped(sizes: list[int], items: list[int], room: int, rnd: random.Random) -> list[list[int]]:
+    """Bins of ``items``: each has the longest piece left and the subset of the others, met in random order, that fills it furthest."""
+    items = sorted(items, key=lambda i: -sizes[i])
+    out = []
+    while items:
+        first, others = items[0], items[1:]
+        left = room - sizes[first]
+        rnd.shuffle(others)
+        sums, goal, within, steps = 1, 1 << left, (2 << left) - 1, []  # a bit a sum that can be had
+        for i in others:
+            more = (sums | sums << sizes[i]) & within
+            if more != sums:
+                steps.append((i, sums))
+                sums = more
+                if sums & goal:
+                    break
+        at, taken = sums.bit_length() - 1, [first]
+        for i, before in reversed(steps):
+            if not before >> at & 1:
+                taken.append(i)
+                at -= sizes[i]
+        out.append(taken)
+        gone = set(taken)
+        items = [i for i in items if i not in gone]
+    return out
+
+
+def mutate(p: Packing, rng: np.random.Generator, tries: int = TRIES) -> Packing:
+    """Group the pieces of a few bins anew, ``tries`` times; what is worse is not taken."""
+    rnd, sizes, room = random.Random(int(rng.integers(1 << 62))), p.sizes.tolist(), p.room
+    bins: list[list[int]] = [[] for _ in p.fill]
+    for i, b in enumerate(p.of.tolist()):
+        bins[b].append(i)
+    fill, least, open_ = p.fill.tolist(), -(-int(p.sizes.sum()) // room), []
+    for k in range(tries):
+        if len(bins) <= least:
+            break
+        if k % 256 == 0:
+            open_ = [b for b, f in enumerate(fill) if f < room]
+        if len(open_) < 2:
+            break
+        chosen = sorted({*rnd.sample(open_, min(OPEN, len(open_))), *(rnd.randrange(len(bins)) for _ in range(rnd.choice(OTHERS)))})
+        new = regrouped(sizes, [i for b in chosen for i in bins[b]], room, rnd)
+        if len(new) > len(chosen):
+            continue
+        filled = [sum(sizes[i] for i in b) for b in new]
+        if len(new) == len(chosen) and sum(f * f for f in filled) < sum(fill[b] ** 2 for b in chosen):
+            continue
+        for b, items, f in zip(chosen, new, filled):  # noqa: B905 - what is left of chosen is freed
+            bins[b], fill[b] = items, f
+        if len(new) < len(chosen):
+            for b in reversed(chosen[len(new) :]):
+                bins[b], fill[b] = bins[-1], fill[-1]
+                bins.pop()
+                fill.pop()
+            open_ = [b for b, f in enumerate(fill) if f < room]
+    of = np.empty(len(sizes), np.int64)
+    for b, items in enumerate(bins):
+        of[items] = b
+    return Packing(p.sizes, of, room)
 
 
 def evolve(sizes: np.ndarray, start: list[np.ndarray], room: int, seed: list[int], generations: int = GENERATIONS) -> list[Packing]:
@@ -223,9 +290,9 @@ def evolve(sizes: np.ndarray, start: list[np.ndarray], room: int, seed: list[int
         pool.sort(key=Packing.worth, reverse=True)
         if len(pool[0].fill) <= least:
             break
-        a, b = rng.permutation(len(pool))[:2]
-        pool.append(mutate(cross(pool[a], pool[b], rng), rng))
-        pool.append(mutate(pool[0], rng))
+        other = pool[1 + int(rng.integers(len(pool) - 1))]
+        pool.append(mutate(cross(pool[0], other, rng), rng, TRIES // 4))
+        pool.append(mutate(max(pool, key=Packing.worth), rng))
         pool = sorted(pool, key=Packing.worth, reverse=True)[:POPULATION]
     return sorted(pool, key=Packing.worth, reverse=True)
 

@@ -268,6 +268,47 @@ def test_evolution_keeps_every_item():
     assert np.array_equal(best.fill, packing.evolve(sizes, [], 1024, [1])[0].fill)
 
 
+def fewest_bins(sizes, room):
+    """By trying every bin for every item, the longest first."""
+    best = [len(sizes)]
+
+    def place(k, free):
+        if len(free) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(free)
+            return
+        for b in {f: j for j, f in enumerate(free) if f >= sizes[k]}.values():
+            place(k + 1, [f - sizes[k] * (j == b) for j, f in enumerate(free)])
+        place(k + 1, [*free, room - sizes[k]])
+
+    sizes = sorted(sizes, reverse=True)
+    place(0, [])
+    return best[0]
+
+
+def test_evolution_finds_the_fewest_bins_of_small_cases():
+    rng, room = np.random.default_rng(6), 60
+    gained = 0
+    for trial in range(40):
+        # cut whole bins into pieces, so that an even packing exists that best fit often misses
+        sizes = np.array([x for _ in range(4) for x in np.diff([0, *sorted(rng.choice(np.arange(1, room), 2, replace=False)), room])])
+        plain = packing.best_fit(sizes, np.full(len(sizes), -1), np.arange(len(sizes)), room).max() + 1
+        best = packing.evolve(sizes, [], room, [trial])[0]
+        assert np.bincount(best.of, sizes).max() <= room and len(best.of) == len(sizes)
+        assert len(best.fill) == fewest_bins(sizes.tolist(), room)
+        gained += plain > len(best.fill)
+    assert gained >= 5
+
+
+def test_evolution_beats_best_fit_on_documents(spark):
+    lengths = packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("length < 1024").select("length").toPandas().length.to_numpy(np.int64)
+    plain = packing.best_fit(lengths, np.full(len(lengths), -1), np.arange(len(lengths)), 1024).max() + 1
+    islands = [packing.evolve(lengths, [], 1024, [i]) for i in range(2)]
+    islands = [packing.evolve(lengths, [p.of for p in islands[i][:2]] + [islands[1 - i][0].of], 1024, [i, 1]) for i in range(2)]
+    assert min(len(x[0].fill) for x in islands) < plain
+
+
 # 4
 
 
