@@ -5,16 +5,19 @@ blocks are distrusted ones, each weighted by its share of all pages. Trust runs
 along host edges by personalised PageRank, distrust against them (who links to
 a blocked host is suspect). Edges are the links of the pages that name a host, and the
 steps between a host and its parent domain, both ways. A host whose distrust is
-at least ``RATIO`` times its trust, and not 0, is blocked where no rule decides.
+at least ``RATIO`` times its trust, and not 0, is blocked where no rule decides;
+masses that miss the ratio by a billionth, as sums in another order may, are at it.
 
-Rounds go on until the masses change by at most ``TOLERANCE`` of the seeds' mass
-in ``EVERY`` rounds. As a round shrinks any difference by ``DAMPING``, what is
-then unsettled is below 0.61 ``TOLERANCE`` of the seeds' mass.
+Masses are the first ``ROUNDS`` terms of the series of walks from the seeds. What
+is left out is at most ``DAMPING ** ROUNDS`` (3e-5) of the seeds' mass on any graph.
+While the paths of two steps are at most ``FEW_PATHS`` (counted first), a step of
+twice the length is made of them and doubles the terms summed; rounds with the
+longest step made add the rest. The sum is the same either way.
 
 All steps are DataFrame operations: links are counted per pair of hosts before
 anything iterates, masses are written to shared storage on the way, hosts with a
 large share of all edges get their mass by broadcast (`storage.HOT_KEYS` at
-most), and the verdicts of hosts meet the pages by a lookup that no hot host slows.
+most), masses of earlier rounds are deleted, and the verdicts of hosts meet the pages by a lookup that no hot host slows.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and,
 if no rule fits, is allowed; null html has no links; repeated rows count as
@@ -39,7 +42,15 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DAMPING, EVERY, TOLERANCE, RATIO = 0.85, 6, 1e-4, 2.0
+DAMPING, RATIO = 0.85, 2.0
+#: Terms of the series, a power of two.
+ROUNDS = 64
+#: Rounds of one job.
+EVERY = 6
+#: Paths that are written as steps of twice the length.
+FEW_PATHS = 1_000_000
+#: Masses that are this near to the ratio, relatively, are at it.
+NEAR = 1e-9
 #: Edges up to which rounds are worked in groups of EVERY; beyond, each is written.
 FEW_EDGES = 100_000
 LINK = r"""(?i:href|src)\s*=\s*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
@@ -81,40 +92,58 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``kind`` (t or d), ``host`` and ``mass`` after all rounds. ``seeds``: the same columns."""
+    """``kind`` (t or d), ``host`` and ``mass`` of all terms. ``seeds``: the same columns."""
     spark = edges.sparkSession
     back = edges.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     both = edges.select(F.lit("t").alias("kind"), "src", "dst", "weight").unionByName(back)
     total = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    both = storage.stage(spark, both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "host_edges")
-    seeds = storage.stage(spark, seeds, "seeds")
-    edges_n, whole = both.count(), seeds.agg(F.sum("mass")).first()[0] or 0.0
-    start = seeds.select("kind", "host", (F.lit(1 - DAMPING) * F.col("mass")).alias("mass"))
+    share = (F.lit(DAMPING) * F.col("weight") / F.col("total")).alias("share")
+    steps = storage.stage(spark, both.join(total, ["kind", "src"]).select("kind", "src", "dst", share), "host_edges")
+    base = storage.stage(spark, seeds.select("kind", "host", (F.lit(1 - DAMPING) * F.col("mass")).alias("mass")), "mass")
+    edges_n, length = steps.count(), 1
+    while edges_n <= FEW_EDGES and length < ROUNDS // 2 and paths(steps) <= FEW_PATHS:
+        twice = storage.stage(spark, moved(base, steps, base), "mass"), storage.stage(spark, squared(steps), "host_edges")
+        storage.discard(spark, base)
+        storage.discard(spark, steps)
+        (base, steps), length = twice, 2 * length
     hubs = None
     if edges_n > FEW_EDGES:
-        degree = both.groupBy("kind", "src").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, edges_n // storage.HOT_KEYS))
+        degree = steps.groupBy("kind", "src").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, edges_n // storage.HOT_KEYS))
         hubs = F.broadcast(storage.stage(spark, degree.select("kind", "src"), "hubs"))  # HOT_KEYS at most
-        far, near = both.join(hubs, ["kind", "src"], "left_anti"), both.join(hubs, ["kind", "src"], "left_semi")
-
-    def spread(mass: DataFrame) -> DataFrame:
-        mass = mass.withColumnRenamed("host", "src")
-        flow = both.join(mass, ["kind", "src"])
-        if hubs is not None:
-            flow = far.join(mass, ["kind", "src"]).unionByName(near.join(F.broadcast(mass.join(hubs, ["kind", "src"], "left_semi")), ["kind", "src"]))
-        flow = flow.select("kind", F.col("dst").alias("host"), (F.lit(DAMPING) * F.col("share") * F.col("mass")).alias("mass"))
-        return flow.unionByName(start).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-
-    mass = seeds
-    while True:
-        now = mass
-        for _ in range(EVERY):
-            now = spread(now)
-            now = now if hubs is None else storage.stage(spark, now, "mass")
-        now = storage.stage(spark, now, "mass") if hubs is None else now
-        apart = now.unionByName(mass.withColumn("mass", -F.col("mass"))).groupBy("kind", "host").agg(F.abs(F.sum("mass")).alias("x"))
-        if (apart.agg(F.sum("x")).first()[0] or 0.0) <= TOLERANCE * whole:
-            return now
-        mass = now
+    mass, written, rounds = base, None, ROUNDS // length - 1
+    for i in range(1, rounds + 1):
+        mass = moved(mass, steps, base, hubs)
+        if hubs is not None or i % EVERY == 0 or i == rounds:
+            mass, before = storage.stage(spark, mass, "mass"), written
+            if before is not None:
+                storage.discard(spark, before)
+            written = mass
+    return mass
+
+
+def moved(mass: DataFrame, steps: DataFrame, base: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+    """``base`` and what ``mass`` sends along ``steps``; the masses of ``hubs`` are broadcast."""
+    mass = mass.withColumnRenamed("host", "src")
+    flow = steps.join(mass, ["kind", "src"])
+    if hubs is not None:
+        few = F.broadcast(mass.join(hubs, ["kind", "src"], "left_semi"))
+        flow = steps.join(hubs, ["kind", "src"], "left_anti").join(mass, ["kind", "src"]).unionByName(steps.join(few, ["kind", "src"]))
+    flow = flow.select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("mass")).alias("mass"))
+    return flow.unionByName(base).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+
+
+def paths(steps: DataFrame) -> int:
+    """How many pairs of steps follow each other."""
+    ends = steps.groupBy("kind", F.col("dst").alias("src")).agg(F.count("*").alias("ends"))
+    pairs = steps.groupBy("kind", "src").agg(F.count("*").alias("starts")).join(ends, ["kind", "src"])
+    return pairs.agg(F.sum(F.col("ends") * F.col("starts"))).first()[0] or 0
+
+
+def squared(steps: DataFrame) -> DataFrame:
+    """Steps of twice the length."""
+    then = steps.select("kind", F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("share").alias("then"))
+    two = steps.withColumnRenamed("dst", "mid").join(then, ["kind", "mid"])
+    return two.groupBy("kind", "src", F.col("to").alias("dst")).agg(F.sum(F.col("share") * F.col("then")).alias("share"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -130,7 +159,7 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     scores = mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.col("mass"))).alias("trust"), F.sum(F.when(F.col("kind") == "d", F.col("mass"))).alias("distrust"))
     scores = hosts.select("host", "n").join(scores, "host", "left").select("host", "n", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     scores = storage.stage(spark, scores, "host_scores")
-    suspect = (F.col("distrust") > 0) & (F.col("distrust") >= RATIO * F.col("trust"))
+    suspect = (F.col("distrust") > 0) & (F.col("distrust") * (1 + NEAR) >= RATIO * F.col("trust"))
     found = storage.lookup(rows, scores, "host", total, "n")
     verdict = F.coalesce("hit.action", F.when(suspect, "block").otherwise("allow"))
     return found.select("page_id", "host", "path", "hit.rule", verdict.alias("verdict"), "trust", "distrust")
@@ -141,9 +170,6 @@ def op5_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
-SQL_ROUNDS = 60  # 0.85^60 is 6e-5
-
-
 def _sql() -> str:
     ranked = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, a) for a, h, p in ranked]
@@ -172,16 +198,16 @@ m0 AS (
   SELECT CASE act WHEN 'allow' THEN 't' ELSE 'd' END AS kind, host, count(*) / (SELECT count(*) FROM pages) AS mass
   FROM r WHERE act IS NOT NULL AND host <> '' GROUP BY 1, 2
 ), m AS (
-  SELECT 0 AS i, kind, host, mass FROM m0
+  SELECT 0 AS i, kind, host, {1 - DAMPING} * mass AS mass FROM m0
   UNION ALL
   SELECT i + 1, kind, host, sum(mass) FROM (
-    SELECT m.i, e.kind, e.dst AS host, {DAMPING} * e.share * m.mass AS mass FROM m JOIN e ON m.kind = e.kind AND m.host = e.src WHERE m.i < {SQL_ROUNDS}
-    UNION ALL SELECT x.i, m0.kind, m0.host, {1 - DAMPING} * m0.mass FROM m0, (SELECT DISTINCT i FROM m WHERE i < {SQL_ROUNDS}) x
+    SELECT m.i, e.kind, e.dst AS host, {DAMPING} * e.share * m.mass AS mass FROM m JOIN e ON m.kind = e.kind AND m.host = e.src WHERE m.i < {ROUNDS - 1}
+    UNION ALL SELECT x.i, m0.kind, m0.host, {1 - DAMPING} * m0.mass FROM m0, (SELECT DISTINCT i FROM m WHERE i < {ROUNDS - 1}) x
   ) GROUP BY i, kind, host
 ),
-s AS (SELECT host, sum(mass) FILTER (kind = 't') AS t, sum(mass) FILTER (kind = 'd') AS d FROM m WHERE i = {SQL_ROUNDS} GROUP BY host)
+s AS (SELECT host, sum(mass) FILTER (kind = 't') AS t, sum(mass) FILTER (kind = 'd') AS d FROM m WHERE i = {ROUNDS - 1} GROUP BY host)
 SELECT page_id, host, path, rule,
-       coalesce(act, CASE WHEN coalesce(d, 0) > 0 AND d >= {RATIO} * coalesce(t, 0) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(act, CASE WHEN coalesce(d, 0) > 0 AND d * (1 + {NEAR}) >= {RATIO} * coalesce(t, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM r LEFT JOIN s USING (host)
 """
 
