@@ -1,9 +1,11 @@
-"""Subword vocabularies over tables: every distinct piece of text is segmented once and joined back.
+"""Subword vocabularies over tables.
 
 `BytePairs` runs a byte-level BPE file (vocabulary and merges in order): texts are cut
-into pre-tokens in the JVM, distinct pre-tokens are merged by rank in Arrow batches,
-and documents get their ids by a lookup that no hot word slows (`storage.lookup`).
-`Longest` segments by the longest entry of a vocabulary table, in a trie.
+into pre-tokens in the JVM and merged by rank in Arrow batches, each where it is read,
+so neither texts nor pre-tokens are shuffled or written. A batch merges its distinct
+pre-tokens once, and a worker remembers the latest short ones.
+`Longest` segments by the longest entry of a vocabulary table, in a trie; every
+distinct piece is segmented once.
 
 A vocabulary is the driver's and every worker's whole, as a model file is: its size
 is that of the file, whatever the texts. Texts have none of these bounds: a pre-token
@@ -16,8 +18,11 @@ import heapq
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +31,15 @@ from quern import storage
 # What byte-level vocabularies take for one pre-token.
 PRETOKEN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Pre-tokens that a worker remembers: up to about 70 MB.
+REMEMBERED = 200_000
+
+#: Characters of a short pre-token at most: it may be remembered, and is merged without a heap.
+SHORT = 64
+
+#: The rank of a pair that is no merge.
+NEVER = 1 << 60
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself if it prints, else the next free one from 256 on."""
@@ -73,6 +87,54 @@ def segmented(texts: DataFrame, make: Callable[[], Callable[[str], list[int]]])
     return texts.select("piece").distinct().mapInPandas(run, "piece string, ids array<int>")
 
 
+class Merger:
+    """Ids of a pre-token. It is sent once to a worker, whose copy remembers across batches and tasks."""
+
+    def __init__(self, vocabulary: dict[str, int], ranks: dict[tuple[str, str], int]):
+        self.vocabulary, self.ranks, self.letters = vocabulary, ranks, byte_letters()
+
+    def long(self, piece: str) -> list[int]:
+        return [self.vocabulary[s] for s in merged([self.letters[b] for b in piece.encode()], self.ranks)]
+
+    @cached_property
+    def short(self) -> Callable[[str], list[int]]:
+        """The same over numbers of symbols, with the neighbours' ranks in a list: faster for a word, but quadratic."""
+        symbols = list(dict.fromkeys([*self.letters, *(x for a, b in self.ranks for x in (a, b, a + b))]))
+        number, n = {x: i for i, x in enumerate(symbols)}, len(symbols)
+        ranks = {number[a] * n + number[b]: rank for (a, b), rank in self.ranks.items()}
+        joined = {rank: number[a + b] for (a, b), rank in self.ranks.items()}
+        first, ids, rank_of = [number[x] for x in self.letters], {i: self.vocabulary[x] for i, x in enumerate(symbols) if x in self.vocabulary}, ranks.get
+
+        def merge(piece: str) -> list[int]:
+            found = [first[b] for b in piece.encode()]
+            ahead = [rank_of(a * n + b, NEVER) for a, b in zip(found, found[1:])]
+            while ahead and (low := min(ahead)) != NEVER:
+                i = ahead.index(low)
+                found[i] = new = joined[low]
+                del found[i + 1], ahead[i]
+                if i:
+                    ahead[i - 1] = rank_of(found[i - 1] * n + new, NEVER)
+                if i < len(ahead):
+                    ahead[i] = rank_of(new * n + found[i + 1], NEVER)
+            return [ids[x] for x in found]
+
+        return merge
+
+    @cached_property
+    def remembered(self) -> Callable[[str], list[int]]:
+        return lru_cache(REMEMBERED)(self.short)
+
+    def __call__(self, piece: str) -> list[int]:
+        return self.remembered(piece) if len(piece) <= SHORT else self.long(piece)
+
+    def batch(self, texts: pa.Array) -> pa.Array:
+        """Lists of pre-tokens to lists of their ids."""
+        pieces = texts.flatten().dictionary_encode()
+        ids = pa.array(map(self, pieces.dictionary.to_pylist()), pa.list_(pa.int32())).take(pieces.indices)
+        starts = pc.subtract(texts.offsets, texts.offsets[0])  # a text's first piece, then its first id
+        return pa.ListArray.from_arrays(ids.offsets.take(starts), ids.values)
+
+
 @dataclass(frozen=True)
 class BytePairs:
     """Pieces (in the letters of bytes) to ids, and pairs of pieces to ranks."""
@@ -91,32 +153,23 @@ class BytePairs:
     def vocab_size(self) -> int:
         return len(self.vocabulary)
 
-    def coder(self, spark: SparkSession) -> Callable[[], Callable[[str], list[int]]]:
-        sent, letters = spark.sparkContext.broadcast((self.vocabulary, self.ranks)), byte_letters()
-
-        def make():
-            vocabulary, ranks = sent.value
-            return lambda piece: [vocabulary[s] for s in merged([letters[b] for b in piece.encode()], ranks)]
-
-        return make
-
     def segment(self, texts: DataFrame) -> DataFrame:
         """``piece`` and ``ids`` of whole texts, cut into pre-tokens first."""
         whole = texts.select("piece").distinct()
         return self.encode(whole, "piece", F.col("piece")).select("piece", "ids")
 
     def encode(self, rows: DataFrame, key: str, text: Column) -> DataFrame:
-        """``rows`` with ``ids``, their texts' tokens in order; ``key`` is unique and not null. A null or empty text has none."""
-        spark = rows.sparkSession
-        found = rows.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(text, F.lit(PRETOKEN), 0)).alias("at", "piece"))
-        found = storage.stage(spark, found, "pretokens")
-        counts = storage.stage(spark, found.groupBy("piece").count().withColumnRenamed("count", "n"), "distinct_pretokens")
-        ids = segmented(counts, self.coder(spark)).join(counts, "piece")
-        met = storage.lookup(found, storage.stage(spark, ids, "segments"), "piece", found.count(), "n")
-        whole = met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
-        whole = whole.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-        none = F.array().cast("array<int>")
-        return rows.join(whole, rows[key] == whole["key"], "left").select(*[rows[c] for c in rows.columns], F.coalesce("ids", none).alias("ids"))
+        """``rows`` with ``ids``, their texts' tokens in order. A null or empty text has none. ``key`` names the rows, which are met by none."""
+        storage.small_batches(rows.sparkSession)
+        sent = rows.sparkSession.sparkContext.broadcast(Merger(self.vocabulary, self.ranks))
+
+        @F.arrow_udf("array<int>")
+        def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            merger = sent.value
+            for t in texts:
+                yield merger.batch(t)
+
+        return rows.withColumn("ids", ids(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PRETOKEN), 0)))
 
     def decode(self, rows: DataFrame, ids: str = "ids", name: str = "decoded") -> DataFrame:
         """``rows`` with the text of ``ids``; ids that the vocabulary lacks are skipped, broken UTF-8 becomes U+FFFD."""

@@ -2,14 +2,17 @@
 
 import math
 import random
+import re
 import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from quern import storage
 from quern.operators import chat, evaluate, metrics, packing, subwords
 from quern.operators.tokens import Bytes
+from quern.plans.catalogue import QUERIES
 from quern.sources import readers
 
 TEXTS = ["Hello world, it's 12.5% naïve!", "  two  blanks\n\n\tand tabs ", "", None, "日本語 テキスト 한국어", "don't we'll I've", "a" * 3000, " " * 700 + "x", "é́ combining", "🙂🙂 emoji's", " wide blank", "x\r\ny", "١٢٣ ½ ²"]
@@ -52,6 +55,49 @@ def test_merging_equals_the_plain_loop():
     assert time.time() - began < 20
 
 
+def test_short_merging_equals_the_heap(vocabulary):
+    ours, _ = vocabulary
+    rng = random.Random(7)
+    real = subwords.Merger(ours.vocabulary, ours.ranks)
+    for _ in range(2000):
+        piece = "".join(rng.choice("aeinrst hoödé語🙂 '1\n") for _ in range(rng.randint(0, subwords.SHORT + 6)))
+        assert real(piece) == real.long(piece), piece
+    for _ in range(300):
+        parts = ("a", "b", "ab", "ba", "aa", "aab")
+        pairs = [(x, y) for x in parts for y in parts]
+        rng.shuffle(pairs)
+        ranks = {p: i for i, p in enumerate(pairs[: rng.randint(0, 36)])}
+        names = {*parts, *(x + y for x, y in ranks)}
+        some = subwords.Merger({x: i for i, x in enumerate(sorted(names))}, ranks)
+        piece = "".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))
+        assert some.short(piece) == some.long(piece), (piece, ranks)
+
+
+def test_encoding_shuffles_and_writes_nothing(spark, vocabulary, monkeypatch):
+    ours, path = vocabulary
+    theirs = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
+    monkeypatch.setattr(storage, "stage", lambda *_: pytest.fail("a table is written"))
+    texts = [*TEXTS, *TEXTS, "one word", None]  # equal texts, under repeated and null keys
+    rows = spark.createDataFrame([(i % 3 or None, x) for i, x in enumerate(texts)], "key long, text string").coalesce(1)
+    coded = ours.encode(rows, "key", F.col("text"))
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("Coalesce", "") and "Join" not in plan
+    got = [(r.key, r.text, r.ids) for r in coded.collect()]
+    assert got == [(i % 3 or None, x, theirs.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)]
+
+
+def test_fertility_equals_the_library(spark, sf, vocabulary):
+    theirs = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary[1])
+    want: dict = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("lang", "text").collect():
+        x = want.setdefault(r.lang, [0, 0, 0])
+        x[0] += len(theirs.encode(r.text or "", add_special_tokens=False).ids)
+        x[1] += len(re.findall(r"[^ \t-\r]+", r.text or ""))
+        x[2] += len(r.text or "")
+    got = {r.lang: (r.tokens, r.per_word, r.per_char) for r in QUERIES["subword_fertility"](spark, sf).collect()}
+    assert got == {k: (n, pytest.approx(n / max(w, 1), abs=1e-6), pytest.approx(n / max(c, 1), abs=1e-6)) for k, (n, w, c) in want.items()}
+
+
 def test_longest_and_mapping(spark):
     table = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "ab", [3.0, 4.0]), (2, "c", [5.0, 2.0]), (3, " ", [7.0, 2.0])], "id int, piece string, vector array<double>")
     old = subwords.Longest.load(table, "piece", "id")
