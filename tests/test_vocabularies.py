@@ -1,5 +1,6 @@
 """Subword vocabularies, vocabulary mapping, split conversations and scoring at length, against plain Python."""
 
+import hashlib
 import math
 import random
 import re
@@ -98,6 +99,14 @@ def test_fertility_equals_the_library(spark, sf, vocabulary):
     assert got == {k: (n, pytest.approx(n / max(w, 1), abs=1e-6), pytest.approx(n / max(c, 1), abs=1e-6)) for k, (n, w, c) in want.items()}
 
 
+def test_round_trip_reads_texts_once_and_shuffles_nothing(spark, sf, vocabulary):
+    got = QUERIES["subword_round_trip"](spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1 and plan.count("regexp_extract_all") == 1
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {tuple(r) for r in got.collect()} == {(i, hashlib.md5(x).hexdigest(), len(x), len(x) > 0) for i, x in texts.items()}
+
+
 def test_longest_and_mapping(spark):
     table = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "ab", [3.0, 4.0]), (2, "c", [5.0, 2.0]), (3, " ", [7.0, 2.0])], "id int, piece string, vector array<double>")
     old = subwords.Longest.load(table, "piece", "id")
