@@ -114,7 +114,9 @@ def stream_best_fit(d):
     ends = rows.groupBy("shard").agg(F.count("*").alias("ord"), F.lit(None).cast("long").alias("n"))
     path = storage.new_path(d.spark, "arriving")
     rows.unionByName(ends).repartition(12, F.xxhash64("shard", "ord")).write.parquet(path)
-    stream = d.spark.readStream.schema("shard long, ord long, n long").option("maxFilesPerTrigger", 3).parquet(path)
+    own = d.spark.newSession()  # every micro-batch opens all partitions of the state, and three shards need no more for more documents
+    own.conf.set("spark.sql.shuffle.partitions", "12")
+    stream = own.readStream.schema("shard long, ord long, n long").option("maxFilesPerTrigger", 3).parquet(path)
     out = storage.new_path(d.spark, "packed")
     curve.replay(packers.best_fit(stream, SEQ, 100), out, storage.new_path(d.spark, "stream_state")).awaitTermination()
     return d.spark.read.schema(packers.ROWS).parquet(out)

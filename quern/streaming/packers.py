@@ -8,6 +8,10 @@ documents. A step is taken only when the buffer is full (or the shard closed), a
 batch packer does; the buffer, the row in progress and the counts are state, so
 a restart goes on in the middle of a row.
 
+Each call of the state store is a round trip between processes. So those that wait lie in
+blocks of ``BLOCK`` successive places: a micro-batch reads and writes a block that it
+touches once, whatever it holds. Rows leave in frames of about ``OUT`` uses.
+
 Defined cases: a place that comes again is ignored once used; documents beyond the closing record
 and shards that are never closed wait; a closed shard without documents gives
 its counts alone.
@@ -26,6 +30,8 @@ from quern.operators.packing import BosBuffer
 
 ROWS = "shard long, row long, ord long, at long, taken long"
 POOL = "next long, row long, room long, at long, read long, dropped long, ords array<long>, lengths array<long>"
+WAITING = "ords array<long>, lengths array<long>"
+BLOCK, OUT = 512, 10_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,6 +55,11 @@ class StepPacker:
         while self.pool.size >= self.buffer:
             self._step()
 
+    def finished(self) -> list[tuple[int, int, int, int]]:
+        """The uses of full rows, once; those of the row in progress stay."""
+        done, self.used = [u for u in self.used if u[0] < self.row], [u for u in self.used if u[0] == self.row]
+        return done
+
     def close(self) -> int:
         """Take what is left; how many tokens an unfilled last row has, whose documents are taken back."""
         while self.pool.size:
@@ -81,38 +92,62 @@ class BestFit(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.pool = handle.getValueState("pool", POOL)
-        self.early = handle.getMapState("early", "ord long", "n long")
+        self.early = handle.getMapState("early", "block long", WAITING)
         self.row = handle.getMapState("row", "at long", "ord long, taken long")  # documents of the row in progress
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802 - the engine's name
         nxt, packer = self._load()
-        come = {}
+        come: dict[int, dict[int, int | None]] = {}  # by block
         for f in rows:
-            come |= {int(o): None if pd.isna(n) else int(n) for o, n in zip(f["ord"], f["n"], strict=True) if o >= nxt}
-        closed = None
+            for o, n in zip(f["ord"].tolist(), f["n"].tolist(), strict=True):
+                if o >= nxt:
+                    come.setdefault(o // BLOCK, {})[o] = None if pd.isna(n) else int(n)
+        closed, at, here, changed = None, None, {}, False  # the block of the next place
         while closed is None:
-            if nxt in come:
-                n = come.pop(nxt)
-            elif self.early.containsKey((nxt,)):
-                n = self.early.getValue((nxt,))[0]
-                self.early.removeKey((nxt,))
-            else:
+            if at != nxt // BLOCK:
+                if at is not None:
+                    self._keep(at, here, changed)
+                at = nxt // BLOCK
+                here, changed = self._waiting(at) | come.get(at, {}), at in come
+                come.pop(at, None)
+            if nxt not in here:
                 break
+            n, changed = here.pop(nxt), True
             nxt += 1
             if n is None:
                 closed = packer.close()
             else:
                 packer.add(nxt - 1, n)
-        for o, n in come.items():
-            self.early.updateValue((o,), (n,))
+            if closed is None and len(packer.used) >= OUT and packer.used[0][0] < packer.row:
+                yield self._frame(key, packer.finished())
         if closed is None:
-            done = [u for u in packer.used if u[0] < packer.row]
+            self._keep(at, here, changed)
+            for block, new in come.items():
+                self._keep(block, self._waiting(block) | new)
+            done = packer.finished()
             self._save(nxt, packer)
         else:
             done = [*packer.used, (-1, packer.read, packer.dropped, closed)]
             for state in (self.pool, self.early, self.row):
                 state.clear()
-        yield pd.DataFrame([(key[0], *u) for u in done], columns=["shard", "row", "ord", "at", "taken"])
+        yield self._frame(key, done)
+
+    @staticmethod
+    def _frame(key, uses: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *u) for u in uses], columns=["shard", "row", "ord", "at", "taken"])
+
+    def _waiting(self, block: int) -> dict[int, int | None]:
+        """What waits in a block."""
+        if not self.early.containsKey((block,)):
+            return {}
+        ords, lengths = self.early.getValue((block,))
+        return dict(zip(ords, lengths, strict=True))
+
+    def _keep(self, block: int, waiting: dict[int, int | None], changed: bool = True) -> None:
+        if waiting and changed:
+            self.early.updateValue((block,), (list(waiting), list(waiting.values())))
+        elif changed and self.early.containsKey((block,)):
+            self.early.removeKey((block,))
 
     def close(self) -> None:
         pass

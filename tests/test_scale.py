@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,65 @@ def test_streamed_rows_equal_the_batch_packers(spark, tmp_path, seed, files, eac
     assert got == sorted([*packed_in_batch(spark, docs, 32, 7), (7, -1, 0, 0, 0)])
 
 
+class Store:
+    """A shard's state in memory, with its calls counted."""
+
+    def __init__(self):
+        self.tables, self.calls = {}, 0
+
+    def getValueState(self, name, _):  # noqa: N802 - the engine's name
+        return State(self, name)
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return State(self, name)
+
+
+class State:
+    def __init__(self, store, name):
+        self.store, self.rows = store, store.tables.setdefault(name, {})
+
+    def _called(self, got=None):
+        self.store.calls += 1
+        return got
+
+    exists = lambda self: self._called(bool(self.rows))
+    get = lambda self: self._called(self.rows[()])
+    update = lambda self, v: self._called(self.rows.update({(): v}))
+    containsKey = lambda self, k: self._called(k in self.rows)  # noqa: E731, N815
+    getValue = lambda self, k: self._called(self.rows.get(k))  # noqa: E731, N815
+    updateValue = lambda self, k, v: self._called(self.rows.update({k: v}))  # noqa: E731, N815
+    removeKey = lambda self, k: self._called(self.rows.pop(k))  # noqa: E731, N815
+    iterator = lambda self: self._called(iter(list(self.rows.items())))
+    clear = lambda self: self._called(self.rows.clear())
+
+
+@pytest.mark.parametrize("out", [10, 10_000])
+def test_waiting_documents_take_few_calls_of_the_state(monkeypatch, out):
+    monkeypatch.setattr(packers, "OUT", out, raising=False)
+    rng = random.Random(5)
+    docs = [(i, rng.randint(1, 40)) for i in range(4000)]
+    arriving = [*docs, (4000, None), *rng.sample(docs, 300)]  # some come again
+    rng.shuffle(arriving)
+    store, got, frames = Store(), [], 0
+    for k in range(4):
+        packer = packers.BestFit(32, 20)  # a restart each time
+        packer.init(store)
+        batch = pd.DataFrame(arriving[k::4], columns=["ord", "n"], dtype="object" if k % 2 else None)
+        for f in packer.handleInputRows((3,), iter([batch[:700], batch[700:]]), None):
+            got += list(map(tuple, f.to_numpy().tolist()))
+            frames += 1
+    stats, want = {"in": 0, "dropped": 0, "partial": 0}, []
+    for i, row in enumerate(packing.bos_rows(iter(docs), 32, 20, stats)):
+        at = 0
+        for doc, taken in row:
+            want.append((3, i, doc, at, taken))
+            at += taken
+    assert got == [*want, (3, -1, stats["in"], stats["dropped"], stats["partial"])]
+    assert not any(store.tables.values())
+    assert store.calls < 400  # less than one for ten documents
+    assert (frames > 50) == (out == 10)
+
+
 def test_stream_packer_sorts_a_group_of_several_frames(spark, tmp_path):
     docs = [(0, i, [i]) for i in range(1000)][::-1]
     spark.createDataFrame(docs, "shard long, ord long, ids array<int>").coalesce(1).write.parquet(str(tmp_path / "in"))
